@@ -266,8 +266,8 @@ ORACLES: dict[str, str] = {
       CAST(payment AS DOUBLE) AS payment_amount, CAST(profit_c AS DOUBLE) / 100 AS gross_profit,
       order_status, category, review_score FROM facts""",
     "b03_calendar_parts": f"""{FACTS} SELECT CAST(year(order_date) AS INTEGER) AS year,
-      CAST(month(order_date) AS INTEGER) AS month_number, month, month_name, weekday, day_of_week,
-      {N} AS orders FROM facts GROUP BY ALL""",
+      CAST(month(order_date) AS INTEGER) AS month_number, month_name, weekday, day_of_week,
+      CAST(hour(order_date) AS INTEGER) AS hour, {N} AS orders FROM facts GROUP BY ALL""",
     "b06_customer_attributes": f"""{FACTS}
       SELECT DISTINCT customer_id, gender, age_group, device, city FROM facts""",
     "c02_default_customer": f"""{FACTS}

@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 
 def half_even(x: Column | str, digits: int = 0) -> Column:
-    """Round half to even, exactly on decimals and on the shortest decimal form of doubles."""
+    """Round half to even, by the shortest decimal form of a double."""
     return F.bround(x, digits)
 
 
+def whole_half_even(x: Column, divisor: int) -> Column:
+    """x / divisor of whole numbers, rounded half to even in whole numbers."""
+    rest = F.pmod(x, F.lit(divisor))
+    down = F.call_function("div", x - rest, F.lit(divisor))
+    up = (rest * 2 > divisor) | ((rest * 2 == divisor) & (F.pmod(down, F.lit(2)) == 1))
+    return down + up.cast("bigint")
+
+
 def clip(x: Column, low: Any, high: Any) -> Column:
     """Limit ``x`` to [low, high].  A null stays null (``greatest`` and ``least`` alone would skip it)."""
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
@@ -58,13 +66,16 @@ def whole_days(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("DAY", start, end)
 
 
+# Day names in the order of ``weekday``.
+DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
 def calendar(ts: Column | str) -> dict[str, Column]:
-    """Calendar parts of a timestamp; ``weekday`` (Monday = 0) and ``month`` are the sort keys."""
+    """Calendar parts of a timestamp; ``weekday`` counts from Monday = 0."""
     day = F.to_date(ts)
     return {
         "year": F.year(day),
         "month_number": F.month(day),
-        "month": F.date_format(day, "yyyy-MM"),
         "month_name": F.date_format(day, "MMM yyyy"),
         "weekday": F.weekday(day),
         "day_of_week": F.date_format(day, "EEEE"),
@@ -72,6 +83,22 @@ def calendar(ts: Column | str) -> dict[str, Column]:
     }
 
 
+def month_start(ts: Column | str) -> Column:
+    """First day of the month: the key to group and sort months by."""
+    return F.trunc(F.to_date(ts), "month")
+
+
+def month_labels(start: Column | str) -> dict[str, Column]:
+    """``2023-01`` and ``Jan 2023``, for the few rows of a report rather than for every order."""
+    return {"month": F.date_format(start, "yyyy-MM"), "month_name": F.date_format(start, "MMM yyyy")}
+
+
+def day_name(weekday: Column | str) -> Column:
+    """Name of a weekday number."""
+    weekday = F.col(weekday) if isinstance(weekday, str) else weekday
+    return F.element_at(F.array(*map(F.lit, DAYS)), weekday + 1)
+
+
 def percent_text(p: Column) -> Column:
     """``0.8734`` as ``87.3%``."""
     return F.concat(half_even(p * 100, 1).cast("string"), F.lit("%"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,17 @@ FEATURES = ("recency", "frequency", "monetary")
 
 
 def segment(
-    rfm: DataFrame, k: int = 4, seeds: Sequence[int] = SEEDS, labels: Sequence[str] = SEGMENTS
+    rfm: DataFrame,
+    k: int = 4,
+    seeds: Sequence[int] = SEEDS,
+    labels: Sequence[str] = SEGMENTS,
+    parallelism: int = 5,
 ) -> tuple[DataFrame, PipelineModel]:
     """``rfm`` with ``cluster`` and ``segment``, and the fitted pipeline (scaling and best clustering).
 
     One clustering per seed, of which the one with the lowest cost is kept.  All restarts read the same
-    persisted vectors.  Rows are placed by customer and sorted, so a seed draws the same starting points in
+    persisted vectors, ``parallelism`` of them at a time: an iteration is a short job that leaves most of
+    a cluster idle.  Rows are placed by customer and sorted, so a seed draws the same starting points in
     every run on the same partition count.
     """
     if len(labels) != k:
@@ -38,9 +44,7 @@ def segment(
     ).fit(placed)
     vectors = scaling.transform(placed).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = [
-            KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, predictionCol="cluster").fit(vectors) for seed in seeds
-        ]
+        fits = _restarts(vectors, k, seeds, parallelism)
     finally:
         vectors.unpersist()
     best = min(fits, key=lambda fit: fit.summary.trainingCost)
@@ -48,6 +52,16 @@ def segment(
     return name_segments(apply_segments(rfm, model), labels), model
 
 
+def _restarts(vectors: DataFrame, k: int, seeds: Sequence[int], parallelism: int) -> list[KMeansModel]:
+    vectors.count()  # stored before the restarts ask for it at the same time
+
+    def fit(seed: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, predictionCol="cluster").fit(vectors)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(fit), seeds))
+
+
 def apply_segments(rfm: DataFrame, model: PipelineModel) -> DataFrame:
     """``rfm`` with the ``cluster`` a fitted pipeline puts each customer in."""
     inputs = [F.col(c).cast("double").alias(c) for c in FEATURES]

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.functions.scalars import calendar, clip, half_even
-from tillwise.schema import MONEY
+from tillwise.functions.scalars import calendar, clip, half_even, whole_half_even
+from tillwise.schema import SCALES
 
 
 def with_lookup(df: DataFrame, dim: DataFrame, key: str, strict: bool = True) -> DataFrame:
@@ -29,6 +28,9 @@ def with_lookup(df: DataFrame, dim: DataFrame, key: str, strict: bool = True) ->
     return joined.drop("_found")
 
 
+_UNIT = 10_000  # rates are whole ten-thousandths
+
+
 def order_economics(
     df: DataFrame,
     cost_ratio: Column,
@@ -40,38 +42,45 @@ def order_economics(
 ) -> DataFrame:
     """Cost, delivery, discount, payment and profit of each order from its ``price`` and four rates.
 
-    All rates are decimal columns.  Products and roundings are exact decimals, half to even.
+    Price and results are whole hundredths, rates whole ten-thousandths.  Cost of goods is rounded to
+    hundredths, all else to units, half to even and without leaving whole numbers.
     """
     price = F.col("price")
-    money = {
-        "cogs": half_even(price * cost_ratio, 2),
-        "delivery_cost": clip(half_even(price * cost_rate), *cost_clip),
-        "delivery_charge": clip(half_even(price * charge_rate), *charge_clip),
-        "discount_amount": half_even(price * discount_rate),
-    }
-    df = df.withColumns({name: x.cast(MONEY) for name, x in money.items()})
-    paid = half_even(price - F.col("discount_amount") + F.col("delivery_charge"))
+
+    def units(rate: Column) -> Column:
+        return whole_half_even(price * rate, 100 * _UNIT)
+
+    df = df.withColumns(
+        {
+            "cogs": whole_half_even(price * cost_ratio, _UNIT),
+            "delivery_cost": units(cost_rate),
+            "delivery_charge": units(charge_rate),
+            "discount_amount": units(discount_rate) * 100,
+            "discount_pct": whole_half_even(discount_rate, 10),
+        }
+    )
     df = df.withColumns(
         {
-            "discount_pct": half_even(discount_rate * 100, 1).cast("decimal(5,1)"),
-            "payment_amount": paid.cast(MONEY),
+            "delivery_cost": clip(F.col("delivery_cost"), *cost_clip) * 100,
+            "delivery_charge": clip(F.col("delivery_charge"), *charge_clip) * 100,
         }
     )
-    profit = F.col("payment_amount") - F.col("cogs") - F.col("delivery_cost")
-    df = df.withColumn("gross_profit", profit.cast(MONEY))
-    margin = F.col("gross_profit").cast("double") / F.col("payment_amount").cast("double") * 100
+    due = price - F.col("discount_amount") + F.col("delivery_charge")
+    df = df.withColumn("payment_amount", whole_half_even(due, 100) * 100)
+    df = df.withColumn("gross_profit", F.col("payment_amount") - F.col("cogs") - F.col("delivery_cost"))
+    margin = F.col("gross_profit") / F.col("payment_amount") * 100
     return df.withColumn(
         "gross_margin_pct", F.when(F.col("payment_amount") > 0, half_even(margin, 1)).otherwise(0.0)
     )
 
 
-def decimal_rate(value: float | str) -> Column:
-    """A constant rate as an exact decimal column."""
-    return F.lit(Decimal(str(value)))
+def in_units(df: DataFrame) -> DataFrame:
+    """A fact table for display: money and percentages in units."""
+    return df.withColumns({c: F.col(c) / scale for c, scale in SCALES.items() if c in df.columns})
 
 
 def with_calendar(df: DataFrame, ts: str = "order_date") -> DataFrame:
-    """Add ``year month_number month month_name weekday day_of_week hour`` of a timestamp."""
+    """Add ``year month_number month_name weekday day_of_week hour`` of a timestamp."""
     return df.withColumns(calendar(ts))
 
 

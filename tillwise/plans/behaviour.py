@@ -9,7 +9,7 @@ from tillwise.functions.aggregates import mean, median, mode_min, rate, total
 from tillwise.functions.scalars import half_even
 from tillwise.operators.predicates import is_cancelled, with_keys
 from tillwise.operators.summaries import share, summarise
-from tillwise.plans.cells import average, cancel_rate, orders, size
+from tillwise.plans.cells import average, by_month, by_weekday, cancel_rate, orders, size
 
 
 def orders_by_hour(cells: DataFrame) -> DataFrame:
@@ -17,11 +17,11 @@ def orders_by_hour(cells: DataFrame) -> DataFrame:
 
 
 def orders_by_weekday(cells: DataFrame) -> DataFrame:
-    return summarise(cells, ["weekday", "day_of_week"], {"orders": size()}).orderBy("weekday")
+    return by_weekday(summarise(cells, ["weekday"], {"orders": size()})).orderBy("weekday")
 
 
 def orders_by_month(cells: DataFrame) -> DataFrame:
-    return summarise(cells, ["month", "month_name"], {"orders": size()}).orderBy("month")
+    return by_month(summarise(cells, ["month_start"], {"orders": size()})).orderBy("month")
 
 
 def device_orders(cells: DataFrame) -> DataFrame:
@@ -99,8 +99,8 @@ def behaviour_features(facts: DataFrame) -> DataFrame:
         .agg(
             F.count("order_date").alias("total_orders"),
             total("payment_amount").alias("total_spend"),
-            half_even(mean("payment_amount"), 0).alias("avg_order_value"),
-            half_even(mean("discount_pct"), 1).alias("avg_discount"),
+            half_even(mean("payment_amount", 100), 0).alias("avg_order_value"),
+            half_even(mean("discount_pct", 10), 1).alias("avg_discount"),
             mode_min("category").alias("fav_category"),
             half_even(mean("review_score"), 2).alias("avg_rating"),
             half_even(rate(is_cancelled()), 1).alias("cancel_rate"),

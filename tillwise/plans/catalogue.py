@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillwise.models.churn import importances
 from tillwise.operators.distributions import box_stats, histogram
 from tillwise.operators.joins import scalar_of, with_first_period
+from tillwise.operators.projections import in_units, with_calendar
 from tillwise.operators.ranking import exact_quantiles, global_rank, hash_sample, qcut, quantile_of_rank
 from tillwise.operators.summaries import summarise
 from tillwise.plans import (
@@ -72,20 +73,16 @@ def _churn(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _order_economics(facts: DataFrame) -> DataFrame:
-    money = ["price", "cogs", "delivery_cost", "delivery_charge", "discount_pct", "discount_amount",
-             "payment_amount", "gross_profit"]
-    return facts.select(
-        *SEQUENCE[:4], *[F.col(c).cast("double") for c in money], STATUS, "category", "review_score"
-    )
+    return in_units(facts)
 
 
 def _customer_attributes(facts: DataFrame) -> DataFrame:
     return facts.select(WHO, "gender", "age_group", "device", "city").distinct()
 
 
-def _calendar_parts(cells: DataFrame) -> DataFrame:
-    keys = ["year", "month_number", "month", "month_name", "weekday", "day_of_week"]
-    return summarise(cells, keys, {"orders": F.count("*")})
+def _calendar_parts(facts: DataFrame) -> DataFrame:
+    keys = ["year", "month_number", "month_name", "weekday", "day_of_week", "hour"]
+    return summarise(with_calendar(facts), keys, {"orders": F.count("*")})
 
 
 def _distinct_categories(facts: DataFrame) -> DataFrame:
@@ -182,7 +179,7 @@ QUERIES: dict[str, Query] = {
         _order_economics, *SEQUENCE[:4], "price", "cogs", "delivery_cost", "delivery_charge",
         "discount_pct", "discount_amount", PAY, "gross_profit", STATUS, "category", "review_score",
     ),
-    "b03_calendar_parts": _cells(_calendar_parts, DATE),
+    "b03_calendar_parts": _facts(_calendar_parts, DATE),
     "b06_customer_attributes": _facts(_customer_attributes, WHO, "gender", "age_group", "device", "city"),
     "c02_default_customer": _facts(customer.default_customer, *SEQUENCE, WHO),
     "d01_first_periods": _facts(_first_periods, WHO, DATE),
@@ -257,9 +254,7 @@ QUERIES: dict[str, Query] = {
     "r49_probability_histogram": _churn(risk.probability_histogram),
     "r50_what_if": _what_if,
     "r51_high_risk_list": _churn(risk.high_risk_list),
-    "r52_churn_labels": lambda spark, d: risk.churn_labels(
-        rfm_plan.rfm_base(workspace(spark, d).facts(*rfm_plan.NEEDS))
-    ),
+    "r52_churn_labels": _rfm(risk.churn_labels),
     # product
     "r53_category_stats": _cells(product.category_stats, *SALES, WHO, "price"),
     "r53_category_matrix": _cells(
@@ -285,10 +280,7 @@ QUERIES: dict[str, Query] = {
     ),
     "r59_order_totals": _cells(customer.order_totals, WHO, STATUS, PAY),
     "r59_order_list": _facts(
-        lambda facts: customer.order_list(facts).withColumns(
-            {c: F.col(c).cast("double") for c in ("price", "discount_amount", PAY)}
-        ),
-        WHO, DATE, "category", "price", "discount_amount", PAY, "review_score", STATUS, "city",
+        customer.order_list, WHO, DATE, "category", "price", "discount_amount", PAY, "review_score", STATUS, "city",
     ),
     "r60_customer_profile": _facts(
         lambda facts: customer.profile(behaviour.behaviour_features(facts)), *BEHAVIOUR

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.scalars import calendar
+from tillwise.functions.aggregates import whole_sum
+from tillwise.functions.scalars import day_name, month_labels, month_start
 from tillwise.operators.predicates import is_cancelled
-from tillwise.schema import CANCELLED
+from tillwise.schema import CANCELLED, SCALES
 
 _MEASURES = (
     "payment_amount",
@@ -29,10 +30,8 @@ _MEASURES = (
 _AVERAGED = ("payment_amount", "price", "discount_pct", "review_score")
 
 DIMENSIONS = (
-    "month",
-    "month_name",
+    "month_start",
     "weekday",
-    "day_of_week",
     "hour",
     "category",
     "city",
@@ -46,11 +45,15 @@ DIMENSIONS = (
 
 
 def order_cells(facts: DataFrame) -> DataFrame:
-    """One cell per order: calendar parts, the measures and how many orders have each of them."""
+    """One cell per order: calendar keys, the measures and how many orders have each of them.
+
+    The keys are dates and numbers; reports turn them into text after they have summed up.
+    """
     have = set(facts.columns)
     cells = {"size": F.lit(1)}
     if "order_date" in have:
-        cells |= calendar("order_date")
+        day = F.to_date("order_date")
+        cells |= {"month_start": month_start(day), "weekday": F.weekday(day), "hour": F.hour("order_date")}
         cells["orders"] = F.col("order_date").isNotNull().cast("int")
     if "order_status" in have:
         cells["cancelled"] = is_cancelled().cast("int")
@@ -63,7 +66,10 @@ def order_cells(facts: DataFrame) -> DataFrame:
 
 
 def roll_up(cells: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """Cells of equal dimensions added up.  Combines before the shuffle."""
+    """Cells of equal dimensions added up.  Combines before the shuffle.
+
+    The sum of one cell is a long; were it to overflow, the query would fail and not wrap around.
+    """
     dimensions = [d for d in dimensions if d in cells.columns]
     measures = [*_MEASURES, *[f"{m}_n" for m in _AVERAGED], "size", "orders", "cancelled"]
     sums = [F.sum(m).alias(m) for m in measures if m in cells.columns]
@@ -86,10 +92,22 @@ def orders() -> Column:
 
 
 def average(measure: str) -> Column:
-    """Mean of a measure over the orders that have it."""
-    return F.try_divide(F.sum(measure).cast("double"), F.sum(f"{measure}_n"))
+    """Mean of a measure, in units, over the orders that have it."""
+    scale = SCALES.get(measure, 1)
+    added = (whole_sum(measure) if scale == 100 else F.sum(measure)).cast("double")
+    return F.try_divide(added / scale, F.sum(f"{measure}_n"))
 
 
 def cancel_rate() -> Column:
     """Cancelled orders, percent of all."""
     return F.try_divide(F.sum("cancelled") * F.lit(100.0), F.sum("size"))
+
+
+def by_month(df: DataFrame) -> DataFrame:
+    """A summary by ``month_start`` with its labels ``month`` and ``month_name``."""
+    return df.withColumns(month_labels("month_start")).drop("month_start")
+
+
+def by_weekday(df: DataFrame) -> DataFrame:
+    """A summary by ``weekday`` with ``day_of_week``."""
+    return df.withColumn("day_of_week", day_name("weekday"))

@@ -10,12 +10,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import exact_total, first_by, total
+from tillwise.functions.aggregates import money_sum, first_by, total
 from tillwise.operators.joins import with_profile
 from tillwise.operators.predicates import eq_or_all
-from tillwise.operators.projections import display
+from tillwise.operators.projections import display, in_units
 from tillwise.operators.summaries import share, summarise
-from tillwise.plans.cells import average, size
+from tillwise.plans.cells import average, by_month, by_weekday, size
 from tillwise.schema import SEQUENCE
 
 # Titles of the order list.
@@ -55,15 +55,15 @@ def home_with_segment(
 
 
 def monthly_spend(cells: DataFrame, customer_id: Any = None) -> DataFrame:
-    keys = ["customer_id", "month", "month_name"]
     chosen = eq_or_all(cells, "customer_id", customer_id)
-    return summarise(chosen, keys, {"spent": total("payment_amount")})
+    spend = by_month(summarise(chosen, ["customer_id", "month_start"], {"spent": total("payment_amount")}))
+    return spend if customer_id is None else spend.orderBy("month")
 
 
 def category_shares(cells: DataFrame, customer_id: Any = None) -> DataFrame:
     """Spend per category and its share of the customer's spend."""
     chosen = eq_or_all(cells, "customer_id", customer_id)
-    spend = summarise(chosen, ["customer_id", "category"], {"spent": exact_total("payment_amount")})
+    spend = summarise(chosen, ["customer_id", "category"], {"spent": money_sum("payment_amount")})
     return share(spend, "spent", by=["customer_id"]).withColumn("spent", F.col("spent").cast("double"))
 
 
@@ -88,7 +88,7 @@ def order_totals(cells: DataFrame, customer_id: Any = None, status: str | None =
 
 def order_list(facts: DataFrame, customer_id: Any = None, status: str | None = None) -> DataFrame:
     """Orders for display: newest first for one customer; for all customers rows with their owner, unsorted."""
-    chosen = eq_or_all(eq_or_all(facts, "customer_id", customer_id), "order_status", status)
+    chosen = in_units(eq_or_all(eq_or_all(facts, "customer_id", customer_id), "order_status", status))
     if customer_id is None:
         return chosen.select("customer_id", *ORDER_TITLES)
     ties = [c for c in SEQUENCE if c in facts.columns]
@@ -112,7 +112,6 @@ def profile(behaviour: DataFrame, customer_id: Any = None) -> DataFrame:
 
 def weekday_spend(cells: DataFrame, customer_id: Any = None) -> DataFrame:
     """Spend by weekday, Monday first."""
-    keys = ["customer_id", "weekday", "day_of_week"]
     chosen = eq_or_all(cells, "customer_id", customer_id)
-    spend = summarise(chosen, keys, {"spent": total("payment_amount")})
+    spend = by_weekday(summarise(chosen, ["customer_id", "weekday"], {"spent": total("payment_amount")}))
     return spend if customer_id is None else spend.orderBy("weekday")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import distinct, total
+from tillwise.functions.aggregates import distinct, mean, total
 from tillwise.functions.scalars import guarded_ratio
 from tillwise.operators.predicates import with_keys
 from tillwise.operators.ranking import top_k
 from tillwise.operators.summaries import matrix, share, summarise
-from tillwise.plans.cells import active_cells, average, size
+from tillwise.plans.cells import active_cells, average, by_month, by_weekday, size
 from tillwise.plans.profit import MARKETING, OVERHEAD
 from tillwise.schema import CANCELLED
 
@@ -18,7 +18,7 @@ from tillwise.schema import CANCELLED
 def executive_kpis(cells: DataFrame) -> DataFrame:
     """Revenue, orders, order value and net profit without cancelled orders; customers and rating with.
 
-    One pass: the cancelled orders are left out inside the aggregates.  Needs raw cells.
+    One pass: the cancelled orders are left out inside the aggregates.  Needs raw cells, one per order.
     """
     kept = ~F.col("order_status").eqNullSafe(CANCELLED)
 
@@ -30,9 +30,7 @@ def executive_kpis(cells: DataFrame) -> DataFrame:
     sums = cells.agg(
         total(only("payment_amount")).alias("revenue"),
         F.coalesce(F.sum(only("size")), F.lit(0)).cast("bigint").alias("orders"),
-        F.try_divide(
-            F.sum(only("payment_amount")).cast("double"), F.sum(only("payment_amount_n"))
-        ).alias("avg_order_value"),
+        mean(only("payment_amount"), 100).alias("avg_order_value"),
         distinct("customer_id").alias("customers"),
         average("review_score").alias("avg_rating"),
         total(only("gross_profit")).alias("_profit"),
@@ -43,9 +41,8 @@ def executive_kpis(cells: DataFrame) -> DataFrame:
 
 
 def monthly_revenue(cells: DataFrame) -> DataFrame:
-    return summarise(
-        active_cells(cells), ["month", "month_name"], {"revenue": total("payment_amount")}
-    ).orderBy("month")
+    revenue = summarise(active_cells(cells), ["month_start"], {"revenue": total("payment_amount")})
+    return by_month(revenue).orderBy("month")
 
 
 def orders_by_status(cells: DataFrame) -> DataFrame:
@@ -70,4 +67,4 @@ def top_categories(cells: DataFrame, k: int = 5) -> DataFrame:
 def weekday_hour_heatmap(cells: DataFrame) -> DataFrame:
     """Orders per weekday (rows, Monday first) and hour (columns ``0`` to ``23``)."""
     known = with_keys(cells, "hour")
-    return matrix(known, ["weekday", "day_of_week"], "hour", list(range(24)), size()).orderBy("weekday")
+    return by_weekday(matrix(known, "weekday", "hour", list(range(24)), size())).orderBy("weekday")

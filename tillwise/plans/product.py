@@ -9,7 +9,7 @@ from tillwise.functions.aggregates import distinct, total
 from tillwise.functions.scalars import discount_text, stars
 from tillwise.operators.predicates import eq_or_all, text_search
 from tillwise.operators.summaries import summarise
-from tillwise.plans.cells import average, cancel_rate, orders, size
+from tillwise.plans.cells import average, by_month, cancel_rate, orders, size
 
 
 def category_stats(cells: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def category_drill_kpis(cells: DataFrame, category: str | None = None) -> DataFr
 
 
 def category_drill_months(cells: DataFrame, category: str | None = None) -> DataFrame:
-    keys = ["category", "month", "month_name"]
     chosen = eq_or_all(cells, "category", category)
-    return summarise(chosen, keys, {"revenue": total("payment_amount")}).orderBy("category", "month")
+    revenue = summarise(chosen, ["category", "month_start"], {"revenue": total("payment_amount")})
+    return by_month(revenue).orderBy("category", "month")
 
 
 def category_drill_cities(cells: DataFrame, category: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.aggregates import total
 from tillwise.functions.scalars import guarded_ratio, ratio
 from tillwise.operators.summaries import summarise
-from tillwise.plans.cells import active_cells, orders
+from tillwise.plans.cells import active_cells, by_month, orders
 
 # Operating expenses as a share of revenue; for a month or category in one sum.
 MARKETING = 0.08
@@ -74,11 +74,8 @@ def waterfall(summary: DataFrame) -> DataFrame:
 
 def pnl_monthly(cells: DataFrame) -> DataFrame:
     net = F.col("gross_profit") - F.col("revenue") * OPERATING
-    return (
-        summarise(active_cells(cells), ["month", "month_name"], _statement())
-        .withColumn("net_profit", net)
-        .orderBy("month")
-    )
+    months = summarise(active_cells(cells), ["month_start"], _statement())
+    return by_month(months.withColumn("net_profit", net)).orderBy("month")
 
 
 def pnl_by_category(cells: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import distinct, exact_total, rate, total
+from tillwise.functions.aggregates import distinct, money_sum, rate, total
 from tillwise.operators.distributions import histogram
 from tillwise.operators.ranking import top_k
 from tillwise.operators.summaries import share, summarise
-from tillwise.plans.cells import average, orders
+from tillwise.plans.cells import average, by_month, orders
 
 
 def orders_per_customer(facts: DataFrame) -> DataFrame:
@@ -44,20 +44,21 @@ def new_vs_returning(cells: DataFrame) -> DataFrame:
     """
     monthly = summarise(
         cells,
-        ["customer_id", "month"],
-        {"orders": F.sum("size"), "revenue": exact_total("payment_amount")},
+        ["customer_id", "month_start"],
+        {"orders": F.sum("size"), "payment_amount": F.sum("payment_amount")},
     )
-    first = F.min("month").over(Window.partitionBy("customer_id"))
-    kind = F.when(F.col("month") == first, "New").otherwise("Returning")
-    return summarise(
+    first = F.min("month_start").over(Window.partitionBy("customer_id"))
+    kind = F.when(F.col("month_start") == first, "New").otherwise("Returning")
+    typed = summarise(
         monthly.withColumn("customer_type", kind),
-        ["month", "customer_type"],
+        ["month_start", "customer_type"],
         {
             "orders": F.sum("orders"),
             "customers": F.count("*"),
-            "revenue": total("revenue"),
+            "revenue": total("payment_amount"),
         },
-    ).orderBy("month", "customer_type")
+    )
+    return by_month(typed).orderBy("month", "customer_type")
 
 
 def new_vs_returning_orders(cells: DataFrame) -> DataFrame:
@@ -81,6 +82,6 @@ def geo_table(cells: DataFrame) -> DataFrame:
 
 def geo_treemap(cells: DataFrame) -> DataFrame:
     """Area (share of revenue) and colour (order value) of each city."""
-    measures = {"revenue": exact_total("payment_amount"), "avg_order_value": average("payment_amount")}
+    measures = {"revenue": money_sum("payment_amount"), "avg_order_value": average("payment_amount")}
     tiles = share(summarise(cells, ["city"], measures), "revenue")
     return tiles.withColumn("revenue", F.col("revenue").cast("double"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import first_by, last_by, mean
+from tillwise.functions.aggregates import money_sum, mean
 from tillwise.functions.scalars import whole_days
 from tillwise.operators.joins import scalar_of
-from tillwise.operators.predicates import active, with_keys
+from tillwise.operators.predicates import is_cancelled, with_keys
 from tillwise.operators.ranking import global_rank, qcut, quantile_of_rank
 from tillwise.schema import SEQUENCE
+from tillwise.session import settle
 
 NEEDS = (
     *SEQUENCE, "customer_id", "order_date", "order_status", "payment_amount", "review_score",
@@ -23,24 +24,33 @@ def rfm_base(facts: DataFrame, sequence: tuple[str, ...] = SEQUENCE) -> DataFram
 
     Recency counts whole days from the last order to the day after the newest order of the whole table,
     cancelled ones included.  First attributes and last category follow the sequence, not the date.
+
+    The facts are read once: cancelled orders go into the same aggregation, for the newest date only, and
+    the stored customer rows then give both the newest date and the result.
     """
-    newest = scalar_of(facts, F.max("order_date") + F.expr("INTERVAL 1 DAY"))
-    last_order = F.col("_last_order")
-    grouped = (
-        with_keys(active(facts), "customer_id")
-        .groupBy("customer_id")
-        .agg(
-            F.max("order_date").alias("_last_order"),
-            F.count("order_date").alias("frequency"),
-            F.coalesce(F.sum("payment_amount"), F.lit(0)).cast("decimal(22,2)").alias("monetary"),
-            mean("review_score").alias("avg_rating"),
-            first_by(F.struct("city", "gender", "age_group", "device"), sequence).alias("_first"),
-            last_by("category", sequence).alias("last_category"),
+    kept = ~is_cancelled()
+
+    def only(x: Column) -> Column:
+        return F.when(kept, x)
+
+    place = only(F.struct(*sequence))
+    customers = settle(
+        facts.groupBy("customer_id").agg(
+            F.max("order_date").alias("_newest"),
+            F.count_if(kept).alias("_kept"),
+            F.max(only(F.col("order_date"))).alias("_last_order"),
+            F.count(only(F.col("order_date"))).alias("frequency"),
+            money_sum(only(F.col("payment_amount"))).alias("monetary"),
+            mean(only(F.col("review_score"))).alias("avg_rating"),
+            F.min_by(F.struct("city", "gender", "age_group", "device"), place).alias("_first"),
+            F.max_by("category", place).alias("last_category"),
         )
     )
-    return grouped.select(
+    snapshot = F.max("_newest") + F.expr("INTERVAL 1 DAY")
+    newest = scalar_of(customers, snapshot)
+    return with_keys(customers, "customer_id").where("_kept > 0").select(
         "customer_id",
-        whole_days(last_order, newest).cast("int").alias("recency"),
+        whole_days("_last_order", newest).cast("int").alias("recency"),
         "frequency",
         "monetary",
         "avg_rating",

@@ -73,3 +73,8 @@ def workspace(spark: SparkSession, directory: str) -> Workspace:
     if key not in _open:
         _open[key] = Workspace(spark, str(directory))
     return _open[key]
+
+
+def forget() -> None:
+    """Drop all workspaces, so that the next report computes its inputs anew."""
+    _open.clear()

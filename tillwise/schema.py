@@ -8,28 +8,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(12,2)"
-_MONEY = T.DecimalType(12, 2)
-
 CANCELLED = "cancelled"
 
-# Fixed type of every fact column.  Money is decimal, so sums are exact and do not depend on the order in
-# which partitions are merged; reports cast to double last.
+# Fixed type of every fact column.  Money is in whole hundredths and the discount in whole tenths of a
+# percent: rounding is exact, sums do not depend on the order in which partitions are merged, and both stay
+# primitive arithmetic inside generated code.  Reports turn them into units last.
 FACT_TYPES: dict[str, T.DataType] = {
     "customer_id": T.LongType(),
     "order_date": T.TimestampNTZType(),
     "category": T.StringType(),
-    "price": _MONEY,
-    "cogs": _MONEY,
-    "delivery_cost": _MONEY,
-    "delivery_charge": _MONEY,
-    "discount_pct": T.DecimalType(5, 1),
-    "discount_amount": _MONEY,
-    "payment_amount": _MONEY,
-    "gross_profit": _MONEY,
+    "price": T.LongType(),
+    "cogs": T.LongType(),
+    "delivery_cost": T.LongType(),
+    "delivery_charge": T.LongType(),
+    "discount_pct": T.LongType(),
+    "discount_amount": T.LongType(),
+    "payment_amount": T.LongType(),
+    "gross_profit": T.LongType(),
     "gross_margin_pct": T.DoubleType(),
     "review_score": T.IntegerType(),
     "order_status": T.StringType(),
@@ -39,6 +38,18 @@ FACT_TYPES: dict[str, T.DataType] = {
     "city": T.StringType(),
 }
 
+# How many of a column's whole numbers make one unit.
+SCALES = {
+    "price": 100,
+    "cogs": 100,
+    "delivery_cost": 100,
+    "delivery_charge": 100,
+    "discount_pct": 10,
+    "discount_amount": 100,
+    "payment_amount": 100,
+    "gross_profit": 100,
+}
+
 # Together these name one order line; they stand for "row order" wherever a result depends on it.
 SEQUENCE = ("order_key", "line_number", "part_key", "supplier_key", "price")
 
@@ -67,13 +78,21 @@ class FactSchema:
     city: str = "city"
 
     def conform(self, df: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
-        """Rename to the canonical columns and check the types of those present.
+        """Rename a table in plain units to the canonical columns, scale its money, check its types.
 
         ``DataFrame.to`` fails on a column that cannot be cast without loss.  Columns that are not facts
         (sequence keys and the like) pass through as they are.  ``id_type`` is for string customer ids.
         """
         renamed = df.withColumnsRenamed({getattr(self, f.name): f.name for f in fields(self)})
+        scaled = renamed.withColumns(
+            {c: whole(F.col(c), scale) for c, scale in SCALES.items() if c in renamed.columns}
+        )
         types = {**FACT_TYPES, **({"customer_id": id_type} if id_type else {})}
-        return renamed.to(
-            T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in renamed.schema])
+        return scaled.to(
+            T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in scaled.schema])
         )
+
+
+def whole(x: Column, scale: int) -> Column:
+    """An amount in units as a whole number of 1/scale units."""
+    return F.rint(x.cast("double") * scale).cast("bigint")

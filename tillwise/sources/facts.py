@@ -13,29 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import band, lookup
-from tillwise.operators.projections import decimal_rate, order_economics
-from tillwise.schema import CANCELLED, FACT_TYPES, MONEY, SEQUENCE
+from tillwise.operators.projections import order_economics
+from tillwise.schema import CANCELLED, FACT_TYPES, SEQUENCE, whole
 
-# Cost of a product as a share of its price, by product type.
+# Cost of a product in ten-thousandths of its price, by product type.
 COST_RATIOS = {
-    "ECONOMY": "0.70",
-    "LARGE": "0.50",
-    "MEDIUM": "0.52",
-    "PROMO": "0.40",
-    "SMALL": "0.38",
-    "STANDARD": "0.62",
+    "ECONOMY": 7000,
+    "LARGE": 5000,
+    "MEDIUM": 5200,
+    "PROMO": 4000,
+    "SMALL": 3800,
+    "STANDARD": 6200,
 }
 
 # Age groups, oldest first, and the account balances they start above (five equal bands).
 AGE_GROUPS = ["55+", "45-54", "35-44", "25-34", "18-24"]
 AGE_CUTS = [7800, 5600, 3400, 1200]
 
-DELIVERY_COST_RATE = "0.06"
-DELIVERY_CHARGE_RATE = "0.05"
+# Delivery rates in ten-thousandths of the price; the tax rate is added to the charge.
+DELIVERY_COST_RATE = 600
+DELIVERY_CHARGE_RATE = 500
 
 _CUSTOMER = {"gender", "age_group", "device", "city"}
 _PART = {"category", "cogs", "gross_profit", "gross_margin_pct"}
-_RATE = "decimal(4,2)"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -52,15 +52,15 @@ def load_facts(spark: SparkSession, directory: str, columns: Iterable[str] | Non
             F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category")
         )
         facts = facts.join(parts, "part_key", "left")
-        cost_ratio = lookup("category", COST_RATIOS).cast(_RATE)
+        cost_ratio = lookup("category", COST_RATIOS).cast("bigint")
     else:
-        cost_ratio = F.lit(None).cast(_RATE)
+        cost_ratio = F.lit(None).cast("bigint")
     facts = order_economics(
         facts,
         cost_ratio=cost_ratio,
         discount_rate=F.col("discount_rate"),
-        cost_rate=decimal_rate(DELIVERY_COST_RATE),
-        charge_rate=decimal_rate(DELIVERY_CHARGE_RATE) + F.col("tax_rate"),
+        cost_rate=F.lit(DELIVERY_COST_RATE),
+        charge_rate=F.col("tax_rate") + DELIVERY_CHARGE_RATE,
     )
     status = (
         F.when((F.col("header_status") == "P") & (F.col("return_flag") == "R"), CANCELLED)
@@ -117,7 +117,7 @@ def load_events(spark: SparkSession, directory: str) -> DataFrame:
         F.col("user_id").alias("customer_id"),
         F.col("ts").alias("order_date"),
         F.col("event_type").alias("category"),
-        F.col("value").cast(MONEY).alias("payment_amount"),
+        whole(F.col("value"), 100).alias("payment_amount"),
     )
 
 
@@ -127,9 +127,9 @@ def _lines(spark: SparkSession, directory: str) -> DataFrame:
         F.col("l_linenumber").alias("line_number"),
         F.col("l_partkey").alias("part_key"),
         F.col("l_suppkey").alias("supplier_key"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_discount").cast(_RATE).alias("discount_rate"),
-        F.col("l_tax").cast(_RATE).alias("tax_rate"),
+        whole(F.col("l_extendedprice"), 100).alias("price"),
+        whole(F.col("l_discount"), 10_000).alias("discount_rate"),
+        whole(F.col("l_tax"), 10_000).alias("tax_rate"),
         F.col("l_returnflag").alias("return_flag"),
         (F.col("l_quantity").cast("int") % 5 + 1).alias("review_score"),
     )
