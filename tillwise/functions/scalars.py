@@ -14,12 +14,12 @@ def half_even(x: Column | str, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
-def whole_half_even(x: Column, divisor: int) -> Column:
-    """x / divisor of whole numbers, rounded half to even in whole numbers."""
-    rest = F.pmod(x, F.lit(divisor))
-    down = F.call_function("div", x - rest, F.lit(divisor))
-    up = (rest * 2 > divisor) | ((rest * 2 == divisor) & (F.pmod(down, F.lit(2)) == 1))
-    return down + up.cast("bigint")
+def whole_half_even(x: str, divisor: int) -> Column:
+    """x / divisor of whole numbers, rounded half to even in whole numbers; ``x`` is SQL text."""
+    rest = f"pmod({x}, {divisor})"
+    down = f"(({x}) - {rest}) div {divisor}"
+    up = f"2 * {rest} > {divisor} OR (2 * {rest} = {divisor} AND pmod({down}, 2) = 1)"
+    return F.expr(f"{down} + CASE WHEN {up} THEN 1 ELSE 0 END")
 
 
 def clip(x: Column, low: Any, high: Any) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import band
+from tillwise.models.layout import in_fixed_order
 from tillwise.operators.projections import fill_zero
 
 # Model inputs and their titles; risk levels from high to low and their strict lower limits.
@@ -47,14 +48,12 @@ def train_churn(
 ) -> PipelineModel | None:
     """The fitted pipeline, or None with fewer than ``min_rows`` customers or one class.
 
-    ``holdout`` keeps that share of the customers (by hash of their id) out of training.  Rows are placed
-    by customer and sorted so that a seed bags the same rows again.
+    ``holdout`` keeps that share of the customers (by hash of their id) out of training.
     """
     table = _features(rfm).withColumn("label", at_risk(days=days))
     if holdout:
         table = table.where(~held_out(holdout))
-    table = table.repartition("customer_id").sortWithinPartitions("customer_id")
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table = in_fixed_order(table, at_least=64).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = table.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("classes")).first()
         if size.rows < min_rows or size.classes < 2:

@@ -12,6 +12,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.models.layout import in_fixed_order
+
 # Segment names, from the lowest to the highest mean spend of a cluster.
 SEGMENTS = ("Budget Buyers", "Regular Customers", "Loyal Customers", "Top Customers")
 SEEDS = tuple(range(42, 52))
@@ -23,19 +25,18 @@ def segment(
     k: int = 4,
     seeds: Sequence[int] = SEEDS,
     labels: Sequence[str] = SEGMENTS,
-    parallelism: int = 5,
+    parallelism: int = 10,
 ) -> tuple[DataFrame, PipelineModel]:
     """``rfm`` with ``cluster`` and ``segment``, and the fitted pipeline (scaling and best clustering).
 
     One clustering per seed, of which the one with the lowest cost is kept.  All restarts read the same
     persisted vectors, ``parallelism`` of them at a time: an iteration is a short job that leaves most of
-    a cluster idle.  Rows are placed by customer and sorted, so a seed draws the same starting points in
-    every run on the same partition count.
+    a cluster idle.
     """
     if len(labels) != k:
         raise ValueError("segment needs one label per cluster")
     placed = rfm.select("customer_id", *[F.col(c).cast("double") for c in FEATURES])
-    placed = placed.repartition("customer_id").sortWithinPartitions("customer_id")
+    placed = in_fixed_order(placed)
     scaling = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="raw_features"),
@@ -59,7 +60,7 @@ def _restarts(vectors: DataFrame, k: int, seeds: Sequence[int], parallelism: int
         return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, predictionCol="cluster").fit(vectors)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(inheritable_thread_target(fit), seeds))
+        return list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), seeds))
 
 
 def apply_segments(rfm: DataFrame, model: PipelineModel) -> DataFrame:

@@ -33,45 +33,44 @@ _UNIT = 10_000  # rates are whole ten-thousandths
 
 def order_economics(
     df: DataFrame,
-    cost_ratio: Column,
-    discount_rate: Column,
-    cost_rate: Column,
-    charge_rate: Column,
+    cost_ratio: str | None = "cost_ratio",
+    discount_rate: str = "discount_rate",
+    cost_rate: str = "cost_rate",
+    charge_rate: str = "charge_rate",
     cost_clip: tuple[int, int] = (30, 400),
     charge_clip: tuple[int, int] = (40, 500),
 ) -> DataFrame:
-    """Cost, delivery, discount, payment and profit of each order from its ``price`` and four rates.
+    """Cost, delivery, discount, payment and profit of each order from its ``price`` and four rate columns.
 
     Price and results are whole hundredths, rates whole ten-thousandths.  Cost of goods is rounded to
-    hundredths, all else to units, half to even and without leaving whole numbers.
+    hundredths, all else to units, half to even and without leaving whole numbers.  Without a cost ratio
+    there are no cost of goods and no profit.
     """
-    price = F.col("price")
 
-    def units(rate: Column) -> Column:
-        return whole_half_even(price * rate, 100 * _UNIT)
+    def units(rate: str) -> Column:
+        return whole_half_even(f"price * {rate}", 100 * _UNIT)
 
     df = df.withColumns(
         {
-            "cogs": whole_half_even(price * cost_ratio, _UNIT),
+            "discount_pct": whole_half_even(discount_rate, 10),
+            "discount_amount": units(discount_rate) * 100,
             "delivery_cost": units(cost_rate),
             "delivery_charge": units(charge_rate),
-            "discount_amount": units(discount_rate) * 100,
-            "discount_pct": whole_half_even(discount_rate, 10),
         }
-    )
-    df = df.withColumns(
+    ).withColumns(
         {
             "delivery_cost": clip(F.col("delivery_cost"), *cost_clip) * 100,
             "delivery_charge": clip(F.col("delivery_charge"), *charge_clip) * 100,
         }
     )
-    due = price - F.col("discount_amount") + F.col("delivery_charge")
-    df = df.withColumn("payment_amount", whole_half_even(due, 100) * 100)
-    df = df.withColumn("gross_profit", F.col("payment_amount") - F.col("cogs") - F.col("delivery_cost"))
-    margin = F.col("gross_profit") / F.col("payment_amount") * 100
-    return df.withColumn(
-        "gross_margin_pct", F.when(F.col("payment_amount") > 0, half_even(margin, 1)).otherwise(0.0)
-    )
+    paid = whole_half_even("price - discount_amount + delivery_charge", 100) * 100
+    df = df.withColumn("payment_amount", paid)
+    if cost_ratio is None:
+        return df
+    df = df.withColumn("cogs", whole_half_even(f"price * {cost_ratio}", _UNIT))
+    df = df.withColumn("gross_profit", F.expr("payment_amount - cogs - delivery_cost"))
+    margin = half_even(F.expr("gross_profit / payment_amount * 100"), 1)
+    return df.withColumn("gross_margin_pct", F.when(F.col("payment_amount") > 0, margin).otherwise(0.0))
 
 
 def in_units(df: DataFrame) -> DataFrame:

@@ -35,7 +35,16 @@ DELIVERY_COST_RATE = 600
 DELIVERY_CHARGE_RATE = 500
 
 _CUSTOMER = {"gender", "age_group", "device", "city"}
-_PART = {"category", "cogs", "gross_profit", "gross_margin_pct"}
+_COSTED = {"cogs", "gross_profit", "gross_margin_pct"}
+_PART = {"category"} | _COSTED
+_ECONOMICS = _COSTED | {
+    "discount_pct", "discount_amount", "delivery_cost", "delivery_charge", "payment_amount",
+}
+_STATUS = f"""
+    CASE WHEN header_status = 'P' AND return_flag = 'R' THEN '{CANCELLED}'
+         WHEN header_status = 'F' THEN 'delivered'
+         WHEN header_status = 'O' THEN 'shipped'
+         WHEN header_status = 'P' THEN 'processing' END"""
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -52,23 +61,18 @@ def load_facts(spark: SparkSession, directory: str, columns: Iterable[str] | Non
             F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category")
         )
         facts = facts.join(parts, "part_key", "left")
-        cost_ratio = lookup("category", COST_RATIOS).cast("bigint")
-    else:
-        cost_ratio = F.lit(None).cast("bigint")
-    facts = order_economics(
-        facts,
-        cost_ratio=cost_ratio,
-        discount_rate=F.col("discount_rate"),
-        cost_rate=F.lit(DELIVERY_COST_RATE),
-        charge_rate=F.col("tax_rate") + DELIVERY_CHARGE_RATE,
-    )
-    status = (
-        F.when((F.col("header_status") == "P") & (F.col("return_flag") == "R"), CANCELLED)
-        .when(F.col("header_status") == "F", "delivered")
-        .when(F.col("header_status") == "O", "shipped")
-        .when(F.col("header_status") == "P", "processing")
-    )
-    return facts.withColumn("order_status", status).select(*wanted)
+    if _ECONOMICS & set(wanted):
+        rates = {
+            "cost_rate": F.lit(DELIVERY_COST_RATE),
+            "charge_rate": F.col("tax_rate") + DELIVERY_CHARGE_RATE,
+        }
+        costed = bool(_COSTED & set(wanted))
+        if costed:
+            rates["cost_ratio"] = lookup("category", COST_RATIOS)
+        facts = order_economics(facts.withColumns(rates), "cost_ratio" if costed else None)
+    if "order_status" in wanted:
+        facts = facts.withColumn("order_status", F.expr(_STATUS))
+    return facts.select(*wanted)
 
 
 def order_headers(spark: SparkSession, directory: str, attributes: Iterable[str] = ()) -> DataFrame:
