@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.operators.joins import join_per_key
 from tillwise.operators.predicates import with_keys
 from tillwise.operators.ranking import exact_quantiles
-from tillwise.session import broadcast_if_small
+from tillwise.session import settle
 
 
 def histogram(
@@ -47,12 +48,12 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
         F.col("n").alias("customers"),
         *[F.col(f"edge_{k}").alias(a) for k, a in ((0, "minimum"), (1, "q1"), (2, "median"), (3, "q3"), (4, "maximum"))],
     )
-    quartiles = broadcast_if_small(quartiles)
+    quartiles = settle(quartiles)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(value).cast("double")
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     whiskers = (
-        df.join(quartiles, by)
+        join_per_key(df, quartiles.select(by, "q1", "q3", "customers"), by, "customers")
         .groupBy(by)
         .agg(
             F.min(F.when(inside, x)).alias("lower_whisker"),

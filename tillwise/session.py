@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def session(app: str = "tillwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,9 +49,3 @@ def _use_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tillwise-")
     context.setCheckpointDir(folder)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has been counted and is small; else ``df``, for a shuffle join."""
-    stored = settle(df)
-    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
