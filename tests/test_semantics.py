@@ -180,6 +180,15 @@ def test_band_counts_keep_empty_bands(spark):
     assert [(r.risk, r.customers, round(r.share, 3)) for r in rows] == [("High", 1, 0.333), ("Medium", 0, 0.0), ("Low", 2, 0.667)]
 
 
+def test_share_of_few_and_many(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", None)], "k string, n int")
+    for many in (False, True):
+        rows = summaries.share(df, "n", many=many).orderBy("k").collect()
+        assert [r.share for r in rows] == [0.25, 0.75, 0.0]
+    empty = summaries.share(df.where("n > 9"), "n")
+    assert empty.count() == 0
+
+
 def test_matrix_fills(spark):
     df = spark.createDataFrame([(0, 7), (0, 7), (1, 9)], "d int, h int")
     rows = summaries.matrix(df, "d", "h", [7, 8, 9], F.count("h")).orderBy("d").collect()

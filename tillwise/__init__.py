@@ -1,0 +1 @@
+"""Retail customer analytics on Spark."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import guarded_ratio
 from tillwise.operators.predicates import with_keys
+from tillwise.session import settle
 
 
 def summarise(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
@@ -23,16 +24,21 @@ def value_counts(df: DataFrame, column: str, count: str = "orders") -> DataFrame
     return summarise(df, [column], {count: F.count("*")}).orderBy(F.desc(count), column)
 
 
-def share(df: DataFrame, measure: str, name: str = "share", by: Sequence[str] = ()) -> DataFrame:
+def share(
+    df: DataFrame, measure: str, name: str = "share", by: Sequence[str] = (), many: bool = False
+) -> DataFrame:
     """Each row's part of the total of ``measure``, over all rows or over the rows with equal ``by``.
 
-    The total is a one-row scalar subquery, so all groups need not meet in one task.  ``by`` is for
-    summaries in which each ``by`` group has few rows, such as the categories of a customer.
+    ``df`` is a summary.  If it has a row per city or segment, its few rows meet in one task for the total,
+    which spares a second pass over the facts.  For a summary with ``many`` rows it is stored first and the
+    total is a scalar subquery over the stored rows.  ``by`` is for totals of few rows each, such as the
+    categories of a customer.
     """
-    if by:
-        whole = F.sum(measure).over(Window.partitionBy(*by))
-    else:
+    if many:
+        df = settle(df)
         whole = df.agg(F.sum(measure)).scalar()
+    else:
+        whole = F.sum(measure).over(Window.partitionBy(*by))
     return df.withColumn(name, guarded_ratio(F.col(measure).cast("double"), whole.cast("double")))
 
 
