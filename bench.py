@@ -58,7 +58,8 @@ def main() -> None:
     for name in HEADLINE:
         if name not in ONCE:
             run(spark, name, directory)
-        times[name] = round(statistics.median(run(spark, name, directory) for _ in range(1 if name in ONCE else runs)), 3)
+        repeats = 1 if name in ONCE else runs
+        times[name] = round(statistics.median(run(spark, name, directory) for _ in range(repeats)), 3)
     spark.stop()
     print(
         json.dumps(

@@ -9,6 +9,9 @@ from tillwise.operators.joins import join_per_key
 from tillwise.plans import customer
 from tillwise.plans.catalogue import QUERIES
 from tillwise.plans.cells import order_cells
+from tillwise.plans.product import shop_catalogue
+from tillwise.plans.profit import pnl_by_category
+from tillwise.plans.workspace import Workspace
 from tillwise.sources.facts import load_facts
 
 LAZY = [name for name in QUERIES if name[0] in "abcdhr" and name not in ("r09_rfm_scores",)]
@@ -46,6 +49,17 @@ def test_only_needed_columns_and_tables_are_read(spark, data):
     assert reads(QUERIES["r39_retention_rates_by_order"](spark, data)) == {"o_custkey"}
 
 
+def test_stored_facts_are_scanned_alone(spark, data, tmp_path):
+    space = Workspace(spark, data)
+    wanted = ("category", "order_date", "order_status", "payment_amount", "cogs", "gross_profit")
+    before = sorted(map(tuple, pnl_by_category(space.cells(*wanted)).collect()))
+    space.store_facts(str(tmp_path / "facts"), ["category"])
+    report = pnl_by_category(space.cells(*wanted))
+    assert reads(report) == {"order_date", "order_status", "payment_amount", "cogs", "gross_profit"}
+    assert "Join" not in plan(report)
+    assert sorted(map(tuple, report.collect())) == before
+
+
 def test_customer_filter_reaches_the_scan(spark, data):
     facts = load_facts(spark, data, ["customer_id", "payment_amount", "order_date"])
     text = plan(customer.weekday_spend(order_cells(facts), 7))
@@ -54,8 +68,6 @@ def test_customer_filter_reaches_the_scan(spark, data):
 
 def test_category_filter_is_applied_before_the_aggregation(spark, data):
     facts = load_facts(spark, data, ["category", "price", "review_score", "order_date", "discount_pct"])
-    from tillwise.plans.product import shop_catalogue
-
     assert "EqualTo(p_type,PROMO)" in plan(shop_catalogue(order_cells(facts), category="PROMO"))
 
 

@@ -43,10 +43,11 @@ def histogram(
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and outlier count."""
     df = with_keys(df, by, value).select(by, value)
+    names = ("minimum", "q1", "median", "q3", "maximum")
     quartiles = exact_quantiles(df, value, 4, [by]).select(
         by,
         F.col("n").alias("customers"),
-        *[F.col(f"edge_{k}").alias(a) for k, a in ((0, "minimum"), (1, "q1"), (2, "median"), (3, "q3"), (4, "maximum"))],
+        *[F.col(f"edge_{k}").alias(name) for k, name in enumerate(names)],
     )
     quartiles = settle(quartiles)
     reach = (F.col("q3") - F.col("q1")) * 1.5

@@ -14,6 +14,7 @@ from tillwise.plans import rfm as rfm_plan
 from tillwise.plans.cells import order_cells, roll_up
 from tillwise.session import settle
 from tillwise.sources.facts import load_facts
+from tillwise.sources.tables import materialise
 
 CUBE_NEEDS = (
     "order_date", "category", "city", "device", "gender", "age_group", "order_status", "review_score",
@@ -28,8 +29,16 @@ class Workspace:
         self.spark = spark
         self.directory = directory
         self.seeds = seeds
+        self._stored: DataFrame | None = None
+
+    def store_facts(self, path: str, partition_by: Sequence[str] = ()) -> None:
+        """Join the fact table once and write it to ``path``; later reports scan their columns of it."""
+        self._stored = materialise(load_facts(self.spark, self.directory), path, partition_by)
 
     def facts(self, *columns: str) -> DataFrame:
+        """The named fact columns, or all."""
+        if self._stored is not None:
+            return self._stored.select(*columns) if columns else self._stored
         return load_facts(self.spark, self.directory, columns or None)
 
     def cells(self, *columns: str) -> DataFrame:
@@ -46,7 +55,7 @@ class Workspace:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return settle(rfm_plan.rfm_scores(self.rfm))
+        return rfm_plan.rfm_scores(self.rfm)  # its ranked rows are stored already
 
     @cached_property
     def segments(self) -> DataFrame:

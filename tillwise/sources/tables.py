@@ -20,7 +20,7 @@ def read_facts(spark: SparkSession, path: str, schema: FactSchema = FactSchema()
 def materialise(df: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Compute once for all later reports: as a parquet table at ``path``, else persisted.
 
-    Partitioned by ``month``, later reports on a period read only its files.  ``path`` must be new.
+    A report that filters on a partition column reads only the files of its values.  ``path`` must be new.
     """
     if path is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
