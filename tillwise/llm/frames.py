@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillwise.session import settle
 
-__all__ = ["connected_components", "per_batch", "read", "settle", "words_column"]
+__all__ = ["connected_components", "per_batch", "read", "settle", "ship", "words_column"]
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +23,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this library's Python files to the executors, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_tillwise_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tillwise-")) / "tillwise.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(package.rglob("*.py")):
+            file.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tillwise_shipped = True
+
+
 def words_column(text: Column) -> Column:
     """Number of words of ``text``; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import linededup, simhash
-from tillwise.llm.frames import read
+from tillwise.llm import cotrain, langid, linededup, pieces, simhash, tokencount
+from tillwise.llm.frames import read, ship
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the files are installed with Python on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.encode_decode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return made.withColumnRenamed("id", "doc_id")
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    made = langid.predict(docs, langid.fit(docs))
+    return made.select(
+        F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tokencount.count_tokens(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return made.withColumnRenamed("id", "doc_id")
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +61,21 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run after the executors have this library's files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op3_simhash_near_dedup": simhash_near_dedup,
-    "op7_line_dedup": line_dedup,
+    "op1_piece_coding": shipped(piece_coding),
+    "op3_simhash_near_dedup": shipped(simhash_near_dedup),
+    "op5_language_id": shipped(language_id),
+    "op7_line_dedup": shipped(line_dedup),
+    "op8_token_counts": shipped(token_counts),
+    "op9_quality": shipped(quality),
 }
