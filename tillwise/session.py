@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,22 +31,33 @@ def session(app: str = "tillwise", master: str | None = None, **conf: str) -> Sp
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared checkpoint folder, and return the stored rows.
+    """Compute ``df`` once, into the shared folder, and return the stored rows in the same partitions.
 
-    Used where a second evaluation would repeat heavy work or could give other rows (range partition
-    bounds are sampled).  The files outlive any executor.
+    Used where a second evaluation could give other rows (range partition bounds are sampled) or where the
+    order of partitions counts.  The files outlive any executor.
     """
-    _use_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _use_checkpoint_dir(spark: SparkSession) -> None:
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and return a scan of it.
+
+    Later plans read only the columns they use and push their filters down.  Partitions and their order are
+    not kept.  The files outlive any executor and stay in the application's folder.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder for stored tables, which the driver and all executors can reach.
+
+    It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse, which is shared as well.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tillwise-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored")
+    return context.getCheckpointDir()
