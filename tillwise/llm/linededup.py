@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.frames import settle
+
 #: Tags after which a new line of text begins; other tags vanish.
 SCRIPTS = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>"
 BREAKS = r"(?i)</?(?:title|p|div|li|ul|nav|article|footer|header|h[1-6]|br|td|tr|table|pre|body)(?:[ /][^>]*)?>"
@@ -69,9 +71,10 @@ def mark_lines(
     text very often does not lose that text.  Null texts give an empty ``kept_text`` without lines; a null host
     is a host of its own; blank lines are never frequent; repeated rows count as pages of their own.
     The frequent lines of a host are at most its mean number of lines per page divided by ``ratio``; they are
-    gathered per host and joined to its pages, which adaptive execution splits where a host is hot.
+    gathered per host, stored, and joined to its pages; as both sides are then shuffled for the join alone,
+    adaptive execution can split the pages of a hot host.
     """
-    frequent = (
+    frequent = settle(
         boilerplate(pages, id_column, host, text, ratio, min_pages)
         .groupBy(F.col("host").alias("__host"))
         .agg(F.collect_set("line_key").alias("__frequent"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import cotrain, langid, linededup, pieces, simhash, tokencount
+from tillwise.llm import cotrain, langid, linededup, mixing, pieces, simhash, tokencount
 from tillwise.llm.frames import read, ship
 
 
@@ -50,6 +50,10 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.choose(read(spark, sf_dir, "documents"), mixing.PRODUCTION).withColumnRenamed("id", "doc_id")
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(
         "page_id",
@@ -75,6 +79,7 @@ QUERIES = {
     "op1_piece_coding": shipped(piece_coding),
     "op3_simhash_near_dedup": shipped(simhash_near_dedup),
     "op5_language_id": shipped(language_id),
+    "op6_source_mixing": shipped(source_mixing),
     "op7_line_dedup": shipped(line_dedup),
     "op8_token_counts": shipped(token_counts),
     "op9_quality": shipped(quality),

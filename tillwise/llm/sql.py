@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tillwise.llm.mixing import LEAF, PRODUCTION, Mix
+
 LINE_DEDUP = r"""
 WITH shown AS (
   SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')) AS host,
@@ -35,4 +37,45 @@ SELECT page_id, host, coalesce(n_lines, 0) AS n_lines,
 FROM shown LEFT JOIN page USING (row_id)
 """
 
-ORACLES = {"op7_line_dedup": LINE_DEDUP}
+
+def _case(values: dict, key: str, default: object) -> str:
+    literal = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "CASE " + "".join(f"WHEN {key} = '{k}' THEN {literal(v)} " for k, v in values.items()) + (
+        f"ELSE {literal(default)} END" if values else f"ELSE {literal(default)} END".replace("ELSE ", "WHEN true THEN ")
+    )
+
+
+def mixing(mix: Mix) -> str:
+    """One common table per level of the tree: each divides its parents' budgets."""
+    home = {s: domain for domain, sources in mix.domains.items() for s in sources}
+    parts = [
+        f"""sized AS (SELECT doc_id AS id, {_case(home, "coalesce(source, '')", "other")} AS domain,
+          coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents)""",
+        f"leaves AS (SELECT {', '.join(LEAF)}, sum(tokens)::BIGINT AS tokens FROM sized GROUP BY ALL)",
+        f"""level0 AS (SELECT least(coalesce(sum(tokens), 0) * {mix.share} // 100,
+          sum(tokens) * {mix.max_epochs})::BIGINT AS budget FROM leaves)""",
+    ]
+    for depth, level in enumerate(LEAF):
+        parents = LEAF[:depth]
+        own = ", ".join([*parents, level])
+        family = f"PARTITION BY {', '.join(parents)}" if parents else ""
+        before = f"({family} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        parts.append(f"""level{depth + 1} AS (
+          SELECT {own}, CASE WHEN filled THEN cap ELSE weight * (budget - sum(CASE WHEN filled THEN cap ELSE 0 END)
+              OVER ({family})) // sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({family}) END::BIGINT AS budget
+          FROM (SELECT *, cap * (sum(weight) OVER ({family}) - coalesce(sum(weight) OVER {before}, 0))
+                <= weight * (budget - coalesce(sum(cap) OVER {before}, 0)) AS filled
+            FROM (SELECT {own}, sum(tokens) * {mix.max_epochs} AS cap, {_case(mix.weights(level), level, 1)} AS weight
+              FROM leaves GROUP BY ALL) {f"JOIN level{depth} USING ({', '.join(parents)})" if parents else ", level0"}))""")
+    return "WITH " + ",\n".join(parts) + f""",
+    planned AS (SELECT {', '.join(LEAF)}, tokens AS held, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+      CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM leaves JOIN level3 USING ({', '.join(LEAF)})),
+    placed AS (SELECT sized.*, epochs, rest, held, sum(tokens) OVER (PARTITION BY {', '.join(LEAF)}
+        ORDER BY md5(concat('{mix.seed}:', epochs, ':', coalesce(id::VARCHAR, '')))) AS until
+      FROM sized JOIN planned USING ({', '.join(LEAF)}))
+    SELECT * FROM (SELECT id AS doc_id, {', '.join(LEAF)}, tokens::BIGINT AS tokens,
+      (epochs + CASE WHEN held > 0 AND until <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed) WHERE copies > 0"""
+
+
+ORACLES = {"op6_source_mixing": mixing(PRODUCTION), "op7_line_dedup": LINE_DEDUP}
