@@ -8,7 +8,7 @@ takes whole epochs and the prefix of one more, in a seeded order, until its budg
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,3 +201,6 @@ PRODUCTION = Mix(
     lang_weights={"en": 4, "de": 2, "fr": 2, "es": 2},
     source_weights={"src0": 2},
 )
+
+#: The pipeline takes every row once at most and up to nine tenths of all tokens.
+PIPELINE = replace(PRODUCTION, share=90, max_epochs=1)

@@ -286,17 +286,13 @@ def near_duplicate_components(
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; null ids and empty texts are kept.
+    """``docs`` without the rows whose component has a smaller id; all columns stay.
 
-    Texts without words are linked with each other as any other fingerprint; here, as there is nothing to
-    compare, they stay.  Of repeated rows of one id all stay or go together.
+    Texts without words are one group like any other.  Rows with a null id stay, as nothing tells them apart; of
+    repeated rows of one id all stay or go together.
     """
     found = near_duplicate_components(docs, id_column, text, **options)
-    gone = (
-        found.where("component is not null and id is not null and id > component and fp <> 0")
-        .select(F.col("id").alias("__gone"))
-        .distinct()
-    )
+    gone = found.where("id > component").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column].cast("long") == gone["__gone"], "left_anti")
 
 
