@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import cotrain, langid, linededup, mixing, pieces, simhash, tokencount
+from tillwise.llm import cotrain, langid, linededup, mixing, pieces, prefixforest, simhash, tokencount
 from tillwise.llm.frames import read, ship
 
 
@@ -65,6 +65,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixforest.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, run after the executors have this library's files."""
 
@@ -76,6 +80,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES = {
+    "op10_nearest_vectors": shipped(nearest_vectors),
     "op1_piece_coding": shipped(piece_coding),
     "op3_simhash_near_dedup": shipped(simhash_near_dedup),
     "op5_language_id": shipped(language_id),
