@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 class Forest:
     """Index of one shard.  ``vectors`` must be distinct; ``share`` is the part of them a tree gives on average."""
 
-    def __init__(self, vectors: np.ndarray, trees: int = 32, bits: int = 24, share: float = 0.025, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, trees: int = 40, bits: int = 24, share: float = 0.025, seed: int = 11):
         self.bits, self.wanted = bits, trees * share * len(vectors)
         # One more coordinate makes all vectors equally long, so that nearness by angle is nearness by product.
         size = np.linalg.norm(vectors, axis=1)
