@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.session import settle
+from tillwise.session import settle, store
 
-__all__ = ["connected_components", "per_batch", "read", "settle", "ship", "words_column"]
+__all__ = ["connected_components", "per_batch", "read", "settle", "ship", "store", "words_column"]
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

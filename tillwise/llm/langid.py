@@ -161,20 +161,28 @@ def held_out(id_column: Column) -> Column:
 
 
 def training_sample(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 8_000
 ) -> DataFrame:
-    """About ``per_lang`` texts of each language (all, if fewer), none held out; which ones depends on ids only.
+    """About ``per_lang`` texts of each language (all, if fewer), none held out, and ``most`` at most.
 
-    Languages are counted first; each row is then kept by comparing a hash of its id with its language's share.
+    Ids are picked before any text is read: languages are counted, then a row stays if a hash of its id is below its
+    language's share.  Only the picked ids are broadcast to find their texts.
     """
     usable = docs.where(
         F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column))
     ).select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = usable.groupBy(F.col("lang").alias("counted")).agg(F.count(F.lit(1)).alias("rows"))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.join(counts, F.col("lang") == F.col("counted")).where(place * F.col("rows") < per_lang).select(
-        "id", "text", "lang"
+    picked = (
+        usable.select("id", "lang")
+        .join(counts, F.col("lang") == F.col("counted"))
+        .where(place * F.col("rows") < per_lang)
+        .select(F.col("id").alias("picked"))
+        .distinct()
+        .orderBy(F.xxhash64("picked"), "picked")
+        .limit(most)
     )
+    return usable.join(F.broadcast(picked), F.col("id") == F.col("picked")).select("id", "text", "lang")
 
 
 def training_windows(sample: DataFrame, each: int = 3) -> DataFrame:

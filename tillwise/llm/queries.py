@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import cotrain, langid, linededup, mixing, pieces, prefixforest, simhash, tokencount
+from tillwise.llm import cotrain, langid, linededup, mixing, pieces, prefixforest, pseudolm, simhash, tokencount
 from tillwise.llm.frames import read, ship
 
 
@@ -23,6 +23,11 @@ def piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("id", "doc_id")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pseudolm.score(docs, pseudolm.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     made = langid.predict(docs, langid.fit(docs))
@@ -82,6 +87,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES = {
     "op10_nearest_vectors": shipped(nearest_vectors),
     "op1_piece_coding": shipped(piece_coding),
+    "op2_lm_scores": shipped(lm_scores),
     "op3_simhash_near_dedup": shipped(simhash_near_dedup),
     "op5_language_id": shipped(language_id),
     "op6_source_mixing": shipped(source_mixing),
