@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import cotrain, langid, linededup, mixing, pieces, prefixforest, pseudolm, simhash, tokencount
+from tillwise.llm import cotrain, langid, linededup, mixing, pieces, prefixforest, pseudolm, simhash, tokencount, wand
 from tillwise.llm.frames import read, ship
 
 
@@ -28,6 +28,10 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolm.score(docs, pseudolm.fit(docs)).withColumnRenamed("id", "doc_id")
 
 
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(read(spark, sf_dir, "documents"), F.col("id") % 20 == 0)
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     made = langid.predict(docs, langid.fit(docs))
@@ -89,6 +93,7 @@ QUERIES = {
     "op1_piece_coding": shipped(piece_coding),
     "op2_lm_scores": shipped(lm_scores),
     "op3_simhash_near_dedup": shipped(simhash_near_dedup),
+    "op4_exact_top_k": shipped(exact_top_k),
     "op5_language_id": shipped(language_id),
     "op6_source_mixing": shipped(source_mixing),
     "op7_line_dedup": shipped(line_dedup),
