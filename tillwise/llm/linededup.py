@@ -36,7 +36,7 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(
-    pages: DataFrame, id_column: str, host: str, text: str, ratio: float = 0.02, min_pages: int = 5
+    pages: DataFrame, host: str, text: str, ratio: float = 0.02, min_pages: int = 5
 ) -> DataFrame:
     """``(host, line_key)``: lines on more than ``ratio`` of the pages of a host, and on ``min_pages`` of it or more.
 
@@ -57,14 +57,13 @@ def boilerplate(
 
 def mark_lines(
     pages: DataFrame,
-    id_column: str = "doc_id",
     host: str = "source",
     text: str = "text",
     ratio: float = 0.02,
     min_pages: int = 5,
     copy_share: float = 0.5,
 ) -> DataFrame:
-    """``pages`` with ``kept_text``, ``n_lines`` and ``n_dropped``; every row and column stays.
+    """``pages`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (which replace columns of these names); every row stays.
 
     A page more than ``copy_share`` of whose lines (blank ones aside) are frequent is taken for a copy of a page rather than
     one with boilerplate: it is left whole, for near-duplicate removal to decide on.  So a site that holds one
@@ -75,7 +74,7 @@ def mark_lines(
     adaptive execution can split the pages of a hot host.
     """
     frequent = settle(
-        boilerplate(pages, id_column, host, text, ratio, min_pages)
+        boilerplate(pages, host, text, ratio, min_pages)
         .groupBy(F.col("host").alias("__host"))
         .agg(F.collect_set("line_key").alias("__frequent"))
     )
@@ -101,12 +100,16 @@ def mark_lines(
 
 
 def drop_boilerplate(
-    docs: DataFrame, id_column: str = "doc_id", host: str = "source", text: str = "text", **options
+    docs: DataFrame, host: str = "source", text: str = "text", **options
 ) -> DataFrame:
     """``docs`` with the frequent lines of their host taken out of ``text``; all rows and columns stay.
 
-    A null text stays null.
+    A null text stays null.  Columns may have any names; they travel in a struct.
     """
-    marked = mark_lines(docs.withColumn("__text", F.col(text)), id_column, host, "__text", **options)
-    new = F.when(F.col("__text").isNotNull(), F.col("kept_text")).alias(text)
-    return marked.select(*[new if c == text else F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    packed = docs.select(F.col(host).alias("host"), F.col(text).alias("body"), row.alias("row"))
+    marked = mark_lines(packed, "host", "body", **options)
+    new = F.when(F.col("body").isNotNull(), F.col("kept_text"))
+    return marked.select(
+        *[(new if c == text else F.col(f"row.c{k}")).alias(c) for k, c in enumerate(docs.columns)]
+    )
