@@ -31,13 +31,13 @@ WITH raw AS (
       WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'shipped'
       WHEN o_orderstatus = 'P' THEN 'processing' END AS order_status,
     p_type AS category,
-    CASE p_type WHEN 'ECONOMY' THEN 70 WHEN 'LARGE' THEN 50 WHEN 'MEDIUM' THEN 52
-      WHEN 'PROMO' THEN 40 WHEN 'SMALL' THEN 38 WHEN 'STANDARD' THEN 62 END AS cost_pct,
+    CASE p_type WHEN 'ECONOMY' THEN 68 WHEN 'LARGE' THEN 55 WHEN 'MEDIUM' THEN 57
+      WHEN 'PROMO' THEN 43 WHEN 'SMALL' THEN 35 WHEN 'STANDARD' THEN 60 END AS cost_pct,
     n_name AS city, r_name AS gender, c_mktsegment AS device,
     CASE WHEN c_acctbal > 7800 THEN '55+' WHEN c_acctbal > 5600 THEN '45-54'
       WHEN c_acctbal > 3400 THEN '35-44' WHEN c_acctbal > 1200 THEN '25-34'
       WHEN c_acctbal IS NOT NULL THEN '18-24' END AS age_group
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
     LEFT JOIN part ON l_partkey = p_partkey
     LEFT JOIN customer ON o_custkey = c_custkey
     LEFT JOIN nation ON c_nationkey = n_nationkey
@@ -252,6 +252,57 @@ CATALOGUE = f"""{FACTS}, products AS (
   FROM facts GROUP BY category
 ) SELECT * FROM products"""
 
+BANDED = f"""{RFM}, {edges_sql(5, "rfm", "recency")}, ranked AS (
+    SELECT *, row_number() OVER (ORDER BY frequency, customer_id) AS f_rank,
+      row_number() OVER (ORDER BY monetary, customer_id) AS m_rank FROM rfm
+  ), scored AS (
+    SELECT rfm.*, {R_SCORE} AS r_score, {rank_score("f_rank")} AS f_score, {rank_score("m_rank")} AS m_score
+    FROM ranked AS rfm, edges
+  ), {edges_sql(4, "rfm", "monetary").replace("ordered", "ordered4").replace("picked", "picked4").replace("edges", "edges4")},
+  banded AS (
+    SELECT scored.* EXCLUDE (f_rank, m_rank), r_score + f_score + m_score AS rfm_score,
+      CASE WHEN 4 * (monetary - lo_1) <= f_1 * (hi_1 - lo_1) THEN 'Budget Buyers'
+        WHEN 4 * (monetary - lo_2) <= f_2 * (hi_2 - lo_2) THEN 'Regular Customers'
+        WHEN 4 * (monetary - lo_3) <= f_3 * (hi_3 - lo_3) THEN 'Loyal Customers' ELSE 'Top Customers' END AS segment,
+      recency / (recency + 120::DOUBLE) AS churn_prob
+    FROM scored, edges4
+  ), risky AS (
+    SELECT *, CASE WHEN churn_prob > 0.6::DOUBLE THEN 'High Risk' WHEN churn_prob > 0.35::DOUBLE THEN 'Medium Risk'
+      ELSE 'Low Risk' END AS risk_level FROM banded
+  )"""
+
+_TABLE17 = "customer_id, segment, recency, frequency, monetary, avg_rating, rfm_score, city, gender, age_group"
+
+
+def banded(keys: str, *measures: str) -> str:
+    return f"{BANDED} SELECT {', '.join([keys, *measures])} FROM banded GROUP BY {keys}"
+
+
+def box_sql(metric: str) -> str:
+    edges = edges_sql(4, "banded", metric, "segment")
+    for name in ("ordered", "picked", "edges"):
+        edges = edges.replace(name, f"{name}_b")
+    low, high = "edge_1 - (edge_3 - edge_1) * 1.5::DOUBLE", "edge_3 + (edge_3 - edge_1) * 1.5::DOUBLE"
+    inside = f"{metric} >= {low} AND {metric} <= {high}"
+    return f"""{BANDED}, {edges} SELECT segment, CAST(n AS BIGINT) AS customers, edge_0 AS minimum, edge_1 AS q1,
+      edge_2 AS median, edge_3 AS q3, edge_4 AS maximum,
+      CAST(min({metric}) FILTER (WHERE {inside}) AS DOUBLE) AS lower_whisker,
+      CAST(max({metric}) FILTER (WHERE {inside}) AS DOUBLE) AS upper_whisker,
+      CAST(count(*) FILTER (WHERE NOT ({inside})) AS BIGINT) AS outliers
+    FROM banded JOIN edges_b USING (segment) GROUP BY ALL"""
+
+
+def money_sql(x: str) -> str:
+    return f"'₹' || format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+
+
+def short_money_sql(x: str) -> str:
+    return (
+        f"CASE WHEN {x} < 1e6 THEN '₹' || printf('%.1f', round_even({x} / 1e3, 1)) || 'K'"
+        f" ELSE '₹' || format('{{:,.2f}}', round_even({x} / 1e6, 2)) || 'M' END"
+    )
+
+
 SALES = (
     f"{N} AS orders", f"{REVENUE} AS revenue", f"{AVG_PAID} AS avg_spend", f"{AVG_RATING} AS avg_rating",
     f"{AVG_DISCOUNT} AS avg_discount", f"{CANCEL_RATE} AS cancel_rate",
@@ -264,10 +315,13 @@ ORACLES: dict[str, str] = {
       CAST(delivery_cost AS DOUBLE) AS delivery_cost, CAST(delivery_charge AS DOUBLE) AS delivery_charge,
       CAST(disc AS DOUBLE) AS discount_pct, CAST(discount AS DOUBLE) AS discount_amount,
       CAST(payment AS DOUBLE) AS payment_amount, CAST(profit_c AS DOUBLE) / 100 AS gross_profit,
+      CASE WHEN payment > 0 THEN round_even(profit_c / (100 * payment) * 100::DOUBLE, 1) ELSE 0 END AS gross_margin_pct,
       order_status, category, review_score FROM facts""",
     "b03_calendar_parts": f"""{FACTS} SELECT CAST(year(order_date) AS INTEGER) AS year,
       CAST(month(order_date) AS INTEGER) AS month_number, month_name, weekday, day_of_week,
       CAST(hour(order_date) AS INTEGER) AS hour, {N} AS orders FROM facts GROUP BY ALL""",
+    "b01_order_devices": """SELECT o_orderkey AS order_key, o_custkey AS customer_id, c_mktsegment AS device
+      FROM orders JOIN customer ON o_custkey = c_custkey""",
     "b06_customer_attributes": f"""{FACTS}
       SELECT DISTINCT customer_id, gender, age_group, device, city FROM facts""",
     "c02_default_customer": f"""{FACTS}
@@ -308,6 +362,13 @@ ORACLES: dict[str, str] = {
       FROM pnl, (SELECT CAST(count(*) FILTER (WHERE kept) AS BIGINT) AS orders,
         CAST(sum(payment) FILTER (WHERE kept) AS DOUBLE) / count(*) FILTER (WHERE kept) AS avg_order_value,
         CAST(count(DISTINCT customer_id) AS BIGINT) AS customers, {AVG_RATING} AS avg_rating FROM facts)""",
+    "r01_kpi_texts": f"""{FACTS}, kpi AS (
+        SELECT CAST(sum(payment) FILTER (WHERE kept) AS DOUBLE) AS revenue, count(*) FILTER (WHERE kept) AS orders,
+          CAST(sum(payment) FILTER (WHERE kept) AS DOUBLE) / count(*) FILTER (WHERE kept) AS avg_order_value,
+          count(DISTINCT customer_id) AS customers FROM facts)
+      SELECT {money_sql("revenue")} AS revenue, {short_money_sql("revenue")} AS short_revenue,
+        {money_sql("avg_order_value")} AS avg_order_value, {short_money_sql("avg_order_value")} AS short_order_value,
+        printf('%.1f', round_even(orders / (orders + customers) * 100::DOUBLE, 1)) || '%' AS order_share FROM kpi""",
     "r02_extent": f"""{FACTS} SELECT {N} AS orders, CAST(min(order_date) AS DATE) AS first_date,
       CAST(max(order_date) AS DATE) AS last_date FROM facts""",
     "r03_monthly_revenue": grouped("month, month_name", f"{REVENUE} AS revenue", where="kept"),
@@ -328,6 +389,30 @@ ORACLES: dict[str, str] = {
         SELECT customer_id, recency, frequency, monetary, {R_SCORE} AS r_score,
           {rank_score("f_rank")} AS f_score, {rank_score("m_rank")} AS m_score FROM ranked, edges)
       SELECT *, r_score + f_score + m_score AS rfm_score FROM scored""",
+    "r11_quartile_sizes": f"""{BANDED} SELECT segment, {N} AS customers,
+      CAST(count(*) AS DOUBLE) / CAST((SELECT count(*) FROM banded) AS DOUBLE) AS share FROM banded GROUP BY segment""",
+    "r12_quartile_sample": f"""{BANDED} SELECT customer_id, recency, monetary, frequency, segment FROM banded
+      ORDER BY md5('7:' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 500""",
+    "r13_quartile_averages": banded("segment", *[
+        f"round_even(CAST(sum({c}) AS DOUBLE) / count({c}), 1) AS avg_{c.removeprefix('avg_')}"
+        for c in ("recency", "frequency", "monetary", "avg_rating", "rfm_score")
+    ]),
+    **{f"r14_{metric}_box": box_sql(metric) for metric in ("recency", "frequency", "monetary", "rfm_score")},
+    "r15_quartile_recency_histogram": f"{BANDED}, {histogram_sql('banded', 'recency', 30, 'segment')}",
+    "r16_quartile_spend_histogram": f"{BANDED}, {histogram_sql('banded', 'monetary', 30, 'segment')}",
+    "r17_quartile_table": f"{BANDED} SELECT {_TABLE17} FROM banded",
+    "r17_top_quartiles_table": f"""{BANDED} SELECT {_TABLE17} FROM banded
+      WHERE segment IN ('Loyal Customers', 'Top Customers')""",
+    "r18_quartile_profile": banded(
+        "segment", f"{N} AS customers", "CAST(sum(monetary) AS DOUBLE) / count(monetary) AS avg_spend",
+        "CAST(sum(frequency) AS DOUBLE) / count(frequency) AS avg_orders",
+        "CAST(sum(recency) AS DOUBLE) / count(recency) AS avg_recency",
+    ),
+    "r19_quartile_gender": f"""{BANDED}, counts AS (
+        SELECT segment, gender, {N} AS customers FROM banded WHERE gender IS NOT NULL GROUP BY segment, gender)
+      SELECT *, CAST(customers AS DOUBLE) / CAST(sum(customers) OVER (PARTITION BY segment) AS DOUBLE) AS share
+      FROM counts""",
+    "r20_quartile_age": banded("segment, age_group", f"{N} AS customers"),
     # behaviour
     "r21_orders_by_hour": grouped("hour", f"{N} AS orders", base=EVENTS),
     "r22_orders_by_weekday": grouped("weekday, day_of_week", f"{N} AS orders"),
@@ -342,6 +427,10 @@ ORACLES: dict[str, str] = {
     ),
     "r27_order_value_matrix": grouped("gender, age_group", f"{AVG_PAID} AS avg_order_value"),
     "r28_category_behaviour": grouped("category", *SALES),
+    "r28_category_behaviour_rounded": f"""SELECT * REPLACE (round_even(revenue, 2) AS revenue,
+        round_even(avg_spend, 2) AS avg_spend, round_even(avg_rating, 2) AS avg_rating,
+        round_even(avg_discount, 2) AS avg_discount, round_even(cancel_rate, 2) AS cancel_rate)
+      FROM ({grouped("category", *SALES)})""",
     "r29_spend_rating_bubbles": grouped("category", *SALES[:4]),
     "r30_cancel_ranking": grouped("category", SALES[5]),
     "r31_rating_distribution": grouped("review_score", f"{N} AS orders").replace(
@@ -381,6 +470,18 @@ ORACLES: dict[str, str] = {
         f"{REVENUE} / (SELECT {REVENUE} FROM facts) AS share",
     ),
     # churn risk
+    "r47_formula_scores": f"""{BANDED} SELECT customer_id, segment, recency, frequency, monetary, avg_rating,
+      churn_prob, risk_level FROM risky""",
+    "r48_formula_mix": f"""{BANDED}, levels AS (
+        SELECT unnest(['High Risk', 'Medium Risk', 'Low Risk']) AS risk_level
+      ), counts AS (
+        SELECT risk_level, CAST(count(customer_id) AS BIGINT) AS customers
+        FROM levels LEFT JOIN risky USING (risk_level) GROUP BY risk_level)
+      SELECT *, CAST(customers AS DOUBLE) / CAST(sum(customers) OVER () AS DOUBLE) AS share FROM counts""",
+    "r49_formula_histogram": f"{BANDED}, {histogram_sql('risky', 'churn_prob', 30)}",
+    "r51_formula_list": f"""{BANDED} SELECT customer_id, segment, recency AS days_inactive, frequency AS orders,
+      monetary AS total_spend, avg_rating, printf('%.1f', round_even(churn_prob * 100, 1)) || '%' AS churn_risk, city
+      FROM risky WHERE risk_level = 'High Risk'""",
     "r52_churn_labels": f"""{RFM} SELECT CAST(recency > 180 AS INTEGER) AS at_risk, {N} AS customers
       FROM rfm GROUP BY 1""",
     # product
@@ -394,12 +495,31 @@ ORACLES: dict[str, str] = {
     ),
     "r54_category_drill_months": grouped("category, month, month_name", SALES[1]),
     "r54_category_drill_cities": grouped("category, city", SALES[1]),
+    "r54_one_category_kpis": grouped(
+        "category", SALES[0], SALES[1], f"{AVG_PRICE} AS avg_price", SALES[3], where="category = 'PROMO'"
+    ),
+    "r54_one_category_months": grouped("category, month, month_name", SALES[1], where="category = 'PROMO'"),
     # customers
     "r55_behaviour_features": f"{BEHAVIOUR} SELECT * FROM habits",
     "r56_customer_home": grouped(
         "customer_id", f"{N} AS total_orders", f"{REVENUE} AS total_spent", f"{AVG_RATING} AS avg_rating",
         "CAST(coalesce(sum(discount), 0) AS DOUBLE) AS savings",
     ),
+    "r56_one_customer_home": grouped(
+        "customer_id", f"{N} AS total_orders", f"{REVENUE} AS total_spent", f"{AVG_RATING} AS avg_rating",
+        "CAST(coalesce(sum(discount), 0) AS DOUBLE) AS savings", where="customer_id = 1",
+    ),
+    "r56_customer_home_with_quartile": f"""{BANDED}, homes AS (
+        SELECT customer_id, {N} AS total_orders, {REVENUE} AS total_spent, {AVG_RATING} AS avg_rating,
+          CAST(coalesce(sum(discount), 0) AS DOUBLE) AS savings FROM facts GROUP BY customer_id)
+      SELECT homes.*, coalesce(segment, 'Regular Customers') AS segment, c.category AS fav_category,
+        d.device AS pref_device
+      FROM homes LEFT JOIN banded USING (customer_id)
+        LEFT JOIN {mode_of("facts", "customer_id", "category")} c USING (customer_id)
+        LEFT JOIN {mode_of("facts", "customer_id", "device")} d USING (customer_id)""",
+    "r57_one_customer_monthly_spend": grouped(
+        "customer_id, month, month_name", f"{REVENUE} AS spent", where="customer_id = 1"
+    ),
     "r57_customer_monthly_spend": grouped("customer_id, month, month_name", f"{REVENUE} AS spent"),
     "r57_customer_category_shares": f"""{FACTS}, spend AS (
         SELECT customer_id, category, {REVENUE} AS spent FROM facts GROUP BY customer_id, category)
@@ -407,6 +527,20 @@ ORACLES: dict[str, str] = {
     "r57_customer_status_counts": grouped("customer_id, order_status", f"{N} AS orders"),
     "r58_shop_catalogue": CATALOGUE,
     "r58_shop_search": f"{CATALOGUE} WHERE regexp_matches(lower(category), '^(s|me)')",
+    "r58_shop_by_price_down": CATALOGUE,
+    "r58_shop_by_rating": CATALOGUE,
+    "r58_shop_literal_search": f"{CATALOGUE} WHERE contains(lower(category), 'mo')",
+    "r58_shop_one_category": f"{CATALOGUE} WHERE category = 'PROMO'",
+    "r59_delivered_totals": grouped(
+        "customer_id", f"{N} AS orders", f"{REVENUE} AS total_value", f"{AVG_PAID} AS avg_order_value",
+        where="order_status = 'delivered'",
+    ),
+    "r59_one_customer_totals": f"""{FACTS} SELECT {N} AS orders, {REVENUE} AS total_value,
+      coalesce({AVG_PAID}, 0) AS avg_order_value FROM facts WHERE customer_id = 1 AND order_status = 'shipped'""",
+    "r59_one_customer_orders": f"""{FACTS} SELECT order_date AS "Date", category AS "Category",
+      CAST(price_c AS DOUBLE) / 100 AS "Price (₹)", CAST(discount AS DOUBLE) AS "Discount (₹)",
+      CAST(payment AS DOUBLE) AS "Paid (₹)", review_score AS "Rating", order_status AS "Status", city AS "City"
+      FROM facts WHERE customer_id = 1""",
     "r59_order_totals": grouped(
         "customer_id", f"{N} AS orders", f"{REVENUE} AS total_value", f"{AVG_PAID} AS avg_order_value"
     ),

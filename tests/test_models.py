@@ -81,7 +81,7 @@ def test_one_label_per_cluster(space):
 
 
 def test_segment_reports(space):
-    customers = space.segments
+    customers = space.scored_segments
     n = customers.count()
     sizes = segmentation.segment_sizes(customers).collect()
     assert sum(r.customers for r in sizes) == n and sum(r.share for r in sizes) == pytest.approx(1)
@@ -128,7 +128,7 @@ def test_risk_reports(space):
     assert [r.risk_level for r in mix] == list(churn.RISK_LEVELS)
     assert sum(r.customers for r in mix) == n and sum(r.share for r in mix) == pytest.approx(1)
     assert sum(r.customers for r in risk.probability_histogram(space.churn).collect()) == n
-    listed = risk.high_risk_list(space.churn).collect()
+    listed = risk.high_risk_list(space.churn_segments).collect()
     assert len(listed) == mix[0].customers
     assert all(r.churn_risk.endswith("%") for r in listed)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import band
-from tillwise.models.layout import in_fixed_order
+from tillwise.models.layout import PARTITIONS, in_fixed_order
 from tillwise.operators.projections import fill_zero
 
 # Model inputs and their titles; risk levels from high to low and their strict lower limits.
@@ -45,6 +45,7 @@ def train_churn(
     holdout: float = 0.0,
     max_depth: int = 12,
     max_bins: int = 256,
+    partitions: int = PARTITIONS,
 ) -> PipelineModel | None:
     """The fitted pipeline, or None with fewer than ``min_rows`` customers or one class.
 
@@ -53,7 +54,7 @@ def train_churn(
     table = _features(rfm).withColumn("label", at_risk(days=days))
     if holdout:
         table = table.where(~held_out(holdout))
-    table = in_fixed_order(table, at_least=64).persist(StorageLevel.MEMORY_AND_DISK)
+    table = in_fixed_order(table, partitions=partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = table.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("classes")).first()
         if size.rows < min_rows or size.classes < 2:

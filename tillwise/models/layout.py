@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-ROWS_PER_PARTITION = 250_000
-MIN_ROWS_PER_PARTITION = 2_000
+#: Partitions of training rows.  A parameter of the model, as random starts and bagging draw by partition.
+PARTITIONS = 16
 
 
-def in_fixed_order(df: DataFrame, key: str = "customer_id", at_least: int = 1) -> DataFrame:
-    """Rows hashed by key into a number of partitions that depends on their count only, and sorted there.
+def in_fixed_order(df: DataFrame, key: str = "customer_id", partitions: int = PARTITIONS) -> DataFrame:
+    """Rows hashed by key into ``partitions`` partitions, whatever their number, and sorted there.
 
-    Random starts and bagging draw by partition and position, so a seed then gives the same model on any
-    cluster, and again after an executor is lost.  ``at_least`` partitions serve a fit with much work per
-    row, if there are rows enough; one partition keeps the many short jobs of a light fit short.
+    A seed then gives the same model on any cluster, and again after an executor is lost.  Give more partitions
+    where a training table has more rows than so many tasks can hold.
     """
-    rows = df.count()
-    partitions = max(-(-rows // ROWS_PER_PARTITION), min(at_least, -(-rows // MIN_ROWS_PER_PARTITION)), 1)
     return df.repartition(partitions, key).sortWithinPartitions(key)

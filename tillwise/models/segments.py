@@ -12,7 +12,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.models.layout import in_fixed_order
+from tillwise.models.layout import PARTITIONS, in_fixed_order
 
 # Segment names, from the lowest to the highest mean spend of a cluster.
 SEGMENTS = ("Budget Buyers", "Regular Customers", "Loyal Customers", "Top Customers")
@@ -26,6 +26,7 @@ def segment(
     seeds: Sequence[int] = SEEDS,
     labels: Sequence[str] = SEGMENTS,
     parallelism: int = 10,
+    partitions: int = PARTITIONS,
 ) -> tuple[DataFrame, PipelineModel]:
     """``rfm`` with ``cluster`` and ``segment``, and the fitted pipeline (scaling and best clustering).
 
@@ -36,7 +37,7 @@ def segment(
     if len(labels) != k:
         raise ValueError("segment needs one label per cluster")
     placed = rfm.select("customer_id", *[F.col(c).cast("double") for c in FEATURES])
-    placed = in_fixed_order(placed)
+    placed = in_fixed_order(placed, partitions=partitions).persist(StorageLevel.MEMORY_AND_DISK)
     scaling = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="raw_features"),
@@ -48,6 +49,7 @@ def segment(
         fits = _restarts(vectors, k, seeds, parallelism)
     finally:
         vectors.unpersist()
+        placed.unpersist()
     best = min(fits, key=lambda fit: fit.summary.trainingCost)
     model = PipelineModel(stages=[*scaling.stages, best])
     return name_segments(apply_segments(rfm, model), labels), model

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.operators.joins import join_per_key
 from tillwise.operators.predicates import with_keys
 from tillwise.operators.ranking import exact_quantiles
-from tillwise.session import settle
+from tillwise.session import store
 
 
 def histogram(
@@ -18,11 +17,14 @@ def histogram(
 ) -> DataFrame:
     """Rows per equal-width bin between the smallest and largest value, optionally per group.
 
-    All groups share the bins; bins without rows do not appear.
+    All groups share the bins; bins without rows do not appear.  Values are counted and stored once; limits and
+    bins both come from the counts.
     """
-    df = with_keys(df, *by).select(*by, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
-    limits = df.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
-    df = df.withColumn("_limits", limits)
+    x = F.col(value).cast("double")
+    counts = with_keys(df, *by).select(*by, x.alias("_x")).where("_x IS NOT NULL")
+    counts = store(counts.groupBy(*by, "_x").agg(F.count("*").alias("_n")))
+    limits = counts.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+    df = counts.withColumn("_limits", limits)
     low, high, x = F.col("_limits.lo"), F.col("_limits.hi"), F.col("_x")
     place = F.coalesce(F.floor(F.try_divide((x - low) * bins, high - low)), F.lit(0))
     df = df.withColumns(
@@ -35,31 +37,36 @@ def histogram(
     start = F.col("_low") + F.col("bin") * F.col("_width")
     return (
         df.groupBy(*by, "bin", "_low", "_width")
-        .agg(F.count("*").alias(count))
+        .agg(F.sum("_n").alias(count))
         .select(*by, "bin", start.alias("bin_start"), (start + F.col("_width")).alias("bin_end"), count)
     )
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and outlier count."""
-    df = with_keys(df, by, value).select(by, value)
+    """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and outlier count.
+
+    Rows are counted per group and value first; whiskers and outliers come from these counts, so a group
+    of any size has a row per distinct value at most.
+    """
+    counts = store(with_keys(df, by, value).groupBy(by, value).agg(F.count("*").alias("_n")))
     names = ("minimum", "q1", "median", "q3", "maximum")
-    quartiles = exact_quantiles(df, value, 4, [by]).select(
-        by,
-        F.col("n").alias("customers"),
-        *[F.col(f"edge_{k}").alias(name) for k, name in enumerate(names)],
+    quartiles = store(
+        exact_quantiles(counts, value, 4, [by], weight="_n").select(
+            by,
+            F.col("n").alias("customers"),
+            *[F.col(f"edge_{k}").alias(name) for k, name in enumerate(names)],
+        )
     )
-    quartiles = settle(quartiles)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(value).cast("double")
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     whiskers = (
-        join_per_key(df, quartiles.select(by, "q1", "q3", "customers"), by, "customers")
+        counts.join(quartiles.select(by, "q1", "q3"), by)
         .groupBy(by)
         .agg(
             F.min(F.when(inside, x)).alias("lower_whisker"),
             F.max(F.when(inside, x)).alias("upper_whisker"),
-            F.count_if(~inside).alias("outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
         )
     )
     return quartiles.join(whiskers, by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.session import settle
+from tillwise.session import store
 
 # Fixed value: the segment shown for a customer without one.
 DEFAULT_SEGMENT = "Regular Customers"
@@ -28,46 +28,15 @@ def with_profile(
     return joined.withColumn("segment", F.coalesce("segment", F.lit(default_segment)))
 
 
-HOT_PART = 1000  # a key is hot when it has more than one in so many of all rows
-
-
-def join_per_key(df: DataFrame, per_key: DataFrame, key: str, rows: str, max_rows: int = 100_000) -> DataFrame:
-    """Every row of ``df`` with the values of its key, however many rows a key has.
-
-    ``per_key`` has one row per key of ``df``, with the number of rows that the key has in ``df`` in column
-    ``rows``.  A small ``per_key``, by count, is broadcast.  Otherwise only the hot keys are broadcast: there
-    can be ``HOT_PART`` of them at most.  All other keys are joined by shuffle; their rows are placed by key,
-    while the rows that already have their values are spread over all tasks by content.
-    """
-    per_key = settle(per_key)
-    values = [c for c in per_key.columns if c not in (key, rows)]
-    if per_key.limit(max_rows + 1).count() <= max_rows:
-        return df.join(F.broadcast(per_key.select(key, *values)), key)
-    limit = per_key.agg(F.sum(rows)).first()[0] / HOT_PART
-    found = F.struct(*values)
-    hot = per_key.where(F.col(rows) > limit).select(key, found.alias("_hot"))
-    cold = per_key.where(F.col(rows) <= limit).select(
-        F.col(key).alias("_key"), F.xxhash64(key).alias("_place"), found.alias("_cold")
-    )
-    marked = df.join(F.broadcast(hot), key, "left").withColumns(
-        {
-            "_key": F.when(F.col("_hot").isNull(), F.col(key)),
-            "_place": F.when(F.col("_hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*df.columns)),
-        }
-    )
-    joined = marked.join(cold, ["_key", "_place"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
-    return joined.where("_found IS NOT NULL").select(*df.columns, "_found.*")
-
-
 def with_first_period(
-    df: DataFrame,
-    entity: str = "customer_id",
-    ts: str = "order_date",
-    grain: str = "month",
-    max_rows: int = 100_000,
+    df: DataFrame, entity: str = "customer_id", ts: str = "order_date", grain: str = "month"
 ) -> DataFrame:
-    """Every row with the start of its entity's first period.  The minimum combines before the shuffle."""
-    first = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(
-        F.date_trunc(grain, F.min(ts)).cast("date").alias(f"first_{grain}"), F.count("*").alias("_rows")
+    """Every row with the start of its entity's first period.
+
+    The minimum combines before its shuffle.  As the entities are stored first, the join shuffles both sides for itself
+    alone, and adaptive execution can split the rows of a hot entity at any size.
+    """
+    first = df.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_entity")).agg(
+        F.date_trunc(grain, F.min(ts)).cast("date").alias(f"first_{grain}")
     )
-    return join_per_key(df, first, entity, "_rows", max_rows)
+    return df.join(store(first), F.col(entity) == F.col("_entity")).drop("_entity")

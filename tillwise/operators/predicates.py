@@ -30,8 +30,8 @@ def text_search(df: DataFrame, column: str, pattern: str = "", regex: bool = Fal
     """Case-insensitive search for a piece of text, or for a regular expression."""
     if not pattern:
         return df
-    text = F.lower(F.col(column))
-    return df.where(text.rlike(pattern.lower()) if regex else text.contains(pattern.lower()))
+    text = F.col(column)
+    return df.where(text.rlike(f"(?i){pattern}") if regex else F.lower(text).contains(pattern.lower()))
 
 
 def in_list(df: DataFrame, column: str, values: Sequence[Any] | None = None) -> DataFrame:

@@ -54,20 +54,23 @@ def quantile_of_rank(rank: Column, n: Column, q: int = 5) -> Column:
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, q: int, by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, q: int, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """The q-quantile edges of ``value``, per group of ``by``, exact for any group size.
 
     Returns one row per group with its count ``n`` and, for k = 0..q, the order statistics around position
     k(n-1)/q (``lo_k`` and ``hi_k``), the weight ``f_k`` (in q-ths) and ``edge_k = lo + (hi-lo) f/q``.
 
     Values are counted first, so repeats cost nothing; the distinct values are range partitioned, and only
-    the partitions that hold an edge are summed up row by row.  No task sees a whole group.
+    the partitions that hold an edge are summed up row by row.  No task sees a whole group.  A ``weight``
+    column says how many rows a row stands for.
     """
     by = list(by)
     known = df.where(F.col(value).isNotNull())
     for key in by:
         known = known.where(F.col(key).isNotNull())
-    counts = known.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counts = known.groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     placed = settle(
         counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
     )
@@ -83,7 +86,7 @@ def exact_quantiles(df: DataFrame, value: str, q: int, by: Sequence[str] = ()) -
     )
     last = F.col("n") - 1
     low = [F.expr(f"((n - 1) * {k}) div {q}") for k in range(q + 1)]
-    weight = [F.expr(f"((n - 1) * {k}) % {q}") for k in range(q + 1)]
+    part = [F.expr(f"((n - 1) * {k}) % {q}") for k in range(q + 1)]
     high = [F.least(position + 1, last) for position in low]
 
     def holds(position: Column, start: Column, size: Column) -> Column:
@@ -104,7 +107,7 @@ def exact_quantiles(df: DataFrame, value: str, q: int, by: Sequence[str] = ()) -
         *[at(position).alias(f"lo_{k}") for k, position in enumerate(low)],
         *[at(position).alias(f"hi_{k}") for k, position in enumerate(high)],
     )
-    picked = picked.withColumns({f"f_{k}": w.cast("int") for k, w in enumerate(weight)})
+    picked = picked.withColumns({f"f_{k}": p.cast("int") for k, p in enumerate(part)})
     edges = {}
     for k in range(q + 1):
         lo, hi = F.col(f"lo_{k}").cast("double"), F.col(f"hi_{k}").cast("double")
@@ -144,6 +147,64 @@ def qcut(
     return df.withColumn(name or f"{value}_bucket", bucket.cast("int"))
 
 
+def rank_cuts(df: DataFrame, measures: Sequence[str], tie: str, q: int) -> dict[str, list[tuple]]:
+    """For each measure the rows (value, tie) that close the buckets 1 .. q-1 of its rank; see ``quantile_of_rank``.
+
+    Ranks run over (value, tie), nulls first.  All measures are range partitioned together in narrow rows; sizes of the
+    partitions say which of them hold a cut, and only those are put in order.  q-1 rows per measure reach the driver.
+    """
+    narrow = df.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(k).alias("m"), F.col(c).cast("decimal(38,2)").alias("v"), F.col(tie).alias("t"))
+                    for k, c in enumerate(measures)
+                ]
+            )
+        ).alias("r")
+    ).select("r.m", "r.v", "r.t")
+    placed = settle(narrow.repartitionByRange("m", "v", "t").withColumn("_part", F.spark_partition_id()))
+    pieces = placed.groupBy("m", "_part").agg(F.count("*").alias("_size"))
+    # One row per measure and range partition, whatever the data size.
+    group = Window.partitionBy("m")
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(
+        "m", "_part", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_skip"), F.sum("_size").over(group).alias("n")
+    )
+    ends = [F.expr(f"((n - 1) * {k}) div {q}") for k in range(1, q)]
+    holds = F.lit(False)
+    for end in ends:
+        holds = holds | ((end >= F.col("_skip")) & (end < F.col("_skip") + F.col("_size")))
+    inside = Window.partitionBy("m", "_part").orderBy("v", "t")
+    found = (
+        placed.join(pieces.where(holds), ["m", "_part"])
+        .withColumn("_at", F.col("_skip") + F.row_number().over(inside) - 1)
+        .where(F.col("_at").isin(*ends))
+        .select("m", "_at", "v", "t")
+        .collect()
+    )
+    sizes = {r.m: r.n for r in pieces.select("m", "n").distinct().collect()}
+    if any(n < 2 for n in sizes.values()):
+        raise ValueError("one row has no quantiles")
+    cuts = {}
+    for m, measure in enumerate(measures):
+        at = {r["_at"]: (r.v, r.t) for r in found if r.m == m}
+        cuts[measure] = [at[(sizes[m] - 1) * k // q] for k in range(1, q)] if m in sizes else []
+    return cuts
+
+
+def bucket_by_cuts(measure: str, tie: str, cuts: Sequence[tuple]) -> Column:
+    """Bucket 1 .. q of a row's rank by the rows that close the buckets."""
+    value, number = F.col(measure).cast("decimal(38,2)"), F.lit(1)
+    for v, t in cuts:
+        if v is None:
+            beyond = value.isNotNull() | (F.col(tie) > F.lit(t))
+        else:
+            beyond = F.coalesce((value > F.lit(v)) | ((value == F.lit(v)) & (F.col(tie) > F.lit(t))), F.lit(False))
+        number = number + beyond.cast("int")
+    return number.cast("int")
+
+
 def top_k(df: DataFrame, measure: str, k: int, tie: Sequence[str]) -> DataFrame:
     """The k rows with the largest measure; each task keeps only its own k."""
     return df.orderBy(F.desc(measure), *tie).limit(k)

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.models.churn import importances
+from tillwise.functions.scalars import band, money_text, percent_text, short_money_text
+from tillwise.models.churn import HIGH, MEDIUM, RISK_LEVELS, importances
+from tillwise.models.segments import SEGMENTS
 from tillwise.operators.distributions import box_stats, histogram
 from tillwise.operators.joins import scalar_of, with_first_period
-from tillwise.operators.projections import in_units, with_calendar
+from tillwise.operators.projections import in_units, round_numbers, with_calendar, with_lookup
 from tillwise.operators.ranking import exact_quantiles, global_rank, hash_sample, qcut, quantile_of_rank
 from tillwise.operators.summaries import summarise
 from tillwise.plans import (
@@ -30,7 +32,7 @@ from tillwise.plans import rfm as rfm_plan
 from tillwise.plans.cells import order_cells
 from tillwise.plans.workspace import workspace
 from tillwise.schema import SEQUENCE
-from tillwise.sources.facts import load_events, order_headers
+from tillwise.sources.facts import customer_attributes, load_events, order_headers
 from tillwise.sources.tables import extent
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +67,14 @@ def _segments(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, directory: report(workspace(spark, directory).segments)
 
 
+def _scored_segments(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, directory: report(workspace(spark, directory).scored_segments)
+
+
+def _churn_segments(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, directory: report(workspace(spark, directory).churn_segments)
+
+
 def _churn(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, directory: report(workspace(spark, directory).churn)
 
@@ -170,6 +180,66 @@ def _shop_search(cells: DataFrame) -> DataFrame:
     return product.shop_catalogue(cells, search="^(S|me)", sort_by="Price ↑", regex=True)
 
 
+# --- reports on labels that SQL can state: spend quartiles as segments, a formula of recency as risk ---
+
+
+def _by_quartile(spark: SparkSession, directory: str) -> DataFrame:
+    """Scored customers, their segment named by the quartile of their spend."""
+    banded = qcut(workspace(spark, directory).scores, "monetary", 4, name="quartile")
+    name = F.element_at(F.array(*map(F.lit, SEGMENTS)), F.col("quartile"))
+    return banded.withColumn("segment", name).drop("quartile")
+
+
+def _by_formula(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers of ``_by_quartile`` with a risk that rises with the days since their last order."""
+    risky = _by_quartile(spark, directory).withColumn("churn_prob", F.col("recency") / (F.col("recency") + 120.0))
+    return risky.withColumn("risk_level", band("churn_prob", [HIGH, MEDIUM], RISK_LEVELS))
+
+
+def _quartiles(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, directory: report(_by_quartile(spark, directory))
+
+
+def _risks(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, directory: report(_by_formula(spark, directory))
+
+
+def _home_with_quartile(spark: SparkSession, directory: str) -> DataFrame:
+    space = workspace(spark, directory)
+    habits = behaviour.behaviour_features(space.facts(*BEHAVIOUR))
+    return customer.home_with_segment(space.cells(*HOME), _by_quartile(spark, directory), habits)
+
+
+def _top_customer_table(customers: DataFrame) -> DataFrame:
+    return segmentation.customer_table(customers, [SEGMENTS[-1], SEGMENTS[-2]])
+
+
+# --- chosen customers, categories and texts -------------------------------------------------------------
+
+SHOPPER = 1  # a customer of every test table
+
+
+def _order_devices(spark: SparkSession, directory: str) -> DataFrame:
+    devices = customer_attributes(spark, directory, ["device"])
+    orders = order_headers(spark, directory).select("order_key", WHO)
+    return with_lookup(orders, devices, WHO)
+
+
+def _kpi_texts(cells: DataFrame) -> DataFrame:
+    kpis = dashboard.executive_kpis(cells)
+    return kpis.select(
+        money_text(F.col("revenue")).alias("revenue"),
+        short_money_text(F.col("revenue")).alias("short_revenue"),
+        money_text(F.col("avg_order_value")).alias("avg_order_value"),
+        short_money_text(F.col("avg_order_value")).alias("short_order_value"),
+        percent_text(F.col("orders") / (F.col("orders") + F.col("customers"))).alias("order_share"),
+    )
+
+
+def _rounded(report: Callable[[DataFrame], DataFrame], digits: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda cells: round_numbers(report(cells), digits)
+
+
 BEHAVIOUR = (WHO, DATE, PAY, "discount_pct", "category", "review_score", STATUS, "device")
 HOME = (WHO, PAY, "review_score", "discount_amount")
 
@@ -177,9 +247,10 @@ QUERIES: dict[str, Query] = {
     # operators
     "a01_order_economics": _facts(
         _order_economics, *SEQUENCE[:4], "price", "cogs", "delivery_cost", "delivery_charge",
-        "discount_pct", "discount_amount", PAY, "gross_profit", STATUS, "category", "review_score",
+        "discount_pct", "discount_amount", PAY, "gross_profit", "gross_margin_pct", STATUS, "category", "review_score",
     ),
     "b03_calendar_parts": _facts(_calendar_parts, DATE),
+    "b01_order_devices": _order_devices,
     "b06_customer_attributes": _facts(_customer_attributes, WHO, "gender", "age_group", "device", "city"),
     "c02_default_customer": _facts(customer.default_customer, *SEQUENCE, WHO),
     "d01_first_periods": _facts(_first_periods, WHO, DATE),
@@ -195,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "r01_executive_kpis": _cells(
         dashboard.executive_kpis, WHO, STATUS, PAY, "review_score", "gross_profit"
     ),
+    "r01_kpi_texts": _cells(_kpi_texts, WHO, STATUS, PAY, "review_score", "gross_profit"),
     "r02_extent": _facts(extent, DATE),
     "r03_monthly_revenue": _cells(dashboard.monthly_revenue, DATE, STATUS, PAY),
     "r04_orders_by_status": _cells(dashboard.orders_by_status, STATUS),
@@ -207,14 +279,28 @@ QUERIES: dict[str, Query] = {
     "r10_segments": _segments(_segment_table),
     "r11_segment_sizes": _segments(segmentation.segment_sizes),
     "r12_scatter_sample": _segments(segmentation.scatter_sample),
-    "r13_segment_averages": _segments(segmentation.segment_averages),
+    "r13_segment_averages": _scored_segments(segmentation.segment_averages),
     "r14_segment_box": _segments(segmentation.segment_box),
     "r15_recency_histogram": _segments(segmentation.recency_histogram),
     "r16_spend_histogram": _segments(segmentation.spend_histogram),
-    "r17_customer_table": _segments(segmentation.customer_table),
+    "r17_customer_table": _scored_segments(segmentation.customer_table),
     "r18_segment_profile": _segments(segmentation.segment_profile),
     "r19_segment_gender": _segments(segmentation.segment_gender),
     "r20_segment_age": _segments(segmentation.segment_age),
+    "r11_quartile_sizes": _quartiles(segmentation.segment_sizes),
+    "r12_quartile_sample": _quartiles(segmentation.scatter_sample),
+    "r13_quartile_averages": _quartiles(segmentation.segment_averages),
+    **{
+        f"r14_{metric}_box": _quartiles(lambda c, metric=metric: segmentation.segment_box(c, metric))
+        for metric in ("recency", "frequency", "monetary", "rfm_score")
+    },
+    "r15_quartile_recency_histogram": _quartiles(segmentation.recency_histogram),
+    "r16_quartile_spend_histogram": _quartiles(segmentation.spend_histogram),
+    "r17_quartile_table": _quartiles(segmentation.customer_table),
+    "r17_top_quartiles_table": _quartiles(_top_customer_table),
+    "r18_quartile_profile": _quartiles(segmentation.segment_profile),
+    "r19_quartile_gender": _quartiles(segmentation.segment_gender),
+    "r20_quartile_age": _quartiles(segmentation.segment_age),
     # behaviour
     "r21_orders_by_hour": _events(behaviour.orders_by_hour),
     "r22_orders_by_weekday": _cells(behaviour.orders_by_weekday, DATE),
@@ -224,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "r26_age_group_orders": _cells(behaviour.age_group_orders, "age_group", DATE, PAY),
     "r27_order_value_matrix": _cells(behaviour.order_value_matrix, "gender", "age_group", PAY),
     "r28_category_behaviour": _cells(behaviour.category_behaviour, *SALES),
+    "r28_category_behaviour_rounded": _cells(_rounded(behaviour.category_behaviour, 2), *SALES),
     "r29_spend_rating_bubbles": _cells(behaviour.spend_rating_bubbles, *SALES),
     "r30_cancel_ranking": _cells(behaviour.cancel_ranking, "category", STATUS),
     "r31_rating_distribution": _cells(behaviour.rating_distribution, "review_score"),
@@ -249,11 +336,15 @@ QUERIES: dict[str, Query] = {
     "r45_geo_treemap": _cells(retention.geo_treemap, "city", PAY),
     # churn risk
     "r46_churn_importances": _importances,
-    "r47_churn_scores": _churn(risk.churn_scores),
+    "r47_churn_scores": _churn_segments(risk.churn_scores),
     "r48_risk_mix": _churn(risk.risk_mix),
     "r49_probability_histogram": _churn(risk.probability_histogram),
     "r50_what_if": _what_if,
-    "r51_high_risk_list": _churn(risk.high_risk_list),
+    "r51_high_risk_list": _churn_segments(risk.high_risk_list),
+    "r47_formula_scores": _risks(risk.churn_scores),
+    "r48_formula_mix": _risks(risk.risk_mix),
+    "r49_formula_histogram": _risks(risk.probability_histogram),
+    "r51_formula_list": _risks(risk.high_risk_list),
     "r52_churn_labels": _rfm(risk.churn_labels),
     # product
     "r53_category_stats": _cells(product.category_stats, *SALES, WHO, "price"),
@@ -265,10 +356,19 @@ QUERIES: dict[str, Query] = {
     ),
     "r54_category_drill_months": _cells(product.category_drill_months, "category", DATE, PAY),
     "r54_category_drill_cities": _cells(product.category_drill_cities, "category", "city", PAY),
+    "r54_one_category_kpis": _cells(
+        lambda c: product.category_drill_kpis(c, "PROMO"), "category", "price", PAY, "review_score"
+    ),
+    "r54_one_category_months": _cells(
+        lambda c: product.category_drill_months(c, "PROMO"), "category", DATE, PAY
+    ),
     # customers
     "r55_behaviour_features": _facts(behaviour.behaviour_features, *BEHAVIOUR),
     "r56_customer_home": _cells(customer.home_kpis, *HOME),
     "r56_customer_home_with_segment": _home_with_segment,
+    "r56_one_customer_home": _cells(lambda c: customer.home_kpis(c, SHOPPER), *HOME),
+    "r56_customer_home_with_quartile": _home_with_quartile,
+    "r57_one_customer_monthly_spend": _cells(lambda c: customer.monthly_spend(c, SHOPPER), WHO, DATE, PAY),
     "r57_customer_monthly_spend": _cells(customer.monthly_spend, WHO, DATE, PAY),
     "r57_customer_category_shares": _cells(customer.category_shares, WHO, "category", PAY),
     "r57_customer_status_counts": _cells(customer.status_counts, WHO, STATUS),
@@ -278,6 +378,24 @@ QUERIES: dict[str, Query] = {
     "r58_shop_search": _cells(
         _shop_search, "category", "price", "review_score", DATE, "discount_pct"
     ),
+    **{
+        f"r58_shop_{name}": _cells(
+            lambda c, chosen=chosen: product.shop_catalogue(c, **chosen),
+            "category", "price", "review_score", DATE, "discount_pct",
+        )
+        for name, chosen in {
+            "by_price_down": {"sort_by": "Price ↓"},
+            "by_rating": {"sort_by": "Rating"},
+            "literal_search": {"search": "mO"},
+            "one_category": {"category": "PROMO"},
+        }.items()
+    },
+    "r59_delivered_totals": _cells(lambda c: customer.order_totals(c, status="delivered"), WHO, STATUS, PAY),
+    "r59_one_customer_totals": _cells(lambda c: customer.order_totals(c, SHOPPER, "shipped"), WHO, STATUS, PAY),
+    "r59_one_customer_orders": _facts(
+        lambda facts: customer.order_list(facts, SHOPPER), *SEQUENCE, WHO, DATE, "category", "discount_amount",
+        PAY, "review_score", STATUS, "city",
+    ),
     "r59_order_totals": _cells(customer.order_totals, WHO, STATUS, PAY),
     "r59_order_list": _facts(
         customer.order_list, WHO, DATE, "category", "price", "discount_amount", PAY, "review_score", STATUS, "city",

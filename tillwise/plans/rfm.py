@@ -9,7 +9,7 @@ from tillwise.functions.aggregates import money_sum, mean
 from tillwise.functions.scalars import whole_days
 from tillwise.operators.joins import scalar_of
 from tillwise.operators.predicates import is_cancelled, with_keys
-from tillwise.operators.ranking import global_rank, qcut, quantile_of_rank
+from tillwise.operators.ranking import bucket_by_cuts, qcut, rank_cuts
 from tillwise.schema import SEQUENCE
 from tillwise.session import settle
 
@@ -62,13 +62,17 @@ def rfm_base(facts: DataFrame, sequence: tuple[str, ...] = SEQUENCE) -> DataFram
     )
 
 
-def rfm_scores(rfm: DataFrame) -> DataFrame:
-    """Scores 1..5: recency by its quintiles, counted down; frequency and monetary by rank; and their sum."""
-    scored = qcut(rfm, "recency", 5, reverse=True, name="r_score")
-    for measure, score in (("frequency", "f_score"), ("monetary", "m_score")):
-        ranked = global_rank(scored, measure, ["customer_id"], "_rank")
-        n = scalar_of(rfm, F.count("*"))
-        scored = ranked.withColumn(score, quantile_of_rank(F.col("_rank"), n)).drop("_rank")
+def rfm_scores(rfm: DataFrame, duplicates: str = "raise") -> DataFrame:
+    """Scores 1..5: recency by its quintiles, counted down; frequency and monetary by rank; and their sum.
+
+    Ranks need no sort of the customers: four rows of each measure bound its scores.  ``duplicates`` says what repeated
+    recency quintiles do; see ``qcut``.
+    """
+    ranked = ("frequency", "monetary")
+    cuts = rank_cuts(rfm, ranked, "customer_id", 5)
+    scored = qcut(rfm, "recency", 5, reverse=True, duplicates=duplicates, name="r_score").withColumns(
+        {f"{m[0]}_score": bucket_by_cuts(m, "customer_id", cuts[m]) for m in ranked}
+    )
     return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 
 

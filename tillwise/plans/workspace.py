@@ -12,7 +12,7 @@ from tillwise.models.churn import score_churn, train_churn
 from tillwise.models.segments import SEEDS, segment
 from tillwise.plans import rfm as rfm_plan
 from tillwise.plans.cells import order_cells, roll_up
-from tillwise.session import settle
+from tillwise.session import store
 from tillwise.sources.facts import load_facts
 from tillwise.sources.tables import materialise
 
@@ -47,19 +47,26 @@ class Workspace:
     @cached_property
     def cube(self) -> DataFrame:
         """The facts summed up by every report dimension: one scan for all additive reports."""
-        return settle(roll_up(self.cells(*CUBE_NEEDS)))
+        return store(roll_up(self.cells(*CUBE_NEEDS)))
 
     @cached_property
     def rfm(self) -> DataFrame:
-        return settle(rfm_plan.rfm_base(self.facts(*rfm_plan.NEEDS)))
+        return store(rfm_plan.rfm_base(self.facts(*rfm_plan.NEEDS)))
 
     @cached_property
     def scores(self) -> DataFrame:
-        return rfm_plan.rfm_scores(self.rfm)  # its ranked rows are stored already
+        return store(rfm_plan.rfm_scores(self.rfm))
 
     @cached_property
     def segments(self) -> DataFrame:
-        return settle(segment(self.scores, seeds=self.seeds)[0])
+        """Customers with their segment, clustered on ``rfm`` alone."""
+        return store(segment(self.rfm, seeds=self.seeds)[0])
+
+    @cached_property
+    def scored_segments(self) -> DataFrame:
+        """Segments with the scores, for the reports that show both."""
+        shown = self.scores.select("customer_id", "r_score", "f_score", "m_score", "rfm_score")
+        return store(self.segments.join(shown, "customer_id", "left"))
 
     @cached_property
     def churn_model(self) -> PipelineModel:
@@ -70,7 +77,12 @@ class Workspace:
 
     @cached_property
     def churn(self) -> DataFrame:
-        return settle(score_churn(self.churn_model, self.segments))
+        """Customers with their risk; nothing of it needs a segment."""
+        return store(score_churn(self.churn_model, self.rfm))
+
+    @cached_property
+    def churn_segments(self) -> DataFrame:
+        return self.churn.join(self.segments.select("customer_id", "segment"), "customer_id", "left")
 
 
 _open: dict[tuple[str, str], Workspace] = {}

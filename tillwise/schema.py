@@ -80,12 +80,13 @@ class FactSchema:
     def conform(self, df: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
         """Rename a table in plain units to the canonical columns, scale its money, check its types.
 
+        Money must be whole hundredths, discounts whole tenths of a percent; more digits are an error.
         ``DataFrame.to`` fails on a column that cannot be cast without loss.  Columns that are not facts
         (sequence keys and the like) pass through as they are.  ``id_type`` is for string customer ids.
         """
         renamed = df.withColumnsRenamed({getattr(self, f.name): f.name for f in fields(self)})
         scaled = renamed.withColumns(
-            {c: whole(F.col(c), scale) for c, scale in SCALES.items() if c in renamed.columns}
+            {c: whole_exactly(F.col(c), scale) for c, scale in SCALES.items() if c in renamed.columns}
         )
         types = {**FACT_TYPES, **({"customer_id": id_type} if id_type else {})}
         return scaled.to(
@@ -93,6 +94,15 @@ class FactSchema:
         )
 
 
+def whole_exactly(x: Column, scale: int) -> Column:
+    """An amount in units as a whole number of 1/scale units, in decimals; an error if digits would be cut."""
+    scaled = x.cast("decimal(38,12)") * scale
+    rounded = F.round(scaled, 0)
+    fits = x.isNull() | F.coalesce(scaled == rounded, F.lit(False))
+    message = F.concat(F.lit(f"not a whole number of 1/{scale}: "), x.cast("string"))
+    return F.when(fits, rounded.cast("bigint")).otherwise(F.raise_error(message))
+
+
 def whole(x: Column, scale: int) -> Column:
     """An amount in units as a whole number of 1/scale units."""
     return F.rint(x.cast("double") * scale).cast("bigint")

@@ -2,7 +2,7 @@
 
 Grain: one row per order line.  ``columns`` names what a report reads; a dimension none of whose columns
 is wanted is not joined at all.  That is safe because dimensions are attached by left joins on their
-unique keys, so they neither drop nor repeat facts.
+unique keys, so they neither drop nor repeat facts; a line without its order stays, without customer and date.
 """
 
 from __future__ import annotations
@@ -18,23 +18,24 @@ from tillwise.schema import CANCELLED, FACT_TYPES, SEQUENCE, whole
 
 # Cost of a product in ten-thousandths of its price, by product type.
 COST_RATIOS = {
-    "ECONOMY": 7000,
-    "LARGE": 5000,
-    "MEDIUM": 5200,
-    "PROMO": 4000,
-    "SMALL": 3800,
-    "STANDARD": 6200,
+    "ECONOMY": 6800,
+    "LARGE": 5500,
+    "MEDIUM": 5700,
+    "PROMO": 4300,
+    "SMALL": 3500,
+    "STANDARD": 6000,
 }
 
-# Age groups, oldest first, and the account balances they start above (five equal bands).
-AGE_GROUPS = ["55+", "45-54", "35-44", "25-34", "18-24"]
-AGE_CUTS = [7800, 5600, 3400, 1200]
+# Age groups, and the account balances above which all but the first start (five equal bands).
+AGE_GROUPS = ["18-24", "25-34", "35-44", "45-54", "55+"]
+AGE_CUTS = [1200, 3400, 5600, 7800]
 
 # Delivery rates in ten-thousandths of the price; the tax rate is added to the charge.
 DELIVERY_COST_RATE = 600
 DELIVERY_CHARGE_RATE = 500
 
 _CUSTOMER = {"gender", "age_group", "device", "city"}
+_HEADER = _CUSTOMER | {"customer_id", "order_date", "order_status"}
 _COSTED = {"cogs", "gross_profit", "gross_margin_pct"}
 _PART = {"category"} | _COSTED
 _ECONOMICS = _COSTED | {
@@ -54,8 +55,10 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def load_facts(spark: SparkSession, directory: str, columns: Iterable[str] | None = None) -> DataFrame:
     """Order lines with economics and customer attributes; all fact columns unless some are named."""
     wanted = list(dict.fromkeys(columns or [*SEQUENCE, *FACT_TYPES]))
-    headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER])
-    facts = _lines(spark, directory).join(headers, "order_key")
+    facts = _lines(spark, directory)
+    if _HEADER & set(wanted):
+        headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER])
+        facts = facts.join(headers, "order_key", "left")
     if _PART & set(wanted):
         parts = table(spark, directory, "part").select(
             F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category")
@@ -99,7 +102,7 @@ def customer_attributes(spark: SparkSession, directory: str, attributes: Iterabl
     customers = table(spark, directory, "customer").select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_mktsegment").alias("device"),
-        band("c_acctbal", AGE_CUTS, AGE_GROUPS).alias("age_group"),
+        band("c_acctbal", AGE_CUTS[::-1], AGE_GROUPS[::-1]).alias("age_group"),
         "c_nationkey",
     )
     if wanted & {"city", "gender"}:
