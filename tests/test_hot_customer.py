@@ -1,7 +1,12 @@
-"""One customer with a third of all orders: results against pandas."""
+"""One customer with a third of all orders: results against their definitions, in plain Python on sorted rows."""
 
 from __future__ import annotations
 
+from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
+from statistics import median
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -46,17 +51,39 @@ def hot_facts(spark, pdf):
     return spark.createDataFrame(pdf, kinds).repartition(7).persist()
 
 
+def orders_of(pdf: pd.DataFrame) -> dict[int, list]:
+    """Rows of each customer in sequence."""
+    found: dict[int, list] = {}
+    for row in pdf.sort_values("seq").itertuples():
+        found.setdefault(row.customer_id, []).append(row)
+    return dict(sorted(found.items()))
+
+
+def most_frequent(values) -> str:
+    counts = Counter(values)
+    return min(counts, key=lambda value: (-counts[value], value))
+
+
+def interpolated(ordered: list, part: Fraction) -> Fraction:
+    """Value at a part of the way through sorted values."""
+    at = part * (len(ordered) - 1)
+    low, high = ordered[floor(at)], ordered[ceil(at)]
+    return low + (high - low) * (at - floor(at))
+
+
 def test_behaviour(hot_facts, pdf):
-    got = behaviour.behaviour_features(hot_facts).toPandas().set_index("customer_id").sort_index()
-    groups = pdf.groupby("customer_id")
-    assert got.total_orders.tolist() == groups.size().tolist()
-    assert got.total_spend.tolist() == (groups.payment_amount.sum() / 100).tolist()
-    assert got.avg_order_value.tolist() == (groups.payment_amount.mean() / 100).round(0).tolist()
-    assert got.fav_category.tolist() == groups.category.agg(lambda x: x.mode()[0]).tolist()
-    assert got.pref_device.tolist() == groups.device.agg(lambda x: x.mode()[0]).tolist()
-    assert got.pref_hour.tolist() == groups.order_date.agg(lambda x: x.dt.hour.median()).tolist()
-    cancelled = groups.order_status.agg(lambda x: (x == "cancelled").mean() * 100)
-    assert got.cancel_rate.tolist() == pytest.approx(cancelled.round(1).tolist(), abs=0.1001)
+    got = behaviour.behaviour_features(hot_facts).toPandas().set_index("customer_id").to_dict("index")
+    people = orders_of(pdf)
+    assert set(got) == set(people)
+    for who, rows in people.items():
+        paid, n = sum(r.payment_amount for r in rows), len(rows)
+        cancelled = Fraction(sum(r.order_status == "cancelled" for r in rows), n)
+        assert got[who]["total_orders"] == n and got[who]["total_spend"] == paid / 100
+        assert got[who]["avg_order_value"] == round(Fraction(paid, 100 * n))
+        assert got[who]["cancel_rate"] == round(cancelled * 1000) / 10
+        assert got[who]["fav_category"] == most_frequent(r.category for r in rows)
+        assert got[who]["pref_device"] == most_frequent(r.device for r in rows)
+        assert got[who]["pref_hour"] == median(r.order_date.hour for r in rows)
 
 
 def test_new_vs_returning(hot_facts, pdf):
@@ -73,26 +100,30 @@ def test_new_vs_returning(hot_facts, pdf):
 
 
 def test_rfm_and_scores(hot_facts, pdf):
-    kept = pdf[pdf.order_status != "cancelled"]
-    newest = pdf.order_date.max() + pd.Timedelta(days=1)
-    groups = kept.groupby("customer_id")
-    want = pd.DataFrame(
-        {
-            "recency": groups.order_date.agg(lambda x: (newest - x.max()).days),
-            "frequency": groups.size(),
-            "monetary": groups.payment_amount.sum(),
-            "city": groups.city.first(),
-            "last_category": groups.category.last(),
-        }
-    )
-    want["r_score"] = pd.qcut(want.recency, 5, labels=[5, 4, 3, 2, 1]).astype(int)
-    for c in ("frequency", "monetary"):
-        want[f"{c[0]}_score"] = pd.qcut(want[c].rank(method="first"), 5, labels=[1, 2, 3, 4, 5]).astype(int)
+    day_after = max(pdf.order_date) + pd.Timedelta(days=1)
+    want = {}
+    for who, rows in orders_of(pdf).items():
+        kept = [r for r in rows if r.order_status != "cancelled"]
+        if kept:
+            last = max(r.order_date for r in kept)
+            paid = sum(r.payment_amount for r in kept)
+            want[who] = {
+                "recency": (day_after - last).days, "frequency": len(kept), "monetary": paid,
+                "city": kept[0].city, "last_category": kept[-1].category,
+            }
+    recencies = sorted(w["recency"] for w in want.values())
+    edges = [interpolated(recencies, Fraction(k, 5)) for k in range(1, 5)]
+    for w in want.values():
+        w["r_score"] = 5 - sum(w["recency"] > edge for edge in edges)
+    for measure in ("frequency", "monetary"):
+        ordered = sorted(want, key=lambda who: (want[who][measure], who))
+        for place, who in enumerate(ordered):
+            want[who][f"{measure[0]}_score"] = max(1, ceil(Fraction(5 * place, len(ordered) - 1)))
     base = rfm_plan.rfm_base(hot_facts, ("seq",))
-    got = rfm_plan.rfm_scores(base).toPandas().set_index("customer_id").sort_index()
-    for c in ("recency", "frequency", "city", "last_category", "r_score", "f_score", "m_score"):
-        assert got[c].tolist() == want[c].tolist(), c
-    assert [int(m * 100) for m in got.monetary] == want.monetary.tolist()
+    got = rfm_plan.rfm_scores(base).toPandas().set_index("customer_id").to_dict("index")
+    assert set(got) == set(want)
+    for who, w in want.items():
+        assert {**{c: got[who][c] for c in w}, "monetary": int(got[who]["monetary"] * 100)} == w
 
 
 def test_order_list_is_whole(hot_facts, pdf):

@@ -88,28 +88,33 @@ def test_big_tables_are_not_broadcast(spark, data):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_hot_keys_are_split(spark):
-    """A third of the rows on one key: the join still gives all rows, and adaptive execution splits it."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "50KB")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
-    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+def test_hot_keys_are_split(spark, tmp_path):
+    """A third of the lines on one part: the fact join gives all rows, and adaptive execution splits it."""
+    n = 60_000
+    line = F.col("id")
+    spark.range(0, n, 1, 6).select(
+        line.alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+        F.when(line % 3 == 0, 1).otherwise(line % 997).alias("l_partkey"), F.lit(1).alias("l_suppkey"),
+        (line % 1000).cast("double").alias("l_extendedprice"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"),
+        F.lit("N").alias("l_returnflag"), (F.xxhash64(line) % 50).cast("double").alias("l_quantity"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(997).select(
+        line.alias("p_partkey"), (line % 6).cast("string").alias("p_type")
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    settings = {
+        "autoBroadcastJoinThreshold": "-1",
+        "adaptive.autoBroadcastJoinThreshold": "-1",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "adaptive.advisoryPartitionSizeInBytes": "5KB",
+        "adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    for key, value in settings.items():
+        spark.conf.set(f"spark.sql.{key}", value)
     try:
-        n = 60_000
-        big = spark.range(0, n, 1, 6).select(
-            F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997).alias("part_key"), F.md5(F.col("id").cast("string")).alias("pad")
-        )
-        dim = spark.range(997).select(F.col("id").alias("part_key"), (F.col("id") % 6).cast("string").alias("category"))
-        counts = big.join(dim, "part_key", "left").groupBy("category").agg(F.count("pad").alias("n"))
+        facts = load_facts(spark, str(tmp_path), ["category", "review_score", "price"])
+        counts = facts.groupBy("category").agg(F.count("price").alias("n"), F.count("review_score").alias("m"))
         assert sum(r.n for r in counts.collect()) == n
         assert "skew=true" in counts._jdf.queryExecution().executedPlan().toString().replace("isSkew", "skew")
     finally:
-        for key in (
-            "autoBroadcastJoinThreshold",
-            "adaptive.autoBroadcastJoinThreshold",
-            "adaptive.skewJoin.skewedPartitionThresholdInBytes",
-            "adaptive.advisoryPartitionSizeInBytes",
-            "adaptive.skewJoin.skewedPartitionFactor",
-        ):
+        for key in settings:
             spark.conf.unset(f"spark.sql.{key}")

@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from tillwise.operators.distributions import box_stats, histogram
 from tillwise.operators.joins import scalar_of
-from tillwise.operators.ranking import exact_quantiles, global_rank, hash_sample, qcut, quantile_of_rank, top_k
+from tillwise.operators.ranking import (
+    bucket_by_cuts,
+    exact_quantiles,
+    global_rank,
+    hash_sample,
+    qcut,
+    quantile_of_rank,
+    rank_cuts,
+    top_k,
+)
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -36,9 +45,28 @@ def test_global_rank_is_first_rank(spark):
 
 
 def test_global_rank_spreads_a_hot_value(spark):
-    ranked = frame(spark, hot(), "int").repartitionByRange(6, "x", "id")
+    df = spark.range(0, 20_000, 1, 5).select("id", F.when(F.col("id") % 10 < 8, 7).otherwise(F.col("id")).alias("x"))
+    ranked = global_rank(df, "x", ["id"], partitions=8)
     sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
-    assert max(sizes) < 3 * min(sizes)
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and max(sizes) < 4_000
+
+
+def test_cuts_give_the_buckets_of_ranks(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 7, 500):
+        rows = [(k, int(rng.integers(0, 4)), float(rng.integers(0, 900)) / 4) for k in rng.permutation(n).tolist()]
+        rows[0] = (rows[0][0], None, rows[0][2])
+        df = spark.createDataFrame(rows, "id long, few int, many double")
+        cuts = rank_cuts(df, ["few", "many"], "id", 5)
+        got = df.select(
+            "id", bucket_by_cuts("few", "id", cuts["few"]).alias("few"), bucket_by_cuts("many", "id", cuts["many"]).alias("many")
+        ).collect()
+        for c, name in ((1, "few"), (2, "many")):
+            ordered = sorted(rows, key=lambda r: (r[c] is not None, r[c] or 0, r[0]))
+            want = {r[0]: max(1, -(-5 * place // (n - 1))) for place, r in enumerate(ordered)}
+            assert {r.id: r[name] for r in got} == want
+    with pytest.raises(ValueError, match="no quantiles"):
+        rank_cuts(spark.createDataFrame([(1, 1)], "id long, x int"), ["x"], "id", 5)
 
 
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 7, 11, 23, 64, 151])

@@ -16,7 +16,7 @@ from tillwise.operators.joins import with_first_period, with_profile
 from tillwise.plans import behaviour, customer, profit, retention
 from tillwise.plans import rfm as rfm_plan
 from tillwise.plans.cells import order_cells
-from tillwise.schema import FactSchema
+from tillwise.schema import FactSchema, whole_exactly
 from tillwise.sources.tables import materialise, publish, read_facts
 
 FACTS = (
@@ -259,3 +259,15 @@ def test_publish(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "category string, price double")
     publish(df, str(tmp_path / "out"), {"price": "Price (₹)", "category": "Category"})
     assert spark.read.parquet(str(tmp_path / "out")).columns == ["Price (₹)", "Category"]
+
+
+def test_digits_that_would_be_cut_are_an_error(spark):
+    whole = lambda x, kind="double": spark.range(1).select(
+        whole_exactly(F.lit(x).cast(kind), 100).alias("x")
+    ).first().x
+    assert [whole(0.07), whole(-12.34), whole(None), whole("123456789012345.67", "decimal(20,2)")] == [
+        7, -1234, None, 12345678901234567,
+    ]
+    for wrong in (0.071, float("nan"), 1e300):
+        with pytest.raises(Exception, match="not a whole number"):
+            whole(wrong)

@@ -96,7 +96,7 @@ class FactSchema:
 
 def whole_exactly(x: Column, scale: int) -> Column:
     """An amount in units as a whole number of 1/scale units, in decimals; an error if digits would be cut."""
-    scaled = x.cast("decimal(38,12)") * scale
+    scaled = F.try_multiply(x.try_cast("decimal(28,12)"), F.lit(scale))
     rounded = F.round(scaled, 0)
     fits = x.isNull() | F.coalesce(scaled == rounded, F.lit(False))
     message = F.concat(F.lit(f"not a whole number of 1/{scale}: "), x.cast("string"))
