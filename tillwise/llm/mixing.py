@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.llm.frames import settle, words_column
+from tillwise.llm.frames import store, words_column
 
 LEAF = ["domain", "lang", "source"]
 #: Leading hexadecimal digits of a row's place by which a leaf's tokens are summed first.
@@ -76,7 +76,8 @@ def _allot(nodes: DataFrame, parents: list[str], level: str, budgets: DataFrame,
     before = family.orderBy(F.col("cap") / F.col("weight"), level).rowsBetween(Window.unboundedPreceding, -1)
     held = F.coalesce(F.sum("cap").over(before), F.lit(0))
     weight_left = F.sum("weight").over(family) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    joined = (nodes.join(budgets, parents) if parents else nodes.crossJoin(budgets)).withColumn("weight", weight)
+    joined = nodes.join(budgets, parents) if parents else nodes.withColumn("budget", budgets.scalar())
+    joined = joined.withColumn("weight", weight)
     full = joined.withColumn(
         "full", F.col("cap") * weight_left <= F.col("weight") * (F.col("budget") - held)
     )
@@ -114,7 +115,7 @@ def cuts(sized: DataFrame, mix: Mix) -> DataFrame:
     Rows of equal place (repeated ids) are taken together or not at all.
     """
     leaves = sized.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"))
-    planned = settle(
+    planned = store(
         budgets(leaves, mix).select(
             *LEAF,
             F.expr("case when tokens > 0 then budget div tokens else 0 end").alias("epochs"),
@@ -129,7 +130,7 @@ def cuts(sized: DataFrame, mix: Mix) -> DataFrame:
         .agg(F.sum("tokens").alias("tokens"))
         .withColumn("until", F.sum("tokens").over(order))
     )
-    last = settle(
+    last = store(
         sums.where("until > rest").groupBy(*LEAF).agg(
             F.min("digits").alias("last"), F.min_by(F.col("until") - F.col("tokens"), "digits").alias("base")
         )
@@ -157,13 +158,13 @@ def choose(docs: DataFrame, mix: Mix) -> DataFrame:
     A text without words costs nothing and is taken where its place is before the cut.  Null ids share one
     place per leaf.  An empty table gives no rows.
     """
-    sized = settle(with_leaf(docs, mix))
+    sized = store(with_leaf(docs, mix))
     return _counted(sized, cuts(sized, mix), mix).where("copies > 0").select("id", *LEAF, "tokens", "copies")
 
 
 def _counted(rows: DataFrame, ends: DataFrame, mix: Mix) -> DataFrame:
     """``rows`` with ``copies``; the leaves' few rows are joined to them."""
-    joined = rows.join(settle(ends), LEAF)
+    joined = rows.join(store(ends), LEAF)
     inside = place(mix, F.col("epochs"), F.col("id")) <= F.col("cut")
     return joined.withColumn("copies", (F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long")).cast("long"))
 
@@ -173,7 +174,7 @@ def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
     Only the leaves' cuts are joined to the documents, so texts are not shuffled.
     """
-    ends = cuts(settle(with_leaf(docs, mix)), mix)
+    ends = cuts(store(with_leaf(docs, mix)), mix)
     keyed = docs.withColumn("__row", F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]))
     home = {s: domain for domain, sources in mix.domains.items() for s in sources}
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
