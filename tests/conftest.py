@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -23,6 +24,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -29,17 +29,24 @@ class Workspace:
         self.spark = spark
         self.directory = directory
         self.seeds = seeds
-        self._stored: DataFrame | None = None
+
+    @cached_property
+    def stored_facts(self) -> DataFrame:
+        """The fact table, joined once and stored in the shared folder; every report scans its columns of it."""
+        return store(load_facts(self.spark, self.directory))
 
     def store_facts(self, path: str, partition_by: Sequence[str] = ()) -> None:
-        """Join the fact table once and write it to ``path``; later reports scan their columns of it."""
-        self._stored = materialise(load_facts(self.spark, self.directory), path, partition_by)
+        """Store the fact table at ``path`` instead, and keep it there for other applications."""
+        self.__dict__["stored_facts"] = materialise(load_facts(self.spark, self.directory), path, partition_by)
 
     def facts(self, *columns: str) -> DataFrame:
         """The named fact columns, or all."""
-        if self._stored is not None:
-            return self._stored.select(*columns) if columns else self._stored
-        return load_facts(self.spark, self.directory, columns or None)
+        return self.stored_facts.select(*columns) if columns else self.stored_facts
+
+    def renew(self) -> None:
+        """Drop what was derived from the facts, so that it is computed anew when next asked for."""
+        for name in ("cube", "rfm", "scores", "segments", "scored_segments", "churn_model", "churn"):
+            self.__dict__.pop(name, None)
 
     def cells(self, *columns: str) -> DataFrame:
         return order_cells(self.facts(*columns))
@@ -89,7 +96,10 @@ _open: dict[tuple[str, str], Workspace] = {}
 
 
 def workspace(spark: SparkSession, directory: str) -> Workspace:
-    """The workspace of a directory in this Spark application."""
+    """The workspace of a directory in this Spark application.
+
+    Its tables are those of the files at first use: call ``forget`` after the files have changed.
+    """
     key = (spark.sparkContext.applicationId, str(directory))
     if key not in _open:
         _open[key] = Workspace(spark, str(directory))
