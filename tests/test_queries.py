@@ -6,9 +6,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_points
-
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+from oracles.sql import ORACLES
+from tillwise.plans.catalogue import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,8 @@ def test_same_as_sql(spark, data, con, name):
 
 
 def test_sql_names_are_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
