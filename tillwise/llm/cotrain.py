@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3_000, max_pool:
 
     Ids are picked before any text is read; features are made on the executors, so what reaches the driver is
     at most ``max_labelled + max_pool`` rows of as many numbers.  Labels that are null, or contradict each other for one id,
-    are left out.
+    are left out; of repeated ids one row counts, the smallest by its features.
     """
     marks = (
         labels.where("doc_id is not null and quality in (0, 1)")
@@ -241,12 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3_000, max_pool:
         .join(F.broadcast(picked), F.col("doc_id") == F.col("picked"))
         .drop("picked")
         .mapInArrow(per_batch(run, pa.schema(fields), rows=512), "doc_id long, label int, content binary, metadata binary")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("label", "content", "metadata")).alias("row"))
+        .select("doc_id", "row.*")
         .collect()
     )
     if not rows:
         return None
-    unique = {r.doc_id: r for r in sorted(rows, key=lambda r: (bytes(r.content), bytes(r.metadata)))}
-    rows = [unique[k] for k in sorted(unique)]
+    rows = sorted(rows, key=lambda r: r.doc_id)
     read = lambda name: np.stack([np.frombuffer(r[name], np.float32) for r in rows])
     return co_train(read("content"), read("metadata"), np.array([r.label for r in rows]))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.session import settle, store
+from tillwise.session import settle, shared_folder, store
 
 __all__ = ["connected_components", "per_batch", "read", "settle", "ship", "store", "words_column"]
 
@@ -24,16 +24,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this library's Python files to the executors, once per application, as ``--py-files`` would."""
+    """Send this library's Python files to the executors, once per application, as ``--py-files`` would.
+
+    The archive lies in the shared folder.
+    """
     context = spark.sparkContext
     if getattr(context, "_tillwise_shipped", False):
         return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="tillwise-")) / "tillwise.zip"
+    package, archive = Path(__file__).resolve().parents[1], io.BytesIO()
     with zipfile.ZipFile(archive, "w") as file:
         for path in sorted(package.rglob("*.py")):
             file.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(archive))
+    target = f"{shared_folder(spark)}/tillwise.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    context.addPyFile(target)
     context._tillwise_shipped = True
 
 
