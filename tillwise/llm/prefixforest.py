@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 
 
 class Forest:
-    """Index of one shard.  ``vectors`` must be distinct; ``share`` is the part of them a tree gives on average."""
+    """Index of one shard.  ``vectors`` must be distinct.
 
-    def __init__(self, vectors: np.ndarray, trees: int = 40, bits: int = 24, share: float = 0.025, seed: int = 11):
-        self.bits, self.wanted = bits, trees * share * len(vectors)
+    ``share`` is the part of them a tree gives on average at least; ``least`` vectors come out in any case, or all.
+    """
+
+    def __init__(
+        self, vectors: np.ndarray, trees: int = 40, bits: int = 24, share: float = 0.025, least: int = 1, seed: int = 11
+    ):
+        self.bits, self.wanted = bits, trees * max(share * len(vectors), min(least, len(vectors)))
         # One more coordinate makes all vectors equally long, so that nearness by angle is nearness by product.
         size = np.linalg.norm(vectors, axis=1)
         self.longest = size.max()
@@ -83,7 +88,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(ids))
     distinct = np.ascontiguousarray(vectors[starts])
-    flags = Forest(distinct, **options).candidates(queries)
+    flags = Forest(distinct, least=k + 1, **options).candidates(queries)
     out_query, out_id, out_score = [], [], []
     for q in range(len(queries)):
         found = np.flatnonzero(flags[q])
@@ -117,8 +122,8 @@ def nearest(
     k: int = 20,
     id_column: str = "vec_id",
     vector: str = "embedding",
-    shard_rows: int = 2_048,
-    query_rows: int = 1_024,
+    shard_rows: int = 8_192,
+    query_rows: int = 512,
     **options,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row ``is_query`` holds for, the ``k`` largest inner products found.
