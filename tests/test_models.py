@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.models import churn, segments
 from tillwise.plans import risk, segmentation
+from tillwise.plans.workspace import Workspace
 
 
 @pytest.fixture(scope="module")
@@ -145,6 +146,17 @@ def test_no_model_without_rows_or_classes(spark, space):
     assert churn.train_churn(space.rfm.where("recency <= 180")) is None
 
 
+def test_risk_needs_no_segments(spark, data, space, monkeypatch):
+    def never(*args, **kwargs):
+        raise AssertionError("segments were asked for")
+
+    monkeypatch.setattr("tillwise.plans.workspace.segment", never)
+    monkeypatch.setattr("tillwise.plans.rfm.rank_cuts", never)
+    other = Workspace(spark, data)
+    other.__dict__.update(rfm=space.rfm, churn_model=space.churn_model)
+    assert other.churn.count() == space.churn.count()
+
+
 def test_label_limit_is_strict(spark):
     df = spark.createDataFrame([(180,), (181,)], "recency int")
     assert [r.y for r in df.select(churn.at_risk().alias("y")).collect()] == [0.0, 1.0]
