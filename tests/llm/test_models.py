@@ -202,5 +202,10 @@ def test_likelihood_query(spark, data):
     assert all(r.log_likelihood < 0 for r in rows if r.n_tokens)
 
 
+def test_letters():
+    assert not any(map(langid.has_letter, (None, "", " 12 ½ ² ?! 🙂")))
+    assert all(map(langid.has_letter, ("a", "1ß", "日", "ʰ")))
+
+
 def test_held_out_of_null(spark):
     assert spark.range(1).select(langid.held_out(F.lit(None).cast("long")).alias("x")).first().x is False

@@ -19,11 +19,16 @@ from tillwise.llm.frames import per_batch
 
 WINDOW = 256
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 #: Windows scored at once; bounds the memory of a worker.
 BATCH = 128
 
 
+def has_letter(text: str | None) -> bool:
+    """True if a character of the text is a letter of any script."""
+    return bool(text) and bool(ASCII_LETTER.search(text) or any(map(str.isalpha, text)))
+
+
 @dataclass
 class ByteNet:
     """Embeddings ``emb[256, d]``, filters by width ``[width, d, f]`` with biases, and the output layer."""
@@ -203,7 +208,7 @@ def training_windows(sample: DataFrame, each: int = 3) -> DataFrame:
                 rows += [
                     (key, f * each + k, window, lang)
                     for k, window in enumerate(made)
-                    if HAS_LETTER.search(window.decode("utf-8", "ignore"))
+                    if has_letter(window.decode("utf-8", "ignore"))
                 ]
         return list(map(list, zip(*rows))) if rows else [[] for _ in fields]
 
@@ -235,7 +240,7 @@ def predict(
     def run(keys: list, texts: list) -> list:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         tables = _tables(net) if net else None
-        chosen = [k for k, t in enumerate(texts) if net and t and HAS_LETTER.search(t)]
+        chosen = [k for k, t in enumerate(texts) if net and has_letter(t)]
         # windows of many texts are scored together, those of one very long text in several goes
         group, held = [], 0
         for k in [*chosen, None]:
