@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Partitions of training rows.  A parameter of the model, as random starts and bagging draw by partition.
-PARTITIONS = 16
+PARTITIONS = 8
 
 
 def in_fixed_order(df: DataFrame, key: str = "customer_id", partitions: int = PARTITIONS) -> DataFrame:

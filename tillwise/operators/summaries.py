@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import guarded_ratio
 from tillwise.operators.predicates import with_keys
-from tillwise.session import settle
+from tillwise.session import store
 
 
 def summarise(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
@@ -35,7 +35,7 @@ def share(
     categories of a customer.
     """
     if many:
-        df = settle(df)
+        df = store(df)
         whole = df.agg(F.sum(measure)).scalar()
     else:
         whole = F.sum(measure).over(Window.partitionBy(*by))

@@ -83,5 +83,5 @@ def geo_table(cells: DataFrame) -> DataFrame:
 def geo_treemap(cells: DataFrame) -> DataFrame:
     """Area (share of revenue) and colour (order value) of each city."""
     measures = {"revenue": money_sum("payment_amount"), "avg_order_value": average("payment_amount")}
-    tiles = share(summarise(cells, ["city"], measures), "revenue")
+    tiles = share(summarise(cells, ["city"], measures), "revenue", many=True)
     return tiles.withColumn("revenue", F.col("revenue").cast("double"))

@@ -11,7 +11,7 @@ from tillwise.operators.joins import scalar_of
 from tillwise.operators.predicates import is_cancelled, with_keys
 from tillwise.operators.ranking import bucket_by_cuts, qcut, rank_cuts
 from tillwise.schema import SEQUENCE
-from tillwise.session import settle
+from tillwise.session import store
 
 NEEDS = (
     *SEQUENCE, "customer_id", "order_date", "order_status", "payment_amount", "review_score",
@@ -34,7 +34,7 @@ def rfm_base(facts: DataFrame, sequence: tuple[str, ...] = SEQUENCE) -> DataFram
         return F.when(kept, x)
 
     place = only(F.struct(*sequence))
-    customers = settle(
+    customers = store(
         facts.groupBy("customer_id").agg(
             F.max("order_date").alias("_newest"),
             F.count_if(kept).alias("_kept"),
