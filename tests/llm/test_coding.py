@@ -40,6 +40,14 @@ def test_a_wrong_merge_is_noticed():
         coder.encode(["the thing"])
 
 
+def test_new_generations_change_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT", 50)
+    coder, texts = pieces.PieceCoder(PIECES), drawn(400)
+    for at in range(0, 400, 7):
+        some = texts[at : at + 7]
+        assert [ids for ids, _ in coder.encode(some)] == coder.library.encode(some)
+
+
 def test_token_counts_as_the_library():
     counter = tokencount.WordCounter(WORDS)
     library = Tokenizer.from_file(WORDS)
@@ -51,11 +59,11 @@ def test_token_counts_as_the_library():
 
 
 def test_merge_and_memo():
-    ranks = {"ab": 1, "bc": 0, "abc": 2, "aa": 3}
-    rank = lambda a, b: ranks.get(a + b)
-    assert merge(list("abc"), rank) == ["abc"]
-    assert merge(list("aaa"), rank) == ["aa", "a"]
-    assert merge([], rank) == [] and merge(["x"], rank) == ["x"]
+    ranks = {("a", "b"): 1, ("b", "c"): 0, ("a", "bc"): 2, ("a", "a"): 3}
+    assert merge(list("abc"), ranks) == ["abc"]
+    assert merge(list("aaa"), ranks) == ["aa", "a"]
+    assert merge(list("xabc"), {"ab": 1, "bc": 0, "abc": 2}, joined=True) == ["x", "abc"]
+    assert merge([], ranks) == [] and merge(["x"], ranks) == ["x"]
     memo, asked = Memo(2), []
 
     def make(keys):

@@ -11,6 +11,7 @@ import re
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from tillwise.llm.frames import per_batch
 
 MARK = "▁"
 #: Parts whose ids a worker keeps; parts over LONGEST characters are not kept.
-KEPT, LONGEST = 300_000, 64
+KEPT, LONGEST = 350_000, 64
 
 
 class PieceCoder:
@@ -50,13 +51,10 @@ class PieceCoder:
         self.lead = len(library.encode(self.lone)) - 1 if lone else 0
         self.memo = Memo(KEPT)
 
-    def _rank(self, a: str, b: str) -> float | None:
-        return self.scores.get(a + b)
-
     def merged(self, part: str) -> tuple[int, ...]:
         """Ids of one part, by the agenda; characters without a piece become their bytes, or the unknown id."""
         found = []
-        for symbol in merge(list(part), self._rank):
+        for symbol in merge(list(part), self.scores, joined=True):
             i = self.ids.get(symbol)
             if i is not None:
                 found.append(i)
@@ -66,8 +64,8 @@ class PieceCoder:
                 found.append(self.unknown)
         return tuple(found)
 
-    def checked(self, parts: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        """Ids of parts as numbers and as text; an error if the library has other ids for one of them."""
+    def checked(self, parts: list[str]) -> list[str]:
+        """Ids of parts, joined by commas; an error if the library has other ids for one of them."""
         made = [self.merged(part) for part in parts]
         # The library puts a mark before each text; the lone character keeps what it is asked for from ending in one.
         asked = [(p[1:] if p[0] == MARK else self.lone + p) + self.lone for p in parts]
@@ -75,7 +73,7 @@ class PieceCoder:
         for part, ids, other in zip(parts, made, said):
             if list(ids) != other[0 if part[0] == MARK else self.lead + 1 : len(other) - self.lead]:
                 raise ValueError(f"the library encodes {part!r} as {other}, the agenda as {ids}")
-        return [(ids, ",".join(map(str, ids))) for ids in made]
+        return [",".join(map(str, ids)) for ids in made]
 
     def parts(self, text: str | None) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -83,16 +81,20 @@ class PieceCoder:
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """For each text its ids, and the same joined by commas; null counts as empty."""
         cut = [self.parts(text) for text in texts]
-        seen = set().union(*cut) if cut else set()
-        short = {part for part in seen if len(part) <= LONGEST}
+        young = self.memo.young
+        new = {part for parts in cut for part in parts if part not in young}
+        short = {part for part in new if len(part) <= LONGEST}
+        if len(young) + len(short) > self.memo.limit:  # a new generation has to have all parts of these texts
+            short = {part for parts in cut for part in parts if len(part) <= LONGEST}
         known = self.memo.ensure(short, self.checked)
-        if len(short) < len(seen):
-            long = list(seen - short)
-            known = known | dict(zip(long, self.checked(long)))
+        long = [part for part in new if len(part) > LONGEST]
+        known.update(zip(long, self.checked(long)))
         out = []
         for parts in cut:
-            found = [known[part] for part in parts]
-            out.append(([i for ids, _ in found for i in ids], ",".join([text for _, text in found])))
+            listed = ",".join(map(known.__getitem__, parts))
+            out.append((np.fromstring(listed, np.int32, sep=",").tolist() if listed else [], listed))
+        for part in long:  # not kept
+            del known[part]
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:

@@ -70,7 +70,7 @@ class WordCounter:
 
     def merged(self, word: str) -> int:
         """Number of tokens of a pre-token given in byte letters."""
-        return len(merge([*word[:-1], word[-1] + self.end], lambda a, b: self.ranks.get((a, b))))
+        return len(merge([*word[:-1], word[-1] + self.end], self.ranks))
 
     def in_letters(self, word: str) -> str:
         letters = self.letters
@@ -97,10 +97,12 @@ class WordCounter:
         seen = set().union(*cut) if cut else set()
         short = {w for w in seen if len(w) <= LONGEST}
         known = self.memo.ensure(short, self._counts)
-        if len(short) < len(seen):
-            long = list(seen - short)
-            known = known | dict(zip(long, self._counts(long)))
-        return [more + sum(map(known.__getitem__, words)) for more, words in zip(extra, cut)]
+        long = list(seen - short)
+        known.update(zip(long, self._counts(long)))
+        counts = [more + sum(map(known.__getitem__, words)) for more, words in zip(extra, cut)]
+        for word in long:  # not kept
+            del known[word]
+        return counts
 
 
 
