@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.frames import settle
+from tillwise.llm.frames import store
 
 #: Tags after which a new line of text begins; other tags vanish.
 SCRIPTS = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>"
@@ -73,7 +73,7 @@ def mark_lines(
     gathered per host, stored, and joined to its pages; as both sides are then shuffled for the join alone,
     adaptive execution can split the pages of a hot host.
     """
-    frequent = settle(
+    frequent = store(
         boilerplate(pages, host, text, ratio, min_pages)
         .groupBy(F.col("host").alias("__host"))
         .agg(F.collect_set("line_key").alias("__frequent"))
