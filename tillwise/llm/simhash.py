@@ -275,7 +275,15 @@ def near_duplicate_components(
     """
     marked = settle(fingerprints(docs, id_column, text, shingle))
     firsts = settle(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    links = near_pairs(firsts.select("fp"), radius, parts)
+    return _components(marked, firsts, near_pairs(firsts.select("fp"), radius, parts))
+
+
+def component_of_links(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, fp, component)`` for ``marked(id, fp)``, whose keys ``fp`` are linked by ``links(a, b)``."""
+    return _components(marked, settle(marked.groupBy("fp").agg(F.min("id").alias("first"))), links)
+
+
+def _components(marked: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
     roots = connected_components(links).withColumnRenamed("node", "fp")
     rooted = settle(
         firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -291,7 +299,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     Texts without words are one group like any other.  Rows with a null id stay, as nothing tells them apart; of
     repeated rows of one id all stay or go together.
     """
-    found = near_duplicate_components(docs, id_column, text, **options)
+    return drop_all_but_first(docs, id_column, near_duplicate_components(docs, id_column, text, **options))
+
+
+def drop_all_but_first(docs: DataFrame, id_column: str, found: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose component in ``found(id, component)`` has a smaller id."""
     gone = found.where("id > component").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column].cast("long") == gone["__gone"], "left_anti")
 
