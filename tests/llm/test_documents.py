@@ -32,6 +32,15 @@ def test_frequent_lines(spark):
     assert marked[3] == (4, 2) and marked[200] == (3, 0) and marked[300] == (0, 0)
 
 
+def test_menu_heavy_pages_lose_their_menu(spark):
+    menu = "\n".join(f"entry {k}" for k in range(12))
+    rows = [(k, "a", f"{menu}\nbody {k}") for k in range(50)] + [(100, "a", menu)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    marked = {r.doc_id: r for r in linededup.mark_lines(docs).collect()}
+    assert all(marked[k].kept_text == f"body {k}" and marked[k].n_dropped == 12 for k in range(50))
+    assert marked[100].kept_text == menu and marked[100].n_dropped == 0  # a copy: no line of its own
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = linededup.drop_boilerplate(odd)
     assert got.columns == odd.columns and got.count() == odd.count()

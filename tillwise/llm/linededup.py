@@ -61,13 +61,12 @@ def mark_lines(
     text: str = "text",
     ratio: float = 0.02,
     min_pages: int = 5,
-    copy_share: float = 0.5,
 ) -> DataFrame:
     """``pages`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (which replace columns of these names); every row stays.
 
-    A page more than ``copy_share`` of whose lines (blank ones aside) are frequent is taken for a copy of a page rather than
-    one with boilerplate: it is left whole, for near-duplicate removal to decide on.  So a site that holds one
-    text very often does not lose that text.  Null texts give an empty ``kept_text`` without lines; a null host
+    A page all of whose lines (blank ones aside) are frequent is taken for a copy of a page rather than one with
+    boilerplate: it is left whole, for near-duplicate removal to decide on.  So a site that holds one text very often
+    does not lose that text; a page with any line of its own loses every frequent one.  Null texts give an empty ``kept_text`` without lines; a null host
     is a host of its own; blank lines are never frequent; repeated rows count as pages of their own.
     The frequent lines of a host are at most its mean number of lines per page divided by ``ratio``; they are
     gathered per host, stored, and joined to its pages; as both sides are then shuffled for the join alone,
@@ -90,7 +89,7 @@ def mark_lines(
         .withColumn("__full", F.size(F.filter("__lines", lambda x: F.trim(x) != "")))
         .withColumn("__dropped", F.size("__lines") - F.size("__kept"))
     )
-    whole = F.col("__dropped") > copy_share * F.col("__full")
+    whole = F.col("__dropped") == F.col("__full")
     return (
         kept.withColumn("kept_text", F.array_join(F.when(whole, F.col("__lines")).otherwise(F.col("__kept")), "\n"))
         .withColumn("n_lines", F.col("__full").cast("long"))
