@@ -41,6 +41,20 @@ def test_menu_heavy_pages_lose_their_menu(spark):
     assert marked[100].kept_text == menu and marked[100].n_dropped == 0  # a copy: no line of its own
 
 
+def test_ratio_decides_on_small_hosts(spark, tmp_path):
+    pages = [(k, f"http://small.org/{k}", f"<p>menu</p><p>body {k}</p>") for k in range(3)]
+    pages += [(10, "http://one.org/", "<p>menu</p><p>body</p>")]
+    pages += [(100 + k, f"http://large.org/{k}", f"<p>{'rare' if k < 2 else k}</p><p>body {k}</p>") for k in range(100)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.n_dropped for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(3)] == [1, 1, 1] and got[10] == 0
+    assert got[100] == got[101] == 0  # 2 of 100 pages are not over 2 %
+    rows = [(k, "small", f"menu\nbody {k}", None) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
+    made = corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()
+    assert {r.text for r in made} == {f"body {k}" for k in range(3)}
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = linededup.drop_boilerplate(odd)
     assert got.columns == odd.columns and got.count() == odd.count()

@@ -13,6 +13,9 @@ BREAKS = r"(?i)</?(?:title|p|div|li|ul|nav|article|footer|header|h[1-6]|br|td|tr
 TAGS = r"(?s)<[^>]*>"
 SCHEME_AND_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
+#: The least number of pages that says anything: every line of one page is on all of it.
+TWO_PAGES = 2
+
 
 def host_of(url: Column) -> Column:
     """Host of an absolute address in lower case; the empty string if there is none."""
@@ -41,7 +44,8 @@ def boilerplate(
     """``(host, line_key)``: lines on more than ``ratio`` of the pages of a host, and on ``min_pages`` of it or more.
 
     A line counts once per page.  What is shuffled is one 16-byte key per distinct line and map task; a host with
-    a third of all pages is spread over its lines.  ``min_pages`` keeps a small site's only page whole.
+    a third of all pages is spread over its lines.  ``min_pages`` keeps a small site's only page whole; with
+    ``TWO_PAGES`` the ratio alone decides on every site of two pages or more.
     """
     named = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
     totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))

@@ -69,7 +69,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         linededup.host_of(F.col("url")).alias("host"),
         linededup.html_text(F.col("html")).alias("page_text"),
     )
-    return linededup.mark_lines(pages, "host", "page_text").select(
+    return linededup.mark_lines(pages, "host", "page_text", min_pages=linededup.TWO_PAGES).select(
         "page_id", "host", "n_lines", "n_dropped", F.md5("kept_text").alias("kept_md5")
     )
 
