@@ -19,17 +19,43 @@ def test_same_as_sql(spark, data, name):
     assert differences(QUERIES[name](spark, data), connect(data), ORACLES[name]) == []
 
 
+def plain_frequent(pages):
+    """Lines to drop per host, from ``(host, text)`` pairs, by definition."""
+    bodies = {(host, text or "") for host, text in pages}
+    total, on = Counter(host for host, _ in bodies), Counter()
+    for host, text in bodies:
+        on.update({(host, line.strip(" ")) for line in text.split("\n")} - {(host, "")})
+    return {k for k, n in on.items() if 100 * n > 2 * total[k[0]] and n >= min(5, max(3, total[k[0]] // 2 + 1))}
+
+
 def test_frequent_lines(spark):
     rows = [(k, "a", f"head\nbody {k}\n\nmore {k}\nfoot") for k in range(50)]
-    rows += [(100 + k, "b", f"head\nother {k}") for k in range(4)]  # fewer than five pages
+    rows += [(100 + k, "b", f"head\nother {k}") for k in range(3)]  # over half of a small host
+    rows += [(110 + k, "two", f"head\nother {k}") for k in range(2)]  # two pages say nothing
     rows += [(200 + k, "c", "one text\nthat the host\nholds often") for k in range(9)] + [(300, None, None)]
-    rows += [(400 + k, "d", f"x {k}\nrare" if k < 5 else f"x {k}") for k in range(300)]
+    rows += [(400 + k, "d", f"x {k}\nrare" if k < 6 else f"x {k}") for k in range(300)]
+    rows += [(800 + k, "e", "menu\nfoot" if k == 7 else f"menu\nbody {k}\nfoot") for k in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("kept_text", F.lit(1))
     got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs).collect()}
-    assert got[3] == "body 3\n\nmore 3" and got[100] == "head\nother 0"
+    assert got[3] == "body 3\n\nmore 3" and got[100] == "other 0" and got[110] == "head\nother 0"
     assert got[200] == "one text\nthat the host\nholds often" and got[300] is None and got[400] == "x 0\nrare"
+    assert got[800] == "body 0" and got[807] == ""
     marked = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.mark_lines(docs).collect()}
-    assert marked[3] == (4, 2) and marked[200] == (3, 0) and marked[300] == (0, 0)
+    assert marked[3] == (4, 2) and marked[200] == (3, 0) and marked[300] == (0, 0) and marked[807] == (2, 2)
+    drop = plain_frequent([(source, text) for _, source, text in rows])
+    for k, source, text in rows:
+        want = text and "\n".join(x for x in text.split("\n") if (source, x.strip(" ")) not in drop)
+        assert got[k] == want
+
+
+def test_near_copies_on_a_small_host_keep_their_text(spark):
+    article = [f"line {k} of an article that two pages hold" for k in range(20)]
+    rows = [(1, "site", "\n".join(["menu", *article, "first"])), (2, "site", "\n".join(["menu", *article, "second"]))]
+    rows += [(k, "site", f"menu\nown text of page {k}") for k in range(3, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs).collect()}
+    assert got[1] == "\n".join([*article, "first"]) and got[2] == "\n".join([*article, "second"])
+    assert all(got[k] == f"own text of page {k}" for k in range(3, 41))
 
 
 def test_menu_heavy_pages_lose_their_menu(spark):
@@ -38,10 +64,10 @@ def test_menu_heavy_pages_lose_their_menu(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     marked = {r.doc_id: r for r in linededup.mark_lines(docs).collect()}
     assert all(marked[k].kept_text == f"body {k}" and marked[k].n_dropped == 12 for k in range(50))
-    assert marked[100].kept_text == menu and marked[100].n_dropped == 0  # a copy: no line of its own
+    assert marked[100].kept_text == "" and marked[100].n_dropped == 12
 
 
-def test_ratio_decides_on_small_hosts(spark, tmp_path):
+def test_one_rule_for_query_stage_and_function(spark, tmp_path):
     pages = [(k, f"http://small.org/{k}", f"<p>menu</p><p>body {k}</p>") for k in range(3)]
     pages += [(10, "http://one.org/", "<p>menu</p><p>body</p>")]
     pages += [(100 + k, f"http://large.org/{k}", f"<p>{'rare' if k < 2 else k}</p><p>body {k}</p>") for k in range(100)]
@@ -123,21 +149,15 @@ def test_pipeline_stages(spark, data):
     assert all(after[k] == before[k] for k in after)
 
     before, after = by["line_dedup"]
-    pages = Counter(r.source for r in before.values())
-    on = Counter((r.source, line) for r in before.values() for line in {x.strip(" ") for x in r.text.split("\n")} - {""})
+    drop = plain_frequent([(r.source, r.text) for r in before.values()])
     for k, r in before.items():
-        often = lambda x, s=r.source: x.strip(" ") and on[s, x.strip(" ")] >= 5 and on[s, x.strip(" ")] > 0.02 * pages[s]
-        lines = r.text.split("\n")
-        dropped = [x for x in lines if often(x)]
-        full = [x for x in lines if x.strip(" ")]
-        want = lines if len(dropped) > 0.5 * len(full) else [x for x in lines if not often(x)]
+        want = [x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in drop]
         assert after[k].text == "\n".join(want) and after[k].n_chars == len(after[k].text)
 
-    from test_simhash import plain_components, plain_fingerprint
+    from test_setjoin import plain_components
 
     before, after = by["simhash_near_dedup"]
-    ids = sorted(before)
-    component = plain_components(ids, [plain_fingerprint(before[k].text) for k in ids])
+    component = plain_components({k: r.text for k, r in before.items()})
     assert set(after) == set(component.values()) and all(after[k] == before[k] for k in after)
 
     before, after = by["source_mixing"]

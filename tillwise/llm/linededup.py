@@ -13,8 +13,12 @@ BREAKS = r"(?i)</?(?:title|p|div|li|ul|nav|article|footer|header|h[1-6]|br|td|tr
 TAGS = r"(?s)<[^>]*>"
 SCHEME_AND_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
-#: The least number of pages that says anything: every line of one page is on all of it.
-TWO_PAGES = 2
+#: A line on so many different pages is frequent if the ratio says so, whatever the size of the host.
+ENOUGH = 5
+#: Fewer pages than this never show a line to be the host's own: two may be an article and its revision.
+LEAST = 3
+#: Stands for the page itself among the keys of its lines, which have 16 bytes.
+PAGE = b""
 
 
 def host_of(url: Column) -> Column:
@@ -38,25 +42,31 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def boilerplate(
-    pages: DataFrame, host: str, text: str, ratio: float = 0.02, min_pages: int = 5
-) -> DataFrame:
-    """``(host, line_key)``: lines on more than ``ratio`` of the pages of a host, and on ``min_pages`` of it or more.
+def pages_needed(pages: Column) -> Column:
+    """On how many different pages a line must be to be judged by the ratio: ``ENOUGH``, or over half of a host of
+    fewer than twice as many pages, but ``LEAST`` in any case."""
+    return F.least(F.lit(ENOUGH), F.greatest(F.lit(LEAST), F.floor(pages / 2) + 1))
+
+
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = 0.02) -> DataFrame:
+    """``(host, line_key)``: lines on more than ``ratio`` of the different pages of a host, and on ``pages_needed`` of them.
 
-    A line counts once per page.  What is shuffled is one 16-byte key per distinct line and map task; a host with
-    a third of all pages is spread over its lines.  ``min_pages`` keeps a small site's only page whole; with
-    ``TWO_PAGES`` the ratio alone decides on every site of two pages or more.
+    Pages of one host with the same whole text are one page, in the lines' counts and in the host's total, so copies of a
+    page do not make its text frequent.  A line counts once per page.  What is shuffled is a 16-byte key per line and one
+    per page text; a host or a line with a third of all pages is spread over its page texts and counted before it is brought together.
     """
-    named = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), _key))
-    counted = (
-        named.select("host", F.explode(keys).alias("line_key"))
-        .groupBy("host", "line_key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_pages)
+    named = pages.select(
+        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    return counted.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line_key")
+    keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), _key))
+    each = F.explode(F.concat(F.array(F.lit(PAGE)), keys)).alias("line_key")
+    once = named.select("host", F.unhex(F.md5("text")).alias("body"), each).distinct()
+    counted = once.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("n"))
+    counted = store(counted.where((F.col("n") >= LEAST) | (F.col("line_key") == PAGE)))
+    totals = counted.where(F.col("line_key") == PAGE).select("host", F.col("n").alias("pages"))
+    often = (F.col("n") > ratio * F.col("pages")) & (F.col("n") >= pages_needed(F.col("pages")))
+    return counted.where(F.col("line_key") != PAGE).join(totals, "host").where(often).select("host", "line_key")
 
 
 def mark_lines(
@@ -64,20 +74,18 @@ def mark_lines(
     host: str = "source",
     text: str = "text",
     ratio: float = 0.02,
-    min_pages: int = 5,
 ) -> DataFrame:
     """``pages`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (which replace columns of these names); every row stays.
 
-    A page all of whose lines (blank ones aside) are frequent is taken for a copy of a page rather than one with
-    boilerplate: it is left whole, for near-duplicate removal to decide on.  So a site that holds one text very often
-    does not lose that text; a page with any line of its own loses every frequent one.  Null texts give an empty ``kept_text`` without lines; a null host
-    is a host of its own; blank lines are never frequent; repeated rows count as pages of their own.
+    Every page loses all frequent lines of its host; see ``boilerplate``.  A page and its revision on a small site
+    share few enough pages to stay whole, and copies count as one page.  Null texts give an empty ``kept_text`` without lines; a
+    null host is a host of its own; blank lines are never frequent.
     The frequent lines of a host are at most its mean number of lines per page divided by ``ratio``; they are
     gathered per host, stored, and joined to its pages; as both sides are then shuffled for the join alone,
     adaptive execution can split the pages of a hot host.
     """
     frequent = store(
-        boilerplate(pages, host, text, ratio, min_pages)
+        boilerplate(pages, host, text, ratio)
         .groupBy(F.col("host").alias("__host"))
         .agg(F.collect_set("line_key").alias("__frequent"))
     )
@@ -93,11 +101,10 @@ def mark_lines(
         .withColumn("__full", F.size(F.filter("__lines", lambda x: F.trim(x) != "")))
         .withColumn("__dropped", F.size("__lines") - F.size("__kept"))
     )
-    whole = F.col("__dropped") == F.col("__full")
     return (
-        kept.withColumn("kept_text", F.array_join(F.when(whole, F.col("__lines")).otherwise(F.col("__kept")), "\n"))
+        kept.withColumn("kept_text", F.array_join("__kept", "\n"))
         .withColumn("n_lines", F.col("__full").cast("long"))
-        .withColumn("n_dropped", F.when(whole, 0).otherwise(F.col("__dropped")).cast("long"))
+        .withColumn("n_dropped", F.col("__dropped").cast("long"))
         .drop("__name", "__host", "__frequent", "__lines", "__found", "__kept", "__full", "__dropped")
     )
 

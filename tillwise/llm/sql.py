@@ -13,27 +13,30 @@ WITH shown AS (
       '(?s)<[^>]*>', '', 'g') AS body,
     row_number() OVER () AS row_id
   FROM pages
+), body AS (
+  SELECT host, body, row_number() OVER () AS body_id
+  FROM (SELECT DISTINCT host, coalesce(body, '') AS body FROM shown)
+), own_line AS (
+  SELECT DISTINCT host, body_id, trim(line, ' ') AS key
+  FROM (SELECT host, body_id, unnest(string_split(body, chr(10))) AS line FROM body) WHERE trim(line, ' ') <> ''
+), frequent AS (
+  SELECT host, key
+  FROM (SELECT host, key, count(*) AS n FROM own_line GROUP BY ALL)
+  JOIN (SELECT host, count(*) AS pages FROM body GROUP BY host) USING (host)
+  WHERE n > 0.02 * pages AND n >= least(5, greatest(3, pages // 2 + 1))
 ), line AS (
   SELECT row_id, host, unnest(string_split(body, chr(10))) AS line,
     generate_subscripts(string_split(body, chr(10)), 1) AS k
   FROM shown WHERE body IS NOT NULL
-), frequent AS (
-  SELECT host, key FROM (
-    SELECT host, trim(line, ' ') AS key, count(DISTINCT row_id) AS n FROM line WHERE trim(line, ' ') <> '' GROUP BY ALL
-  ) JOIN (SELECT host, count(*) AS pages FROM shown GROUP BY host) USING (host)
-  WHERE n >= 5 AND n > 0.02 * pages
 ), marked AS (
   SELECT line.*, frequent.key IS NOT NULL AS f
   FROM line LEFT JOIN frequent ON line.host = frequent.host AND trim(line.line, ' ') = frequent.key
 ), page AS (
   SELECT row_id, count(*) FILTER (trim(line, ' ') <> '') AS n_lines, count(*) FILTER (f) AS dropped,
-    string_agg(line, chr(10) ORDER BY k) AS all_lines,
-    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT f), '') AS kept
+    string_agg(line, chr(10) ORDER BY k) FILTER (NOT f) AS kept
   FROM marked GROUP BY row_id
 )
-SELECT page_id, host, coalesce(n_lines, 0) AS n_lines,
-  CASE WHEN dropped > 0.5 * n_lines THEN 0 ELSE coalesce(dropped, 0) END AS n_dropped,
-  md5(coalesce(CASE WHEN dropped > 0.5 * n_lines THEN all_lines ELSE kept END, '')) AS kept_md5
+SELECT page_id, host, coalesce(n_lines, 0) AS n_lines, coalesce(dropped, 0) AS n_dropped, md5(coalesce(kept, '')) AS kept_md5
 FROM shown LEFT JOIN page USING (row_id)
 """
 
