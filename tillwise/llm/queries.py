@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import cotrain, langid, linededup, mixing, pieces, prefixforest, pseudolm, simhash, tokencount, wand
+from tillwise.llm import cotrain, langid, linededup, merkle, mixing, pieces, prefixforest, pseudolm, simhash, tokencount, wand
 from tillwise.llm.frames import read, ship
 
 
@@ -78,6 +78,12 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixforest.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = merkle.document_manifest(read(spark, sf_dir, "documents"), tampered)
+    return made.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, run after the executors have this library's files."""
 
@@ -90,6 +96,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 QUERIES = {
     "op10_nearest_vectors": shipped(nearest_vectors),
+    "op11_merkle_manifest": shipped(merkle_manifest),
     "op1_piece_coding": shipped(piece_coding),
     "op2_lm_scores": shipped(lm_scores),
     "op3_simhash_near_dedup": shipped(simhash_near_dedup),

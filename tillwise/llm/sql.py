@@ -81,4 +81,73 @@ def mixing(mix: Mix) -> str:
       (epochs + CASE WHEN held > 0 AND until <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed) WHERE copies > 0"""
 
 
-ORACLES = {"op6_source_mixing": mixing(PRODUCTION), "op7_line_dedup": LINE_DEDUP}
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce(list_concat([k::BIGINT], range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY k) AS entries
+  FROM (SELECT unnest(range(256)) AS k)
+)"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; ``entries`` must be a column.  The number of a byte is in its hex digits."""
+    code = f"encode({text})"
+    byte = f"(instr('0123456789ABCDEF', substring(hex({code}), 2 * i - 1, 1)) * 16 + instr('0123456789ABCDEF', substring(hex({code}), 2 * i, 1)) - 17)"
+    steps = f"list_transform(range(1, octet_length({code}) + 1), lambda i: {byte}::BIGINT)"
+    step = "xor(c >> 8, entries[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, b: {step}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _record(size: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', size, 'text')))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Tables ``name_node(tree, level, place, hash)`` of all trees over ``leaves(tree, place, hash)``, and ``name_top``."""
+    return f"""
+{name}_total AS (SELECT tree, CASE WHEN count(*) > 1 THEN length(bin(count(*) - 1)) ELSE 0 END AS height FROM {leaves} GROUP BY tree),
+{name}_node AS (
+  SELECT tree, 0 AS level, place, hash FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(hash, '' ORDER BY place)) FROM (
+    SELECT {name}_node.*, height FROM {name}_node JOIN {name}_total ON {name}_node.tree IS NOT DISTINCT FROM {name}_total.tree
+  ) WHERE level < height GROUP BY tree, level, place // 2
+),
+{name}_top AS (
+  SELECT n.tree, n.hash, height FROM {name}_node n JOIN {name}_total t ON n.tree IS NOT DISTINCT FROM t.tree AND n.level = t.height
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE}, leaf AS (
+  SELECT doc_id, lang AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place,
+    {_record("n_chars")} AS hash,
+    CASE WHEN {crc32("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL THEN {_record("(n_chars + 1)")} END AS changed
+  FROM documents, crc_table
+), {_tree("a", "leaf")}, subroot AS (
+  SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, hash, tree AS lang FROM a_top
+), {_tree("b", "subroot")}, way AS (
+  SELECT doc_id, l.tree, level, a_node.hash AS sibling, a_node.place < (l.place >> level) AS before
+  FROM leaf l JOIN a_node ON l.tree IS NOT DISTINCT FROM a_node.tree AND a_node.place = xor(l.place >> level, 1)
+  UNION ALL
+  SELECT doc_id, l.tree, a_top.height + level, b_node.hash, b_node.place < (s.place >> level)
+  FROM leaf l JOIN a_top ON l.tree IS NOT DISTINCT FROM a_top.tree JOIN subroot s ON l.tree IS NOT DISTINCT FROM s.lang
+    JOIN b_node ON b_node.place = xor(s.place >> level, 1)
+), fold AS (
+  SELECT doc_id, l.tree, coalesce(changed, hash) AS hash, 0 AS level, a_total.height + (SELECT height FROM b_total) AS height
+  FROM leaf l JOIN a_total ON l.tree IS NOT DISTINCT FROM a_total.tree
+  UNION ALL
+  SELECT f.doc_id, f.tree, sha256(CASE WHEN before THEN sibling || f.hash ELSE f.hash || coalesce(sibling, '') END), f.level + 1, height
+  FROM fold f LEFT JOIN way w ON f.doc_id = w.doc_id AND f.level = w.level
+  WHERE f.level < height
+)
+SELECT l.doc_id, l.hash AS leaf, a_top.hash AS subroot, (SELECT hash FROM b_top) AS root,
+  sha256(coalesce((SELECT string_agg(sibling, '' ORDER BY level) FROM way w WHERE w.doc_id = l.doc_id), '')) AS proof_sha256,
+  f.hash AS folded_root, f.hash = (SELECT hash FROM b_top) AS verified
+FROM leaf l JOIN a_top ON l.tree IS NOT DISTINCT FROM a_top.tree JOIN fold f ON l.doc_id = f.doc_id AND f.level = f.height
+"""
+
+ORACLES = {"op11_merkle_manifest": MERKLE, "op6_source_mixing": mixing(PRODUCTION), "op7_line_dedup": LINE_DEDUP}
