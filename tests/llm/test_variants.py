@@ -1,0 +1,92 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from tillwise.llm import variants
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def plain_variants(rows, least=7, occurrences=2, every=0, factor=10):
+    """The operator by definition: every word against every other."""
+    counts = Counter()
+    for key, text in rows:
+        for found in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in found)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if every and h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least and n >= occurrences}
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    best = {w: min(near[w], key=lambda v: (-words[v], v), default=None) for w in words}
+    form = {w: b if b and words[b] >= factor * words[w] else None for w, b in best.items()}
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return sorted((w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items())
+
+
+def rows_of(frame):
+    return sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in frame.collect())
+
+
+def misspelt(rng, letters, n):
+    """Texts of words, each many times right and now and then with one or two errors, some of errors of errors."""
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(6, 12))) for _ in range(n)]
+    words = []
+    for w in base:
+        words += [w] * rng.choice((3, 40, 500))
+        for _ in range(6):
+            k = rng.randrange(len(w))
+            v = rng.choice((w[:k] + w[k + 1 :], w[:k] + rng.choice(letters) + w[k:], w[:k] + rng.choice(letters) + w[k + 1 :]))
+            words += [v] * rng.choice((1, 2, 4, 50))
+    rng.shuffle(words)
+    return [(k, " ".join(words[k :: 200]).title() if k % 3 else ", ".join(words[k :: 200])) for k in range(200)]
+
+
+@pytest.mark.parametrize("letters,entries", [("ab", 40), ("abcdefghij", 40_000), ("éèab×", 200)])
+def test_same_as_brute_force(spark, letters, entries):
+    rows = misspelt(random.Random(len(letters)), letters, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    words = variants.vocabulary(variants.runs(docs, "doc_id", "text", 7).selectExpr("run AS word"))
+    made = variants.near_words(variants.store(words), entries)
+    want = plain_variants(rows)
+    assert rows_of(variants.with_forms(made)) == want
+    assert any(r[1] for r in want) and sum(r[4] for r in want) > 100
+    assert rows_of(variants.spelling_variants(docs, every=31)) == plain_variants(rows, every=31)
+
+
+def test_chains_lead_to_the_last_form(spark):
+    counts = {"aaaaaaaa": 2, "aaaaaaab": 20, "aaaaaabb": 200, "aaaaabbb": 2_000, "aaaabbbb": 20_000, "zzzzzzzz": 5}
+    docs = spark.createDataFrame([(k, " ".join([w] * n)) for k, (w, n) in enumerate(counts.items())], "doc_id long, text string")
+    got = {r.word: (r.form, r.root) for r in variants.spelling_variants(docs).collect()}
+    assert got["aaaaaaaa"] == ("aaaaaaab", "aaaabbbb") and got["aaaabbbb"] == (None, "aaaabbbb")
+    assert got["zzzzzzzz"] == (None, "zzzzzzzz")
+
+
+def test_long_words_and_repeats(spark):
+    long = "abcdefgh" * 12_000
+    rows = [(1, f"{long} {long} {long[:-1]} {long[:-1]}"), (2, f"x{long} x{long}"), (3, "aaaaaaaaa aaaaaaaaa aaaaaaaaaa aaaaaaaaaa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.word: r.n_near for r in variants.spelling_variants(docs).collect()}
+    assert got == {long: 2, long[:-1]: 1, f"x{long}": 1, "a" * 9: 1, "a" * 10: 1}
+
+
+def test_odd_rows(odd, none):
+    for every in (0, 31):
+        assert rows_of(variants.spelling_variants(odd, every=every)) == plain_variants([(r.doc_id, r.text) for r in odd.collect()], every=every)
+        assert variants.spelling_variants(none, every=every).count() == 0

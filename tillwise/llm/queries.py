@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import cotrain, langid, linededup, merkle, mixing, pieces, prefixforest, pseudolm, simhash, tokencount, wand
+from tillwise.llm import (
+    cotrain,
+    langid,
+    linededup,
+    merkle,
+    mixing,
+    pieces,
+    prefixforest,
+    pseudolm,
+    simhash,
+    tokencount,
+    variants,
+    wand,
+)
 from tillwise.llm.frames import read, ship
 
 
@@ -84,6 +97,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"), every=31)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, run after the executors have this library's files."""
 
@@ -97,6 +114,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES = {
     "op10_nearest_vectors": shipped(nearest_vectors),
     "op11_merkle_manifest": shipped(merkle_manifest),
+    "op13_spelling_variants": shipped(spelling_variants),
     "op1_piece_coding": shipped(piece_coding),
     "op2_lm_scores": shipped(lm_scores),
     "op3_simhash_near_dedup": shipped(simhash_near_dedup),

@@ -150,4 +150,38 @@ SELECT l.doc_id, l.hash AS leaf, a_top.hash AS subroot, (SELECT hash FROM b_top)
 FROM leaf l JOIN a_top ON l.tree IS NOT DISTINCT FROM a_top.tree JOIN fold f ON l.doc_id = f.doc_id AND f.level = f.height
 """
 
-ORACLES = {"op11_merkle_manifest": MERKLE, "op6_source_mixing": mixing(PRODUCTION), "op7_line_dedup": LINE_DEDUP}
+VARIANTS = f"""
+WITH RECURSIVE {CRC_TABLE}, run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), hashed AS (
+  SELECT run, {crc32("concat(doc_id, ':', run)")} AS h FROM run, crc_table WHERE length(run) >= 7
+), occurrence AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word
+  FROM hashed
+), word AS (
+  SELECT word, count(*) AS n FROM occurrence WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cut AS (
+  SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM word)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, cut.n, word.word, word.n FROM cut JOIN word ON cut.rest = word.word
+  UNION SELECT word.word, word.n, cut.word, cut.n FROM cut JOIN word ON cut.rest = word.word
+), best AS (
+  SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place
+  FROM near
+), formed AS (
+  SELECT word.word, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * word.n THEN other END AS form,
+    CASE WHEN other_n >= 10 * word.n THEN other_n END AS form_n
+  FROM word LEFT JOIN best ON word.word = best.word AND place = 1
+), step AS (
+  SELECT word, word AS place, 0 AS depth FROM formed
+  UNION ALL SELECT step.word, form, depth + 1 FROM step JOIN formed ON step.place = formed.word WHERE form IS NOT NULL
+)
+SELECT formed.word, form, reached AS root, n, n_near, form_n
+FROM formed JOIN (SELECT word, max_by(place, depth) AS reached FROM step GROUP BY word) last ON formed.word = last.word
+"""
+
+ORACLES = {"op13_spelling_variants": VARIANTS, "op11_merkle_manifest": MERKLE, "op6_source_mixing": mixing(PRODUCTION), "op7_line_dedup": LINE_DEDUP}
