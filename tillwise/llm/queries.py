@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.llm import (
     cotrain,
+    deobfuscate,
     langid,
     linededup,
     merkle,
@@ -101,6 +102,19 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(read(spark, sf_dir, "documents"), every=31)
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deobfuscate.find_personal_data(read(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s.plain)
+    of = lambda kind: F.size(F.filter(plain, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[of(kind) for kind in deobfuscate.KINDS],
+        F.sha2(deobfuscate.listed(plain), 256).alias("base_sha256"),
+        deobfuscate.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s.plain)).cast("long").alias("n_disguised"),
+    )
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, run after the executors have this library's files."""
 
@@ -114,6 +128,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES = {
     "op10_nearest_vectors": shipped(nearest_vectors),
     "op11_merkle_manifest": shipped(merkle_manifest),
+    "op12_personal_data": shipped(personal_data),
     "op13_spelling_variants": shipped(spelling_variants),
     "op1_piece_coding": shipped(piece_coding),
     "op2_lm_scores": shipped(lm_scores),
