@@ -20,8 +20,8 @@ from tillwise.llm.frames import store
 #: Letters of words: A-Z, a-z and U+00C0 to U+00FF.  Only A-Z are lower-cased.
 LETTER = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Entries of an index, and intervals' ranks looked at together.
-ENTRIES, TOGETHER = 40_000, 1_000_000
+#: Entries of an index, and ranks or states looked at together.
+ENTRIES, TOGETHER = 20_000, 200_000
 END, DELIMITER = 0, 1  # symbols; letters follow
 
 
@@ -82,18 +82,28 @@ class Index:
         begin = np.zeros(count, np.int64)
         delimiters = np.full(count, DELIMITER)
         low, high = self.narrowed(delimiters, begin), self.narrowed(delimiters, begin + len(self.before))
-        live, found = np.arange(count), []
+        live, states, held, pairs = np.arange(count), [], 0, [np.empty(0, np.int64)]
         for t in range(int(sizes.max(initial=0)) + 1):
             live = live[(sizes[live] >= t) & (low[live] < high[live])]
-            found += self._branches(queries, sizes, live[exact[live] <= t], low, high, t)
+            for state in self._branches(queries, sizes, live[exact[live] <= t], low, high, t):
+                states.append(state)
+                held += len(state[0])
+                if held > TOGETHER:
+                    pairs.append(self._followed(queries, sizes, states))
+                    states, held = [], 0
             live = live[sizes[live] > t]
             if not len(live):
                 break
             symbol = queries[live, t]
             low[live], high[live] = self.narrowed(symbol, low[live]), self.narrowed(symbol, high[live])
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        query, place, rank = (np.concatenate(x) for x in zip(*found))
+        pairs.append(self._followed(queries, sizes, states))
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.before))
+
+    def _followed(self, queries, sizes, states) -> np.ndarray:
+        """Pairs, as one number each, of the states that match to the end and the delimiter."""
+        if not states:
+            return np.empty(0, np.int64)
+        query, place, rank = (np.concatenate(x) for x in zip(*states))
         pairs = []
         while len(query):
             over = place > sizes[query]  # the delimiter was matched as well
@@ -101,7 +111,7 @@ class Index:
             query, place, rank = query[~over], place[~over], rank[~over]
             same = self.before[rank] == queries[query, place]
             query, place, rank = query[same], place[same] + 1, self.back[rank[same]]
-        return np.divmod(np.unique(np.concatenate(pairs)), len(self.before))
+        return np.unique(np.concatenate(pairs))
 
     def _branches(self, queries, sizes, asking, low, high, t):
         """States ``(query, next place, rank)`` behind an error at ``t`` and the symbol that follows it."""
