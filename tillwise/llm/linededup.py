@@ -60,9 +60,9 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = 0.02) ->
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), _key))
-    each = F.explode(F.concat(F.array(F.lit(PAGE)), keys)).alias("line_key")
-    once = named.select("host", F.unhex(F.md5("text")).alias("body"), each).distinct()
-    counted = once.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("n"))
+    keyed = named.select("host", F.unhex(F.md5("text")).alias("body"), F.concat(F.array(F.lit(PAGE)), keys).alias("keys"))
+    once = keyed.groupBy("host", "body").agg(F.any_value("keys").alias("keys"))
+    counted = once.select("host", F.explode("keys").alias("line_key")).groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("n"))
     counted = store(counted.where((F.col("n") >= LEAST) | (F.col("line_key") == PAGE)))
     totals = counted.where(F.col("line_key") == PAGE).select("host", F.col("n").alias("pages"))
     often = (F.col("n") > ratio * F.col("pages")) & (F.col("n") >= pages_needed(F.col("pages")))
