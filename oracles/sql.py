@@ -355,6 +355,15 @@ ORACLES: dict[str, str] = {
     "g04_customer_sample": f"""{RFM} SELECT customer_id, recency, frequency FROM rfm
       ORDER BY md5('7:' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 500""",
     "h01_distinct_categories": f"{FACTS} SELECT DISTINCT category FROM facts",
+    "k01_streamed_days": f"""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+      event_type AS category, {N} AS orders, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS revenue
+      FROM events GROUP BY ALL""",
+    "k02_streamed_new_vs_returning": f"""WITH placed AS (
+      SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS period, CAST(round(value * 100) AS BIGINT) AS amount FROM events
+    ), typed AS (
+      SELECT *, CASE WHEN period = min(period) OVER (PARTITION BY user_id) THEN 'New' ELSE 'Returning' END AS customer_type FROM placed
+    ) SELECT period, customer_type, {N} AS orders, CAST(count(DISTINCT user_id) AS BIGINT) AS customers,
+      CAST(sum(amount) AS DOUBLE) / 100 AS revenue FROM typed GROUP BY ALL""",
     "j02_spend_histogram": f"{RFM}, {histogram_sql('rfm', 'monetary', 30, 'gender')}",
     # dashboard
     "r01_executive_kpis": f"""{PNL} SELECT revenue, orders, avg_order_value, customers, avg_rating,

@@ -27,6 +27,7 @@ from tillwise.plans import (
     retention,
     risk,
     segmentation,
+    streams,
 )
 from tillwise.plans import rfm as rfm_plan
 from tillwise.plans.cells import order_cells
@@ -260,6 +261,8 @@ QUERIES: dict[str, Query] = {
     "f03_recency_quintiles": _rfm(_recency_quintiles),
     "f03_spend_quartiles_by_city": _rfm(_spend_quartiles),
     "g04_customer_sample": _rfm(_customer_sample),
+    "k01_streamed_days": streams.streamed_days,
+    "k02_streamed_new_vs_returning": streams.streamed_retention,
     "h01_distinct_categories": _facts(_distinct_categories, "category"),
     "j02_spend_histogram": _rfm(_spend_histogram),
     # dashboard
