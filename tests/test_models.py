@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -42,20 +44,20 @@ def test_all_segments_in_order_of_spend(segmented):
 
 
 def test_cost_is_as_low_as_numpy_finds(space, segmented):
-    cost = segmented[1].stages[-1].summary.trainingCost
+    cost = segments.fit_segments(space.scores).cost
     assert cost <= 1.02 * min(lloyd(points(space), 4, seed) for seed in range(10))
 
 
 def test_best_of_the_restarts(space, segmented):
     for seed in (42, 43, 44):
-        single = segments.segment(space.scores, seeds=(seed,))[1].stages[-1].summary.trainingCost
-        assert segmented[1].stages[-1].summary.trainingCost <= single + 1e-9
+        single = segments.segment(space.scores, seeds=(seed,))[1].cost
+        assert segmented[1].cost <= single + 1e-9
 
 
 def test_points_go_to_the_nearest_center(space, segmented):
     table, model = segmented
     x = points(space)
-    centers = np.array(model.stages[-1].clusterCenters())
+    centers = np.array(model.centers)
     want = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
     order = [r.customer_id for r in space.scores.select("customer_id").collect()]
     got = {r.customer_id: r.cluster for r in table.select("customer_id", "cluster").collect()}
@@ -70,12 +72,51 @@ def test_same_seed_same_segments_whatever_the_partitions(space, segmented):
 
 def test_segment_model_is_saved(spark, space, segmented, tmp_path):
     table, model = segmented
-    model.write().save(str(tmp_path / "m"))
-    loaded = PipelineModel.load(str(tmp_path / "m"))
+    model.save(spark, str(tmp_path / "m"))
+    loaded = segments.SegmentModel.load(spark, str(tmp_path / "m"))
+    assert loaded == model
     back = segments.apply_segments(space.scores, loaded).select("customer_id", "cluster")
     assert back.exceptAll(table.select("customer_id", "cluster")).count() == 0
 
 
+def test_same_as_numpy_from_the_same_starts(space, segmented):
+    """Every restart by plain Lloyd rounds from the customers of the smallest hashes."""
+    x = points(space)
+    ids = [r.customer_id for r in space.scores.select("customer_id").collect()]
+    results = {}
+    for seed in (42, 43, 44):
+        order = sorted(range(len(ids)), key=lambda j: (hashlib.md5(f"{seed}:{ids[j]}".encode()).hexdigest(), ids[j]))
+        centers = x[order[:4]]
+        while True:
+            apart = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+            nearest = apart.argmin(axis=1)
+            moved = np.array([x[nearest == j].mean(axis=0) if (nearest == j).any() else centers[j] for j in range(4)])
+            if np.sqrt(((moved - centers) ** 2).sum(axis=1)).max() <= 1e-4:
+                break
+            centers = moved
+        results[seed] = (apart.min(axis=1).sum(), nearest)
+    cost, labels = min(results.values(), key=lambda r: r[0])
+    assert segmented[1].cost == pytest.approx(cost, rel=1e-9)
+    got = {r.customer_id: r.cluster for r in segmented[0].select("customer_id", "cluster").collect()}
+    assert [got[c] for c in ids] == labels.tolist()
+
+
+def test_one_scan_for_all_restarts(spark, space, monkeypatch):
+    rounds = []
+    own = segments._round
+    monkeypatch.setattr(segments, "_round", lambda points, centers: rounds.append(len(centers)) or own(points, centers))
+    segments.fit_segments(space.scores, seeds=range(6))
+    assert rounds[0] == 6 and rounds == sorted(rounds, reverse=True) and len(rounds) < 100
+
+
+def test_few_customers(spark):
+    few = spark.createDataFrame([(1, 3, 1, 5.0), (2, 3, 1, 5.0), (3, None, 2, 9.0)], "customer_id long, recency int, frequency int, monetary double")
+    table, model = segments.segment(few)
+    assert table.count() == 3 and len(model.centers) == 4
+    with pytest.raises(ValueError, match="no customers"):
+        segments.segment(few.limit(0))
+
+
 def test_one_label_per_cluster(space):
     with pytest.raises(ValueError, match="label"):
         segments.segment(space.scores, k=3)
