@@ -303,6 +303,35 @@ def short_money_sql(x: str) -> str:
     )
 
 
+def auto_histogram_sql(source: str, value: str, by: str = "") -> str:
+    """Bins at multiples of a readable width: twice the interquartile range over the cube root of n, a 200th of the range at least."""
+    key = f"{by}, " if by else ""
+    edges = edges_sql(4, source, value)
+    for name in ("ordered", "picked", "edges"):
+        edges = edges.replace(name, f"{name}_h")
+    return f"""{edges}, wide AS (
+      SELECT greatest(2 * (edge_3 - edge_1) / pow(CAST(n AS DOUBLE), 1::DOUBLE / 3), (edge_4 - edge_0) / 200) AS w FROM edges_h
+    ), steps AS (
+      SELECT coalesce(CASE WHEN w > 0 THEN pow(10, floor(log10(w))) * CASE WHEN w <= pow(10, floor(log10(w))) THEN 1
+        WHEN w <= 2 * pow(10, floor(log10(w))) THEN 2 WHEN w <= 5 * pow(10, floor(log10(w))) THEN 5 ELSE 10 END END, 1) AS step FROM wide
+    ) SELECT {key}floor(CAST({value} AS DOUBLE) / step) * step AS bin_start,
+      (floor(CAST({value} AS DOUBLE) / step) + 1) * step AS bin_end, {N} AS customers
+    FROM {source}, steps WHERE {value} IS NOT NULL GROUP BY ALL"""
+
+
+_DAYS = 180
+LATER = f"""{FACTS}, cut AS (SELECT max(order_date) - INTERVAL {_DAYS} DAY AS cut_at FROM facts), seen AS (
+  SELECT customer_id, CAST(date_sub('day', max(order_date) FILTER (WHERE kept),
+      (SELECT max(order_date) + INTERVAL 1 DAY FROM facts, cut WHERE order_date <= cut_at)) AS INTEGER) AS recency
+  FROM facts, cut WHERE order_date <= cut_at AND customer_id IS NOT NULL GROUP BY customer_id HAVING count(*) FILTER (WHERE kept) > 0
+), later AS (
+  SELECT seen.*, CAST(customer_id NOT IN (SELECT customer_id FROM facts, cut WHERE kept AND order_date > cut_at AND customer_id IS NOT NULL) AS DOUBLE) AS label
+  FROM seen
+), held AS (
+  SELECT customer_id, recency / (recency + 120::DOUBLE) AS score, label FROM later
+  WHERE CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 250000
+)"""
+
 SALES = (
     f"{N} AS orders", f"{REVENUE} AS revenue", f"{AVG_PAID} AS avg_spend", f"{AVG_RATING} AS avg_rating",
     f"{AVG_DISCOUNT} AS avg_discount", f"{CANCEL_RATE} AS cancel_rate",
@@ -355,6 +384,33 @@ ORACLES: dict[str, str] = {
     "g04_customer_sample": f"""{RFM} SELECT customer_id, recency, frequency FROM rfm
       ORDER BY md5('7:' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 500""",
     "h01_distinct_categories": f"{FACTS} SELECT DISTINCT category FROM facts",
+    "e03_sketched_customers": grouped("city", "CAST(count(DISTINCT customer_id) AS BIGINT) AS customers", "true AS close", where="city IS NOT NULL"),
+    "e06_sketched_order_values": grouped(
+        "category", "CAST(count(payment) AS BIGINT) AS orders", *[f"true AS close_{q}" for q in (25, 50, 75, 90)], where="category IS NOT NULL"
+    ),
+    "h01_categories_first_seen": f"""{FACTS}, firsts AS (
+      SELECT category AS value, min(({_SEQUENCE})) AS seen FROM facts WHERE category IS NOT NULL GROUP BY category
+    ) SELECT value, CAST(row_number() OVER (ORDER BY seen) AS INTEGER) AS place FROM firsts""",
+    "h01_segments_first_seen": f"""{BANDED}, firsts AS (SELECT segment AS value, min(customer_id) AS seen FROM banded GROUP BY segment)
+      SELECT value, CAST(row_number() OVER (ORDER BY seen) AS INTEGER) AS place FROM firsts""",
+    "i06_later_labels": f"""{LATER} SELECT label, {N} AS customers, avg(recency) AS mean_recency FROM later GROUP BY label""",
+    "i06_formula_holdout": f"""{LATER}, pairs AS (
+      SELECT sum(CASE WHEN p.score > n.score THEN 1 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS won, count(*) AS pairs
+      FROM held p JOIN held n ON p.label = 1 AND n.label = 0
+    ), told AS (
+      SELECT {N} AS rows, CAST(count(*) FILTER (label = 1) AS BIGINT) AS positives,
+        CAST(count(*) FILTER (score > 0.6::DOUBLE AND label = 1) AS BIGINT) AS true_positives,
+        CAST(count(*) FILTER (score > 0.6::DOUBLE AND label = 0) AS BIGINT) AS false_positives,
+        CAST(count(*) FILTER (score <= 0.6::DOUBLE AND label = 1) AS BIGINT) AS false_negatives,
+        CAST(count(*) FILTER (score <= 0.6::DOUBLE AND label = 0) AS BIGINT) AS true_negatives
+      FROM held
+    ) SELECT told.*, CAST(won AS DOUBLE) / pairs AS auc, true_positives / nullif(true_positives + false_positives, 0) AS precision,
+      true_positives / nullif(true_positives + false_negatives, 0) AS recall FROM told, pairs""",
+    "i06_formula_calibration": f"""{LATER} SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS band, {N} AS rows,
+      round(sum(score) / count(*), 6) AS mean_score, sum(label) / count(*) AS observed FROM held GROUP BY band""",
+    "j02_auto_spend_histogram": f"{RFM}, {auto_histogram_sql('rfm', 'monetary')}",
+    "r15_auto_recency_histogram": f"{BANDED}, {auto_histogram_sql('banded', 'recency', 'segment')}",
+    "r16_auto_spend_histogram": f"{BANDED}, {auto_histogram_sql('banded', 'monetary', 'segment')}",
     "k01_streamed_days": f"""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
       event_type AS category, {N} AS orders, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS revenue
       FROM events GROUP BY ALL""",

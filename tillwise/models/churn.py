@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import band
-from tillwise.models.layout import PARTITIONS, in_fixed_order
+from tillwise.models.layout import in_fixed_order, partitions_for
 from tillwise.operators.projections import fill_zero
 
 # Model inputs and their titles; risk levels from high to low and their strict lower limits.
@@ -29,6 +29,8 @@ FEATURE_TITLES = {
 RISK_LEVELS = ("High Risk", "Medium Risk", "Low Risk")
 HIGH, MEDIUM = 0.6, 0.35
 CHURN_DAYS = 180
+#: Share of the customers that an evaluation keeps out of training.
+HOLDOUT = 0.25
 
 
 def at_risk(recency: str = "recency", days: int = CHURN_DAYS) -> Column:
@@ -45,23 +47,27 @@ def train_churn(
     holdout: float = 0.0,
     max_depth: int = 12,
     max_bins: int = 256,
-    partitions: int = PARTITIONS,
+    partitions: int | None = None,
 ) -> PipelineModel | None:
     """The fitted pipeline, or None with fewer than ``min_rows`` customers or one class.
 
-    ``holdout`` keeps that share of the customers (by hash of their id) out of training.
+    ``holdout`` keeps that share of the customers (by hash of their id) out of training.  A column ``label`` (1.0 for
+    customers who left) is used where ``rfm`` has one, else a threshold on recency.  Partitions follow from the number
+    of rows unless they are given.
     """
-    table = _features(rfm).withColumn("label", at_risk(days=days))
+    known = F.col("label").cast("double") if "label" in rfm.columns else at_risk(days=days)
+    table = _features(rfm, known.alias("label"))
     if holdout:
         table = table.where(~held_out(holdout))
-    table = in_fixed_order(table, partitions=partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    size = table.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("classes")).first()
+    if size.rows < min_rows or size.classes < 2:
+        return None
+    table = in_fixed_order(table, partitions or partitions_for(size.rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        size = table.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("classes")).first()
-        if size.rows < min_rows or size.classes < 2:
-            return None
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         forest = RandomForestClassifier(
-            numTrees=trees, seed=seed, maxDepth=max_depth, maxBins=max_bins, probabilityCol="probability"
+            numTrees=trees, seed=seed, maxDepth=max_depth, maxBins=max_bins, probabilityCol="probability",
+            maxMemoryInMB=1024,
         )
         return Pipeline(stages=[assembler, forest]).fit(table)
     finally:
@@ -69,8 +75,9 @@ def train_churn(
 
 
 def held_out(part: float) -> Column:
-    """Whether a customer is in the hold-out set."""
-    return F.pmod(F.xxhash64("customer_id"), F.lit(1_000_000)) < int(part * 1_000_000)
+    """Whether a customer is in the hold-out set: by the first 32 bits of the MD5 of the id."""
+    draw = F.conv(F.substring(F.md5(F.col("customer_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return draw % 1_000_000 < int(part * 1_000_000)
 
 
 def score_churn(model: PipelineModel, df: DataFrame, high: float = HIGH, medium: float = MEDIUM) -> DataFrame:
@@ -93,6 +100,6 @@ def importances(model: PipelineModel, like: DataFrame) -> DataFrame:
     return made.orderBy("importance", "feature")
 
 
-def _features(rfm: DataFrame) -> DataFrame:
-    table = rfm.select("customer_id", *[F.col(c).cast("double") for c in FEATURES])
+def _features(rfm: DataFrame, *more: Column) -> DataFrame:
+    table = rfm.select("customer_id", *[F.col(c).cast("double") for c in FEATURES], *more)
     return fill_zero(table, FEATURES)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 
-#: Partitions of training rows.  A parameter of the model, as random starts and bagging draw by partition.
-PARTITIONS = 8
+#: Training rows a task should hold about, and the least number of partitions.
+ROWS, LEAST = 200_000, 8
+
+
+def partitions_for(rows: int) -> int:
+    """Partitions for so many training rows: they follow from the table, not from the cluster."""
+    return max(LEAST, ceil(rows / ROWS))
 
 
-def in_fixed_order(df: DataFrame, key: str = "customer_id", partitions: int = PARTITIONS) -> DataFrame:
-    """Rows hashed by key into ``partitions`` partitions, whatever their number, and sorted there.
+def in_fixed_order(df: DataFrame, partitions: int, key: str = "customer_id") -> DataFrame:
+    """Rows hashed by key into ``partitions`` partitions and sorted there.
 
-    A seed then gives the same model on any cluster, and again after an executor is lost.  Give more partitions
-    where a training table has more rows than so many tasks can hold.
+    Bagging draws by partition and position, so a seed then gives the same model on any cluster, and again after an
+    executor is lost.
     """
     return df.repartition(partitions, key).sortWithinPartitions(key)

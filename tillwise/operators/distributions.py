@@ -42,6 +42,43 @@ def histogram(
     )
 
 
+def readable_step(width: Column) -> Column:
+    """The least of 1, 2, 5 and 10 times a power of ten that is not below ``width``; null unless ``width`` is above 0."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(width)))
+    step = F.lit(10.0)
+    for m in (5.0, 2.0, 1.0):
+        step = F.when(width <= power * m, m).otherwise(step)
+    return F.when(width > 0, power * step)
+
+
+def auto_histogram(df: DataFrame, value: str, by: Sequence[str] = (), count: str = "customers", most: int = 200) -> DataFrame:
+    """Rows per bin where no number of bins is given: bins start at multiples of a readable width.
+
+    The width is twice the interquartile range divided by the cube root of the number of values, and at least a
+    ``most``-th of the whole range, rounded up by ``readable_step``.  If half of all values are equal, the range decides alone;
+    if all are, there is one bin of width 1.  All groups share the bins; bins without rows do not appear.
+    """
+    x = F.col(value).cast("double")
+    counts = with_keys(df, *by).select(*by, x.alias("_x")).where("_x IS NOT NULL")
+    counts = store(counts.groupBy(*by, "_x").agg(F.count("*").alias("_n")))
+    edges = exact_quantiles(counts, "_x", 4, weight="_n")
+    spread = 2 * (F.col("edge_3") - F.col("edge_1")) / F.pow(F.col("n").cast("double"), F.lit(1 / 3))
+    width = F.greatest(spread, (F.col("edge_4") - F.col("edge_0")) / most)
+    step = store(edges.select(F.coalesce(readable_step(width), F.lit(1.0)).alias("_step"))).agg(F.max("_step")).scalar()
+    start = F.floor(F.col("_x") / F.col("_step"))
+    return (
+        counts.withColumn("_step", step)
+        .groupBy(*by, start.alias("_at"), "_step")
+        .agg(F.sum("_n").alias(count))
+        .select(
+            *by,
+            (F.col("_at") * F.col("_step")).alias("bin_start"),
+            ((F.col("_at") + 1) * F.col("_step")).alias("bin_end"),
+            count,
+        )
+    )
+
+
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and outlier count.
 

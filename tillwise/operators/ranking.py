@@ -38,6 +38,32 @@ def global_rank(
     )
 
 
+def running_sums(df: DataFrame, order: str, measures: Sequence[str]) -> DataFrame:
+    """``df`` with ``before_<measure>``: the sum over all rows with a smaller ``order``, which must be unique.
+
+    Rows are range partitioned; a partition's sums are added up within it, on top of the totals of the partitions before it.
+    """
+    placed = settle(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    # One row per range partition: bounded by the partition count, whatever the data size.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = totals.select("_part", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures])
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(offsets), "_part")
+    sums = {f"before_{m}": F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(within), F.lit(0)) for m in measures}
+    return joined.withColumns(sums).drop("_part", *[f"_off_{m}" for m in measures])
+
+
+def first_seen(df: DataFrame, column: str, sequence: Sequence[str]) -> DataFrame:
+    """Distinct known values in the order in which the sequence first shows them: ``(value, place)`` from 1.
+
+    Every task keeps the least sequence of each value; only distinct values are shuffled and ranked.
+    """
+    least = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*sequence)).alias("_first"))
+    ranked = global_rank(least, "_first", [column], "place")
+    return ranked.select(F.col(column).alias("value"), F.col("place").cast("int"))
+
+
 def quantile_of_rank(rank: Column, n: Column, q: int = 5) -> Column:
     """Bucket 1..q of a unique rank 1..n, edges interpolated and right-closed.
 

@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import band, money_text, percent_text, short_money_text
-from tillwise.models.churn import HIGH, MEDIUM, RISK_LEVELS, importances
+from tillwise.models.churn import HIGH, HOLDOUT, MEDIUM, RISK_LEVELS, held_out, importances
 from tillwise.models.segments import SEGMENTS
-from tillwise.operators.distributions import box_stats, histogram
+from tillwise.operators.distributions import auto_histogram, box_stats, histogram
+from tillwise.operators.evaluation import calibration, score_counts
 from tillwise.operators.joins import scalar_of, with_first_period
 from tillwise.operators.projections import in_units, round_numbers, with_calendar, with_lookup
-from tillwise.operators.ranking import exact_quantiles, global_rank, hash_sample, qcut, quantile_of_rank
+from tillwise.operators.ranking import exact_quantiles, first_seen, global_rank, hash_sample, qcut, quantile_of_rank
 from tillwise.operators.summaries import summarise
 from tillwise.plans import (
     behaviour,
@@ -30,7 +31,7 @@ from tillwise.plans import (
     streams,
 )
 from tillwise.plans import rfm as rfm_plan
-from tillwise.plans.cells import order_cells
+from tillwise.plans.cells import customers_of, order_cells, order_value_quantile
 from tillwise.plans.workspace import workspace
 from tillwise.schema import SEQUENCE
 from tillwise.sources.facts import customer_attributes, load_events, order_headers
@@ -133,6 +134,66 @@ def _first_periods(facts: DataFrame) -> DataFrame:
     return summarise(joined, [WHO, "first_month"], {"orders": F.count("*")})
 
 
+def _sketched_customers(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers per city from sketches, beside the exact number, and whether they are within a twentieth of each other."""
+    space = workspace(spark, directory)
+    told = summarise(space.sketches, ["city"], {"sketched": customers_of(space.sketches)})
+    raw = space.cells("city", WHO)
+    exact = summarise(raw, ["city"], {"customers": customers_of(raw)})
+    apart = F.abs(F.col("sketched") - F.col("customers"))
+    return exact.join(told, "city").select("city", "customers", (apart <= F.greatest(F.lit(1), F.col("customers") / 20)).alias("close"))
+
+
+SKETCHED_RANKS = (0.25, 0.5, 0.75, 0.9)
+
+
+def _sketched_order_values(spark: SparkSession, directory: str) -> DataFrame:
+    """Order values of some ranks per category from sketches, and whether their exact ranks are within two hundredths."""
+    space = workspace(spark, directory)
+    values = {f"v{k}": order_value_quantile(q) for k, q in enumerate(SKETCHED_RANKS)}
+    told = summarise(space.sketches, ["category"], values)
+    paid = space.facts("category", PAY).join(told, "category")
+    x = F.col(PAY) / 100.0
+    ranks = [_near_rank(F.count_if(x < F.col(f"v{k}")), F.count_if(x <= F.col(f"v{k}")), q) for k, q in enumerate(SKETCHED_RANKS)]
+    return paid.groupBy("category").agg(F.count(PAY).alias("orders"), *[r.alias(f"close_{int(100 * q)}") for r, q in zip(ranks, SKETCHED_RANKS)])
+
+
+def _near_rank(below: Column, up_to: Column, q: float) -> Column:
+    n = F.count(PAY)
+    return (below / n - 0.02 <= q) & (up_to / n + 0.02 >= q)
+
+
+def _category_order(facts: DataFrame) -> DataFrame:
+    return first_seen(facts, "category", SEQUENCE)
+
+
+def _segment_order(spark: SparkSession, directory: str) -> DataFrame:
+    """Segments in the order in which the customers first show them."""
+    return first_seen(_by_quartile(spark, directory), "segment", [WHO])
+
+
+def _later(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, directory: report(workspace(spark, directory).later)
+
+
+def _later_labels(later: DataFrame) -> DataFrame:
+    return summarise(later, ["label"], {"customers": F.count("*"), "mean_recency": F.avg("recency")})
+
+
+def _formula_holdout(later: DataFrame) -> DataFrame:
+    """Held-out customers under a score that SQL can state."""
+    score = F.col("recency") / (F.col("recency") + 120.0)
+    return later.where(held_out(HOLDOUT)).select(WHO, score.alias("score"), "label")
+
+
+def _holdout(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, directory: report(workspace(spark, directory).holdout)
+
+
+def _calibration(scores: DataFrame) -> DataFrame:
+    return calibration(score_counts(scores, "score", "label"))
+
+
 # --- reports with more than one input -----------------------------------------------------------------
 
 
@@ -265,6 +326,19 @@ QUERIES: dict[str, Query] = {
     "k02_streamed_new_vs_returning": streams.streamed_retention,
     "h01_distinct_categories": _facts(_distinct_categories, "category"),
     "j02_spend_histogram": _rfm(_spend_histogram),
+    "e03_sketched_customers": _sketched_customers,
+    "e06_sketched_order_values": _sketched_order_values,
+    "h01_categories_first_seen": _facts(_category_order, *SEQUENCE, "category"),
+    "h01_segments_first_seen": _segment_order,
+    "i06_later_labels": _later(_later_labels),
+    "i06_formula_holdout": _later(lambda later: risk.holdout_summary(_formula_holdout(later))),
+    "i06_formula_calibration": _later(lambda later: _calibration(_formula_holdout(later))),
+    "i06_forest_holdout": _holdout(risk.holdout_summary),
+    "i06_forest_calibration": _holdout(_calibration),
+    "j02_auto_spend_histogram": _rfm(lambda rfm: auto_histogram(rfm, "monetary")),
+    "r15_auto_recency_histogram": _quartiles(lambda c: auto_histogram(c, "recency", ["segment"])),
+    "r16_auto_spend_histogram": _quartiles(lambda c: auto_histogram(c, "monetary", ["segment"])),
+    "r44_geo_table_sketched": lambda spark, d: retention.geo_table(workspace(spark, d).sketches),
     # dashboard
     "r01_executive_kpis": _cells(
         dashboard.executive_kpis, WHO, STATUS, PAY, "review_score", "gross_profit"

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import whole_sum
+from tillwise.functions.aggregates import distinct, whole_sum
 from tillwise.functions.scalars import day_name, month_labels, month_start
 from tillwise.operators.predicates import is_cancelled
 from tillwise.schema import CANCELLED, SCALES
@@ -76,6 +76,36 @@ def roll_up(cells: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFra
     return cells.groupBy(*dimensions).agg(*sums)
 
 
+SKETCHED_BY = ("month_start", "category", "city", "order_status")
+
+
+def sketch_up(cells: DataFrame, dimensions: Sequence[str] = SKETCHED_BY) -> DataFrame:
+    """Raw cells added up by few dimensions, with a sketch of the customers and one of the order values.
+
+    Unlike counts and quantiles, sketches of parts can be merged: reports by any of the dimensions need no raw cells.
+    The sketch of customers errs by 1.6 % (one standard deviation), that of values by 1.3 % of the rank.
+    """
+    measures = [*_MEASURES, *[f"{m}_n" for m in _AVERAGED], "size", "orders", "cancelled"]
+    sums = [F.sum(m).alias(m) for m in measures if m in cells.columns]
+    return cells.groupBy(*dimensions).agg(
+        *sums,
+        F.hll_sketch_agg("customer_id").alias("customers_sketch"),
+        F.kll_sketch_agg_bigint(F.col("payment_amount")).alias("payment_sketch"),
+    )
+
+
+def customers_of(cells: DataFrame) -> Column:
+    """Distinct customers of cells: from their sketches where cells have them, else exact."""
+    if "customers_sketch" in cells.columns:
+        return F.hll_sketch_estimate(F.hll_union_agg("customers_sketch"))
+    return distinct("customer_id")
+
+
+def order_value_quantile(q: float) -> Column:
+    """A value of about rank q among the payments of sketched cells, in units."""
+    return F.kll_sketch_get_quantile_bigint(F.kll_merge_agg_bigint("payment_sketch"), F.lit(q)) / 100.0
+
+
 def active_cells(cells: DataFrame) -> DataFrame:
     """Cells of orders that were not cancelled."""
     return cells.where(~F.col("order_status").eqNullSafe(CANCELLED))

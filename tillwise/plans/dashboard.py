@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import distinct, mean, total
+from tillwise.functions.aggregates import mean, total
 from tillwise.functions.scalars import guarded_ratio
 from tillwise.operators.predicates import with_keys
 from tillwise.operators.ranking import top_k
 from tillwise.operators.summaries import matrix, share, summarise
-from tillwise.plans.cells import active_cells, average, by_month, by_weekday, size
+from tillwise.plans.cells import active_cells, average, by_month, by_weekday, customers_of, size
 from tillwise.plans.profit import MARKETING, OVERHEAD
 from tillwise.schema import CANCELLED
 
@@ -31,7 +31,7 @@ def executive_kpis(cells: DataFrame) -> DataFrame:
         total(only("payment_amount")).alias("revenue"),
         F.coalesce(F.sum(only("size")), F.lit(0)).cast("bigint").alias("orders"),
         mean(only("payment_amount"), 100).alias("avg_order_value"),
-        distinct("customer_id").alias("customers"),
+        customers_of(cells).alias("customers"),
         average("review_score").alias("avg_rating"),
         total(only("gross_profit")).alias("_profit"),
     )

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import distinct, total
+from tillwise.functions.aggregates import total
 from tillwise.functions.scalars import discount_text, stars
 from tillwise.operators.predicates import eq_or_all, text_search
 from tillwise.operators.summaries import summarise
-from tillwise.plans.cells import average, by_month, cancel_rate, orders, size
+from tillwise.plans.cells import average, by_month, cancel_rate, customers_of, orders, size
 
 
 def category_stats(cells: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def category_stats(cells: DataFrame) -> DataFrame:
         "avg_discount": average("discount_pct"),
         "avg_rating": average("review_score"),
         "cancel_rate": cancel_rate(),
-        "unique_customers": distinct("customer_id"),
+        "unique_customers": customers_of(cells),
     }
     return summarise(cells, ["category"], measures).orderBy(F.desc("revenue"), "category")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.aggregates import distinct, money_sum, rate, total
+from tillwise.functions.aggregates import money_sum, rate, total
 from tillwise.operators.distributions import histogram
 from tillwise.operators.ranking import top_k
 from tillwise.operators.summaries import share, summarise
-from tillwise.plans.cells import average, by_month, orders
+from tillwise.plans.cells import average, by_month, customers_of, orders
 
 
 def orders_per_customer(facts: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def geo_table(cells: DataFrame) -> DataFrame:
     measures = {
         "revenue": total("payment_amount"),
         "orders": orders(),
-        "customers": distinct("customer_id"),
+        "customers": customers_of(cells),
         "avg_order_value": average("payment_amount"),
     }
     return summarise(cells, ["city"], measures).orderBy(F.desc("revenue"), "city")

@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import percent_text
-from tillwise.models.churn import CHURN_DAYS, RISK_LEVELS, at_risk, score_churn
+from tillwise.models.churn import CHURN_DAYS, HIGH, HOLDOUT, RISK_LEVELS, at_risk, held_out, score_churn
 from tillwise.operators.distributions import histogram
+from tillwise.operators.evaluation import confusion, ranking_quality, score_counts
+from tillwise.operators.predicates import is_cancelled
 from tillwise.operators.summaries import band_counts, summarise
+from tillwise.plans.rfm import rfm_base
+from tillwise.session import store
 
 
 def churn_scores(scored: DataFrame) -> DataFrame:
@@ -68,6 +72,34 @@ def high_risk_list(scored: DataFrame) -> DataFrame:
     )
 
 
+def with_later_label(facts: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
+    """Customers as they stood ``days`` before the newest order, with ``label``: 1.0 if they have not ordered since.
+
+    Features come from orders up to then only, so unlike a threshold on recency the label is not among them.
+    """
+    newest = store(facts.agg(F.max("order_date").alias("newest"))).first().newest
+    if newest is None:
+        return rfm_base(facts).withColumn("label", F.lit(None).cast("double"))
+    cut = F.lit(newest) - F.expr(f"INTERVAL {days} DAYS")
+    came = facts.where(~is_cancelled() & (F.col("order_date") > cut)).select("customer_id").distinct()
+    came = came.withColumn("_came", F.lit(True))
+    before = rfm_base(facts.where(F.col("order_date") <= cut))
+    return before.join(came, "customer_id", "left").withColumn("label", F.col("_came").isNull().cast("double")).drop("_came")
+
+
+def holdout_scores(model: PipelineModel, later: DataFrame, part: float = HOLDOUT) -> DataFrame:
+    """``(customer_id, score, label)`` of the customers that took no part in training."""
+    scored = score_churn(model, later.where(held_out(part)))
+    return scored.select("customer_id", F.col("churn_prob").alias("score"), "label")
+
+
+def holdout_summary(scores: DataFrame, threshold: float = HIGH) -> DataFrame:
+    """One row: how many were held out and left, ranking quality, and the confusion table at ``threshold``."""
+    counts = score_counts(scores, "score", "label")
+    ranked, told = ranking_quality(counts), confusion(counts, threshold)
+    return told.withColumns({c: ranked.select(c).scalar() for c in ranked.columns})
+
+
 def churn_labels(rfm: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
     """Customers per training label."""
     labelled = rfm.withColumn("at_risk", at_risk(days=days).cast("int"))

@@ -7,13 +7,16 @@ from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.models.churn import score_churn, train_churn
+from tillwise.models.churn import HOLDOUT, score_churn, train_churn
 from tillwise.models.segments import SEEDS, segment
 from tillwise.plans import rfm as rfm_plan
-from tillwise.plans.cells import order_cells, roll_up
+from tillwise.plans import risk
+from tillwise.plans.cells import order_cells, roll_up, sketch_up
 from tillwise.session import store
-from tillwise.sources.facts import load_facts
+from tillwise.sources.facts import load_facts, table
+from tillwise.sources.growing import GrowingTable
 from tillwise.sources.tables import materialise
 
 CUBE_NEEDS = (
@@ -22,6 +25,11 @@ CUBE_NEEDS = (
 )
 
 
+SKETCH_NEEDS = ("customer_id", "order_date", "category", "city", "order_status", "payment_amount")
+#: Column of the folders of stored facts.
+MONTH = "stored_month"
+
+
 class Workspace:
     """The shared intermediate tables of one data directory.  Each is stored on first use."""
 
@@ -30,31 +38,53 @@ class Workspace:
         self.directory = directory
         self.seeds = seeds
 
-    @cached_property
-    def stored_facts(self) -> DataFrame:
-        """The fact table, joined once and stored in the shared folder; every report scans its columns of it."""
-        return store(load_facts(self.spark, self.directory))
+        self.stored_facts: DataFrame | None = None
+
+    def store_facts(self, path: str, by_month: bool = True) -> None:
+        """Join all fact columns once and store them at ``path``, for many reports of this and other applications.
+
+        Without this, a report joins the tables that hold its columns.  Files lie in a folder per month of the order.
+        """
+        facts = load_facts(self.spark, self.directory)
+        parts = [MONTH] if by_month else []
+        stored = materialise(facts.withColumn(MONTH, F.date_format("order_date", "yyyy-MM")) if by_month else facts, path, parts)
+        self.use_facts(stored)
 
-    def store_facts(self, path: str, partition_by: Sequence[str] = ()) -> None:
-        """Store the fact table at ``path`` instead, and keep it there for other applications."""
-        self.__dict__["stored_facts"] = materialise(load_facts(self.spark, self.directory), path, partition_by)
+    def use_facts(self, stored: DataFrame) -> None:
+        """Read facts from a stored table from now on."""
+        self.stored_facts = stored.select(*[c for c in stored.columns if c != MONTH])
 
     def facts(self, *columns: str) -> DataFrame:
-        """The named fact columns, or all."""
+        """The named fact columns, or all: scanned where facts are stored, else joined from the tables that hold them."""
+        if self.stored_facts is None:
+            return load_facts(self.spark, self.directory, columns or None)
         return self.stored_facts.select(*columns) if columns else self.stored_facts
 
     def renew(self) -> None:
         """Drop what was derived from the facts, so that it is computed anew when next asked for."""
-        for name in ("cube", "rfm", "scores", "segments", "scored_segments", "churn_model", "churn"):
+        for name in ("cube", "sketches", "rfm", "scores", "segments", "scored_segments", "churn_model", "churn", "later", "holdout"):
             self.__dict__.pop(name, None)
 
     def cells(self, *columns: str) -> DataFrame:
+        """Order cells for a report that reads these fact columns: those of the cube if it has them all, else one per order."""
+        if columns and set(columns) <= set(CUBE_NEEDS):
+            return self.cube
         return order_cells(self.facts(*columns))
 
     @cached_property
     def cube(self) -> DataFrame:
         """The facts summed up by every report dimension: one scan for all additive reports."""
-        return store(roll_up(self.cells(*CUBE_NEEDS)))
+        return store(roll_up(order_cells(self.facts(*CUBE_NEEDS))))
+
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Summaries by month, category, city and status with mergeable sketches of customers and order values."""
+        return store(sketch_up(order_cells(self.facts(*SKETCH_NEEDS))))
+
+    @cached_property
+    def later(self) -> DataFrame:
+        """Customers as they stood before the last half year, with what became of them."""
+        return store(risk.with_later_label(self.facts(*rfm_plan.NEEDS)))
 
     @cached_property
     def rfm(self) -> DataFrame:
@@ -82,6 +112,14 @@ class Workspace:
             raise ValueError("model could not be trained (insufficient data)")
         return model
 
+    @cached_property
+    def holdout(self) -> DataFrame:
+        """Scores of held-out customers by a forest trained on the others, with what became of them."""
+        model = train_churn(self.later, holdout=HOLDOUT)
+        if model is None:
+            raise ValueError("model could not be trained (insufficient data)")
+        return store(risk.holdout_scores(model, self.later))
+
     @cached_property
     def churn(self) -> DataFrame:
         """Customers with their risk; nothing of it needs a segment."""
@@ -92,6 +130,50 @@ class Workspace:
         return self.churn.join(self.segments.select("customer_id", "segment"), "customer_id", "left")
 
 
+class GrowingWorkspace(Workspace):
+    """A workspace whose facts and cube lie in ``folder`` and grow with the line and order files of ``directory``.
+
+    ``refresh`` reads only the files that are new; their cells are added to the cube, as cells are additive.  Orders come
+    with their lines or before them: where new lines have no header among the new orders, all orders are looked through, and
+    where stored lines wait for an order that now comes, ``StaleFacts`` says so.
+    """
+
+    def __init__(self, spark: SparkSession, directory: str, folder: str, seeds: Sequence[int] = SEEDS):
+        super().__init__(spark, directory, seeds)
+        sources = {name: f"{directory}/{name}.parquet" for name in ("lineitem", "orders")}
+        self.stored = GrowingTable(spark, sources, folder, self._derive)
+
+    def refresh(self) -> list[str]:
+        """Take in new files; their paths."""
+        read = self.stored.refresh()
+        self.renew()
+        self.use_facts(self.stored.table("facts"))
+        self.__dict__["cube"] = self.stored.table("cube")
+        return read
+
+    def _derive(self, rows: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+        lines, orders = rows["lineitem"], rows["orders"]
+        if orders is not None and self.stored_facts is not None and self._headless(self.stored_facts, orders):
+            raise StaleFacts("orders came later than their lines; begin anew in another folder")
+        if lines is None:
+            lines = table(self.spark, self.directory, "lineitem").limit(0)
+        keys = None if orders is None else orders.select(F.col("o_orderkey").alias("l_orderkey"))
+        if keys is None or lines.join(keys, "l_orderkey", "left_anti").limit(1).count():
+            orders = None
+        facts = store(load_facts(self.spark, self.directory, lines=lines, orders=orders))
+        return {"facts": facts, "cube": roll_up(order_cells(facts.select(*CUBE_NEEDS)))}
+
+    @staticmethod
+    def _headless(facts: DataFrame, orders: DataFrame) -> bool:
+        """Whether a stored line without its order gets it now."""
+        waiting = facts.where("customer_id IS NULL AND order_date IS NULL").select("order_key")
+        return waiting.join(orders.select(F.col("o_orderkey").alias("order_key")), "order_key", "left_semi").limit(1).count() > 0
+
+
+class StaleFacts(ValueError):
+    """Stored facts cannot be brought up to date by adding to them."""
+
+
 _open: dict[tuple[str, str], Workspace] = {}
 
 

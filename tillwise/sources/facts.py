@@ -52,12 +52,21 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def load_facts(spark: SparkSession, directory: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """Order lines with economics and customer attributes; all fact columns unless some are named."""
+def load_facts(
+    spark: SparkSession,
+    directory: str,
+    columns: Iterable[str] | None = None,
+    lines: DataFrame | None = None,
+    orders: DataFrame | None = None,
+) -> DataFrame:
+    """Order lines with economics and customer attributes; all fact columns unless some are named.
+
+    ``lines`` and ``orders`` are rows of the line and order tables to take in their place.
+    """
     wanted = list(dict.fromkeys(columns or [*SEQUENCE, *FACT_TYPES]))
-    facts = _lines(spark, directory)
+    facts = _lines(table(spark, directory, "lineitem") if lines is None else lines)
     if _HEADER & set(wanted):
-        headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER])
+        headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER], orders)
         facts = facts.join(headers, "order_key", "left")
     if _PART & set(wanted):
         parts = table(spark, directory, "part").select(
@@ -78,14 +87,16 @@ def load_facts(spark: SparkSession, directory: str, columns: Iterable[str] | Non
     return facts.select(*wanted)
 
 
-def order_headers(spark: SparkSession, directory: str, attributes: Iterable[str] = ()) -> DataFrame:
+def order_headers(
+    spark: SparkSession, directory: str, attributes: Iterable[str] = (), orders: DataFrame | None = None
+) -> DataFrame:
     """One row per order with its customer, date and the wanted customer attributes.
 
     Attributes are joined here, before the lines: a customer holding much of the traffic is then joined on
     its orders, and the line join by ``order_key`` that follows spreads its rows again.
     """
     attributes = list(attributes)
-    orders = table(spark, directory, "orders").select(
+    orders = (table(spark, directory, "orders") if orders is None else orders).select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("order_date"),
@@ -128,8 +139,8 @@ def load_events(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "lineitem").select(
+def _lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
         F.col("l_partkey").alias("part_key"),
