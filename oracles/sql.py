@@ -319,6 +319,39 @@ def auto_histogram_sql(source: str, value: str, by: str = "") -> str:
     FROM {source}, steps WHERE {value} IS NOT NULL GROUP BY ALL"""
 
 
+SCALED = f"""{RFM}, moments AS (
+  SELECT avg(recency) AS m0, stddev_samp(recency) AS d0, avg(frequency) AS m1, stddev_samp(frequency) AS d1,
+    avg(monetary) AS m2, stddev_samp(monetary) AS d2 FROM rfm
+), points AS (
+  SELECT customer_id, (recency - m0) / d0 AS x0, (frequency - m1) / d1 AS x1, (monetary - m2) / d2 AS x2 FROM rfm, moments
+)"""
+
+
+def _lloyd(k: int, before: str) -> str:
+    """One round: customers to the nearest centre of ``before``, and the centres they move to."""
+    apart = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(3))
+    return f"""placed{k} AS (
+      SELECT cluster, p.x0, p.x1, p.x2, {apart} AS apart, row_number() OVER (PARTITION BY customer_id ORDER BY {apart}, cluster) AS place
+      FROM points p, {before} c
+    ), centers{k} AS (SELECT cluster, avg(x0) AS x0, avg(x1) AS x1, avg(x2) AS x2 FROM placed{k} WHERE place = 1 GROUP BY cluster)"""
+
+
+ROUNDS = f"""{SCALED}, starts AS (
+  SELECT CAST(row_number() OVER (ORDER BY md5('42:' || customer_id), customer_id) - 1 AS INTEGER) AS cluster, x0, x1, x2
+  FROM points ORDER BY md5('42:' || customer_id), customer_id LIMIT 4
+), {_lloyd(1, "starts")}, {_lloyd(2, "centers1")}, {_lloyd(3, "centers2")}
+SELECT cluster, round(x0, 6) AS recency, round(x1, 6) AS frequency, round(x2, 6) AS monetary,
+  (SELECT round(sum(apart), 3) FROM placed3 WHERE place = 1) AS cost FROM centers2"""
+
+GRID = f"""{RFM}, limits AS (SELECT min(recency)::DOUBLE AS lo0, max(recency)::DOUBLE AS hi0, min(frequency)::DOUBLE AS lo1,
+    max(frequency)::DOUBLE AS hi1, min(monetary)::DOUBLE AS lo2, max(monetary)::DOUBLE AS hi2,
+    min(avg_rating) AS lo3, max(avg_rating) AS hi3 FROM rfm), step AS (SELECT unnest(range(5)) / 4::DOUBLE AS s), grid AS (
+  SELECT DISTINCT lo0 + (hi0 - lo0) * a.s AS recency, lo1 + (hi1 - lo1) * b.s AS frequency, lo2 + (hi2 - lo2) * c.s AS monetary,
+    lo3 + (hi3 - lo3) * d.s AS avg_rating FROM limits, step a, step b, step c, step d
+), risky AS (SELECT *, recency / (recency + 120::DOUBLE) AS churn_prob FROM grid)
+SELECT *, CASE WHEN churn_prob > 0.6::DOUBLE THEN 'High Risk' WHEN churn_prob > 0.35::DOUBLE THEN 'Medium Risk'
+  ELSE 'Low Risk' END AS risk_level FROM risky"""
+
 _DAYS = 180
 LATER = f"""{FACTS}, cut AS (SELECT max(order_date) - INTERVAL {_DAYS} DAY AS cut_at FROM facts), seen AS (
   SELECT customer_id, CAST(date_sub('day', max(order_date) FILTER (WHERE kept),
@@ -384,6 +417,21 @@ ORACLES: dict[str, str] = {
     "g04_customer_sample": f"""{RFM} SELECT customer_id, recency, frequency FROM rfm
       ORDER BY md5('7:' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 500""",
     "h01_distinct_categories": f"{FACTS} SELECT DISTINCT category FROM facts",
+    "a02_shared_facts": grouped(
+        "CAST(date_trunc('month', order_date) AS DATE) AS month_start, city", f"{N} AS orders", f"{REVENUE} AS revenue", f"{PROFIT} AS profit"
+    ).replace("GROUP BY CAST(date_trunc('month', order_date) AS DATE) AS month_start, city", "GROUP BY ALL"),
+    "a03_published_cities": f"""{FACTS} SELECT city AS "City", {REVENUE} AS "Revenue (₹)",
+      CAST(count(DISTINCT customer_id) AS BIGINT) AS "Unique Customers" FROM facts WHERE city IS NOT NULL GROUP BY city""",
+    "b09_filled_customers": f"""{RFM} SELECT c_custkey AS customer_id, c_mktsegment AS device, coalesce(frequency, 0) AS frequency,
+      coalesce(monetary, 0) AS monetary, coalesce(avg_rating, 0) AS avg_rating
+      FROM customer LEFT JOIN rfm ON c_custkey = customer_id""",
+    "f05_named_clusters": f"""{BANDED} SELECT customer_id, CAST(CASE segment WHEN 'Budget Buyers' THEN 3 WHEN 'Regular Customers' THEN 1
+      WHEN 'Loyal Customers' THEN 4 ELSE 2 END AS INTEGER) AS cluster, segment FROM banded""",
+    "i01_scaled_features": f"""{SCALED} SELECT customer_id, round(x0, 6) AS recency, round(x1, 6) AS frequency, round(x2, 6) AS monetary FROM points""",
+    "i02_two_rounds": ROUNDS,
+    "i05_training_guard": f"""{RFM} SELECT {N} AS rows, CAST(count(DISTINCT recency > 180) AS BIGINT) AS classes,
+      count(*) >= 20 AND count(DISTINCT recency > 180) >= 2 AS trainable FROM rfm""",
+    "r50_formula_grid": GRID,
     "e03_sketched_customers": grouped("city", "CAST(count(DISTINCT customer_id) AS BIGINT) AS customers", "true AS close", where="city IS NOT NULL"),
     "e06_sketched_order_values": grouped(
         "category", "CAST(count(payment) AS BIGINT) AS orders", *[f"true AS close_{q}" for q in (25, 50, 75, 90)], where="category IS NOT NULL"
@@ -616,3 +664,5 @@ ORACLES: dict[str, str] = {
       cancel_rate, fav_category, pref_device, avg_discount, avg_rating FROM habits""",
     "r61_weekday_spend": grouped("customer_id, weekday, day_of_week", f"{REVENUE} AS spent"),
 }
+
+ORACLES["a02_refreshed_pnl"] = ORACLES["r37_pnl_by_category"]

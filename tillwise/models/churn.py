@@ -29,6 +29,7 @@ FEATURE_TITLES = {
 RISK_LEVELS = ("High Risk", "Medium Risk", "Low Risk")
 HIGH, MEDIUM = 0.6, 0.35
 CHURN_DAYS = 180
+MIN_ROWS = 20
 #: Share of the customers that an evaluation keeps out of training.
 HOLDOUT = 0.25
 
@@ -38,10 +39,21 @@ def at_risk(recency: str = "recency", days: int = CHURN_DAYS) -> Column:
     return (F.col(recency) > days).cast("double")
 
 
+def training_size(rfm: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
+    """One row: training rows and classes among them."""
+    label = F.col("label") if "label" in rfm.columns else at_risk(days=days)
+    return rfm.agg(F.count("*").alias("rows"), F.count_distinct(label).alias("classes"))
+
+
+def can_train(rows, classes, min_rows: int = MIN_ROWS):
+    """Whether so many rows of so many classes can train a model; numbers or columns."""
+    return (rows >= min_rows) & (classes >= 2)
+
+
 def train_churn(
     rfm: DataFrame,
     days: int = CHURN_DAYS,
-    min_rows: int = 20,
+    min_rows: int = MIN_ROWS,
     trees: int = 100,
     seed: int = 42,
     holdout: float = 0.0,
@@ -59,8 +71,8 @@ def train_churn(
     table = _features(rfm, known.alias("label"))
     if holdout:
         table = table.where(~held_out(holdout))
-    size = table.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("classes")).first()
-    if size.rows < min_rows or size.classes < 2:
+    size = training_size(table).first()
+    if not can_train(size.rows, size.classes, min_rows):
         return None
     table = in_fixed_order(table, partitions or partitions_for(size.rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -51,6 +51,19 @@ def segment(
     return name_segments(apply_segments(rfm, model), labels), model
 
 
+def scaling_of(rfm: DataFrame) -> SegmentModel:
+    """Means and deviations of the features, in one scan, as a model without centres; a feature that never varies keeps its unit."""
+    raw = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES]
+    moments = rfm.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(x).alias(f"{name}{i}") for i, x in enumerate(raw) for name, f in (("m", F.avg), ("d", F.stddev_samp))],
+    ).first()
+    if not moments.n:
+        raise ValueError("no customers to segment")
+    each = range(len(FEATURES))
+    return SegmentModel(tuple(moments[f"m{i}"] for i in each), tuple(moments[f"d{i}"] or 1.0 for i in each), (), 0.0)
+
+
 def fit_segments(
     rfm: DataFrame, k: int = 4, seeds: Sequence[int] = SEEDS, max_rounds: int = 300, tolerance: float = 1e-4
 ) -> SegmentModel:
@@ -61,16 +74,8 @@ def fit_segments(
     id, so the same customers give the same result however they are partitioned, but for the last bits of sums.  A
     cluster that loses all customers keeps its centre; fewer than ``k`` customers repeat as centres.
     """
-    raw = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES]
-    moments = rfm.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(x).alias(f"{name}{i}") for i, x in enumerate(raw) for name, f in (("m", F.avg), ("d", F.stddev_samp))],
-    ).first()
-    if not moments.n:
-        raise ValueError("no customers to segment")
-    means = tuple(moments[f"m{i}"] for i in range(len(FEATURES)))
-    deviations = tuple(moments[f"d{i}"] or 1.0 for i in range(len(FEATURES)))
-    points = rfm.select("customer_id", *SegmentModel(means, deviations, (), 0.0).scaled()).persist(StorageLevel.MEMORY_AND_DISK)
+    scaling = scaling_of(rfm)
+    points = rfm.select("customer_id", *scaling.scaled()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centers = _starts(points, k, seeds)
         costs = {}
@@ -87,7 +92,7 @@ def fit_segments(
     finally:
         points.unpersist()
     best = min(seeds, key=lambda seed: costs[seed])
-    return SegmentModel(means, deviations, tuple(map(tuple, centers[best].tolist())), costs[best])
+    return SegmentModel(scaling.means, scaling.deviations, tuple(map(tuple, centers[best].tolist())), costs[best])
 
 
 def _starts(points: DataFrame, k: int, seeds: Sequence[int]) -> dict[int, np.ndarray]:

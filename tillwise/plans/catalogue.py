@@ -6,17 +6,20 @@ A cells or facts report names the columns it reads, so only the tables that hold
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.functions.aggregates import total
 from tillwise.functions.scalars import band, money_text, percent_text, short_money_text
-from tillwise.models.churn import HIGH, HOLDOUT, MEDIUM, RISK_LEVELS, held_out, importances
-from tillwise.models.segments import SEGMENTS
+from tillwise.models.churn import HIGH, HOLDOUT, MEDIUM, RISK_LEVELS, can_train, held_out, importances, training_size
+from tillwise.models.segments import FEATURES as CLUSTERED
+from tillwise.models.segments import SEEDS, SEGMENTS, fit_segments, name_segments, scaling_of
 from tillwise.operators.distributions import auto_histogram, box_stats, histogram
 from tillwise.operators.evaluation import calibration, score_counts
 from tillwise.operators.joins import scalar_of, with_first_period
-from tillwise.operators.projections import in_units, round_numbers, with_calendar, with_lookup
+from tillwise.operators.projections import fill_zero, in_units, round_numbers, with_calendar, with_lookup
 from tillwise.operators.ranking import exact_quantiles, first_seen, global_rank, hash_sample, qcut, quantile_of_rank
 from tillwise.operators.summaries import summarise
 from tillwise.plans import (
@@ -32,10 +35,11 @@ from tillwise.plans import (
 )
 from tillwise.plans import rfm as rfm_plan
 from tillwise.plans.cells import customers_of, order_cells, order_value_quantile
-from tillwise.plans.workspace import workspace
+from tillwise.plans.workspace import GrowingWorkspace, Workspace, workspace
 from tillwise.schema import SEQUENCE
+from tillwise.session import shared_folder
 from tillwise.sources.facts import customer_attributes, load_events, order_headers
-from tillwise.sources.tables import extent
+from tillwise.sources.tables import extent, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,6 +198,67 @@ def _calibration(scores: DataFrame) -> DataFrame:
     return calibration(score_counts(scores, "score", "label"))
 
 
+def _what_if_grid(spark: SparkSession, directory: str) -> DataFrame:
+    space = workspace(spark, directory)
+    return risk.what_if(space.churn_model, risk.scenario_grid(space.rfm))
+
+
+def _shared_facts(spark: SparkSession, directory: str) -> DataFrame:
+    """Facts stored once and read back: orders and amount per month folder."""
+    space = Workspace(spark, directory)
+    space.store_facts(f"{shared_folder(spark)}/{uuid4()}")
+    measures = {"orders": F.count("*"), "revenue": total(PAY), "profit": total("gross_profit")}
+    return summarise(order_cells(space.facts(DATE, "city", PAY, "gross_profit")), ["month_start", "city"], measures)
+
+
+def _refreshed_pnl(spark: SparkSession, directory: str) -> DataFrame:
+    """Profit and loss from a cube that was made from the files of lines and orders, and refreshed with nothing new."""
+    space = GrowingWorkspace(spark, directory, f"{shared_folder(spark)}/{uuid4()}")
+    space.refresh()
+    space.refresh()
+    return profit.pnl_by_category(space.cells("category", DATE, STATUS, PAY, "cogs", "gross_profit"))
+
+
+def _published_cities(spark: SparkSession, directory: str) -> DataFrame:
+    """A report written under its titles and read back."""
+    path = f"{shared_folder(spark)}/{uuid4()}"
+    cities = retention.geo_table(workspace(spark, directory).cells("city", WHO, DATE, PAY))
+    publish(cities, path, {"city": "City", "revenue": "Revenue (₹)", "customers": "Unique Customers"})
+    return spark.read.parquet(path)
+
+
+def _filled_customers(spark: SparkSession, directory: str) -> DataFrame:
+    """All customers, with zeros for those without orders."""
+    known = customer_attributes(spark, directory, ["device"])
+    shown = workspace(spark, directory).rfm.select(WHO, "frequency", F.col("monetary").cast("double"), "avg_rating")
+    return fill_zero(known.join(shown, WHO, "left"), ["frequency", "monetary", "avg_rating"])
+
+
+def _named_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    """Clusters numbered out of order get their names by mean spend."""
+    banded = qcut(workspace(spark, directory).rfm, "monetary", 4, name="quartile")
+    mixed = banded.withColumn("cluster", (F.col("quartile") * 3 % 5).cast("int"))
+    return name_segments(mixed).select(WHO, "cluster", "segment")
+
+
+def _scaled_features(rfm: DataFrame) -> DataFrame:
+    """Features by which customers are clustered, in deviations from the mean."""
+    model = scaling_of(rfm)
+    return rfm.select(WHO, *[F.round(x, 6).alias(c) for c, x in zip(CLUSTERED, model.scaled())])
+
+
+def _two_rounds(rfm: DataFrame) -> DataFrame:
+    """Centres after two rounds of one restart, and the cost they are reached at: the clustering step by step."""
+    model = fit_segments(rfm, seeds=(SEEDS[0],), max_rounds=2)
+    rows = [(j, *[round(x, 6) for x in c]) for j, c in enumerate(model.centers)]
+    made = rfm.sparkSession.createDataFrame(rows, "cluster int, recency double, frequency double, monetary double")
+    return made.withColumn("cost", F.lit(round(model.cost, 3)))
+
+
+def _training_guard(rfm: DataFrame) -> DataFrame:
+    return training_size(rfm).withColumn("trainable", can_train(F.col("rows"), F.col("classes")))
+
+
 # --- reports with more than one input -----------------------------------------------------------------
 
 
@@ -254,7 +319,11 @@ def _by_quartile(spark: SparkSession, directory: str) -> DataFrame:
 
 def _by_formula(spark: SparkSession, directory: str) -> DataFrame:
     """Customers of ``_by_quartile`` with a risk that rises with the days since their last order."""
-    risky = _by_quartile(spark, directory).withColumn("churn_prob", F.col("recency") / (F.col("recency") + 120.0))
+    return with_formula_risk(_by_quartile(spark, directory))
+
+
+def with_formula_risk(df: DataFrame) -> DataFrame:
+    risky = df.withColumn("churn_prob", F.col("recency") / (F.col("recency") + 120.0))
     return risky.withColumn("risk_level", band("churn_prob", [HIGH, MEDIUM], RISK_LEVELS))
 
 
@@ -326,6 +395,16 @@ QUERIES: dict[str, Query] = {
     "k02_streamed_new_vs_returning": streams.streamed_retention,
     "h01_distinct_categories": _facts(_distinct_categories, "category"),
     "j02_spend_histogram": _rfm(_spend_histogram),
+    "a02_shared_facts": _shared_facts,
+    "a02_refreshed_pnl": _refreshed_pnl,
+    "a03_published_cities": _published_cities,
+    "b09_filled_customers": _filled_customers,
+    "f05_named_clusters": _named_clusters,
+    "i01_scaled_features": _rfm(_scaled_features),
+    "i02_two_rounds": _rfm(_two_rounds),
+    "i05_training_guard": _rfm(_training_guard),
+    "r50_what_if_grid": _what_if_grid,
+    "r50_formula_grid": _rfm(lambda rfm: with_formula_risk(risk.scenario_grid(rfm))),
     "e03_sketched_customers": _sketched_customers,
     "e06_sketched_order_values": _sketched_order_values,
     "h01_categories_first_seen": _facts(_category_order, *SEQUENCE, "category"),

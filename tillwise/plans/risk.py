@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.scalars import percent_text
-from tillwise.models.churn import CHURN_DAYS, HIGH, HOLDOUT, RISK_LEVELS, at_risk, held_out, score_churn
+from tillwise.models.churn import CHURN_DAYS, FEATURES, HIGH, HOLDOUT, RISK_LEVELS, at_risk, held_out, score_churn
 from tillwise.operators.distributions import histogram
 from tillwise.operators.evaluation import confusion, ranking_quality, score_counts
 from tillwise.operators.predicates import is_cancelled
@@ -54,6 +54,21 @@ def idle_scenarios(rfm: DataFrame, days: int = 90) -> DataFrame:
     )
 
 
+def scenario_grid(rfm: DataFrame, steps: int = 4) -> DataFrame:
+    """Supposed customers: every combination of some values of the inputs, spread evenly over what customers show.
+
+    The inputs of one row each are what a form would ask for; the grid has ``steps + 1`` values of each, whatever the
+    number of customers.
+    """
+    limits = rfm.agg(*[f(c).cast("double").alias(f"{name}_{c}") for c in FEATURES for name, f in (("lo", F.min), ("hi", F.max))])
+    grid = limits
+    for c in FEATURES:
+        low, high = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        values = F.array(*[low + (high - low) * F.lit(k / steps) for k in range(steps + 1)])
+        grid = grid.withColumn(c, F.explode(F.array_distinct(values)))
+    return grid.select(*FEATURES)
+
+
 def high_risk_list(scored: DataFrame) -> DataFrame:
     """Customers at high risk, the most likely to leave first."""
     return (
