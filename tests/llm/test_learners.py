@@ -163,15 +163,79 @@ def test_likelihood_prefers_what_the_corpus_is_like(spark):
     assert all(r.n_tokens == 80 and r.log_likelihood == pytest.approx(80 * r.mean_log_likelihood) for r in got)
 
 
+def plain_spelling(model, word):
+    """Log-probability of a spelling, byte by byte."""
+    before, total = (0, 0), 0.0
+    for symbol in [*word.encode(), pseudolm.SYMBOLS - 1]:
+        context = (before[0] * 263 + before[1] * 31) % pseudolm.CONTEXTS
+        total += model.spelling.logs[context, symbol]
+        before = (before[1], symbol + 1)
+    return total
+
+
+def plain_score(model, text):
+    net = pseudolm.WindowNet(model.shape, model.flat)
+    number = {w: k + 2 for k, w in enumerate(model.words)}
+    words = (text or "").split()
+    ids = np.array([number.get(w, pseudolm.UNKNOWN) for w in words], np.int32)
+    total = sum(plain_spelling(model, w) for w in words if w not in number)
+    side = model.shape.side
+    for k in range(len(ids)):
+        around = [ids[j] if 0 <= j < len(ids) else pseudolm.OUTSIDE for j in range(k - side, k + side + 1) if j != k]
+        total += float(net.log_chances(np.array([around]), ids[k : k + 1], net.lookups())[0])
+    return total
+
+
 def test_scores_are_sums_over_all_words(spark):
-    docs = spark.createDataFrame([(1, "x y z " * 5000), (2, "x"), (3, None)], "doc_id long, text string")
-    model = pseudolm.fit(docs, shape=pseudolm.Shape(2, 4, 1, 3, 4), rounds=1)
+    texts = ["x y z " * 300, "x", None, "rare words hère that x y nobody knows", "x rare", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pseudolm.fit(docs, shape=pseudolm.Shape(2, 3, 1, 3, 4), rounds=1)
     got = {r.id: r for r in pseudolm.score(docs, model).collect()}
-    net, words = pseudolm.WindowNet(model.shape, model.flat), pa.array(model.words)
-    ids = pseudolm.encoded(pa.array(["x y z " * 5000]), words)[0]
-    plain = net.log_chances(pseudolm.neighbours(ids, np.arange(len(ids)), 1), ids, net.lookups()).sum()
-    assert got[1].log_likelihood == pytest.approx(plain, rel=1e-6) and got[1].n_tokens == 15000
-    assert got[3].n_tokens == 0 and got[3].log_likelihood == 0 and got[3].mean_log_likelihood is None
+    for k, text in enumerate(texts):
+        assert got[k].log_likelihood == pytest.approx(plain_score(model, text), rel=1e-5, abs=1e-5)
+        assert got[k].n_tokens == len((text or "").split())
+        assert got[k].n_unknown == sum(w not in model.words for w in (text or "").split())
+    assert got[2].mean_log_likelihood is None and got[3].n_unknown >= 5
+
+
+def test_query_against_plain_scores(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = pseudolm.fit(docs)
+    got = {r.doc_id: r for r in QUERIES["op2_lm_scores"](spark, data).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in [r for r in rows if len(r.text.split()) < 400][:12]:
+        assert got[r.doc_id].log_likelihood == pytest.approx(plain_score(model, r.text), rel=1e-4)
+    assert all(r.log_likelihood < 0 for r in got.values() if r.n_tokens)
+
+
+def test_spellings_are_a_distribution(spark):
+    words = spark.createDataFrame([("ab", 3), ("abc", 2), ("é", 1), ("b", 4)], "word string, n long")
+    spelling = pseudolm.Spelling.counted(words.repartition(3))
+    assert np.exp(spelling.logs).sum(axis=1) == pytest.approx(np.ones(pseudolm.CONTEXTS))
+    likely, strange = spelling.log_chances(pa.array(["ab", "zq"]))
+    assert likely > strange + 3
+    assert spelling.log_chances(pa.array([], pa.string())).tolist() == []
+
+
+def test_result_does_not_depend_on_the_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    one, other = (pseudolm.fit(d, shape=pseudolm.Shape(16, 16, 2, 8, 8)) for d in (docs.coalesce(1), docs.repartition(7, "n_chars")))
+    assert one.words == other.words and np.allclose(one.flat, other.flat, atol=1e-5)
+    assert np.allclose(one.spelling.logs, other.spelling.logs)
+
+
+def test_rounds_mask_different_positions(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(1000 * k))) for k in range(4)] * 2, "doc_id long, text string")
+    words = [f"w{j}" for j in range(3000)]
+    made = pseudolm.examples(docs.dropDuplicates(), words, 3, "doc_id", "text", 2, 4, 0.25).collect()
+    seen = sorted((r.place, i) for r in made for i in np.frombuffer(r.target, np.int32))
+    assert len(seen) == len(set(seen)) == 6000 and {r.part for r in made} <= {0, 1, 2}
+
+
+def test_vocabulary_grows_with_the_corpus():
+    sizes = [pseudolm.Shape.for_corpus(n).size for n in (0, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes) and sizes[0] == 4096 and sizes[2] == 10**4 and sizes[3] == 317**2
 
 
 def test_counts_and_averages(spark, odd, none):

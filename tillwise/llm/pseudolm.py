@@ -1,14 +1,16 @@
 """Documents scored by masked pseudo-likelihood.
 
 A small network predicts a word from the words on both sides of it.  A document's score is the sum, over all its words, of
-the log-probability of the word given its neighbours.  The vocabulary comes from counts over all documents; the
-network is trained on masked positions of all documents, part by part, and the parts' weights are averaged.
+the log-probability of the word given its neighbours.  The vocabulary comes from counts over all documents and grows with
+them; a word outside it has the probability that such a word stands there, times that of its spelling, by byte counts over all such words.  The
+network is trained on masked positions of all documents, dealt to parts by hash, and the parts' weights are averaged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,10 @@ from tillwise.llm.frames import store
 
 #: Ids of words outside the vocabulary and of places before and after a text.
 UNKNOWN, OUTSIDE = 0, 1
-#: Words scored at once; models averaged in one task.
-SCORED, AVERAGED = 8_192, 16
+#: Words scored at once; models averaged in one task; training positions of a part, and words of a text that are masked together.
+SCORED, AVERAGED, POSITIONS, MASKED_TOGETHER = 8_192, 16, 400_000, 65_536
+#: Contexts of the spelling model, its symbols (bytes and the end of a word), and how many counts the bytes' own frequency stands for.
+CONTEXTS, SYMBOLS, SMOOTH = 1_024, 257, 2.0
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,12 @@ class Shape:
     dim: int = 16
     hidden: int = 32
 
+    @staticmethod
+    def for_corpus(total: int) -> Shape:
+        """The vocabulary grows with the square root of the number of words, in as many classes as words in each."""
+        classes = max(64, ceil(total**0.25))
+        return Shape(classes, classes)
+
     @property
     def size(self) -> int:
         return self.classes * self.each
@@ -185,11 +195,68 @@ def neighbours(words: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
     return padded[at[:, None] + offsets]
 
 
+class Spelling:
+    """Probability of a word outside the vocabulary among all such words: byte by byte, each given the two before it."""
+
+    def __init__(self, counts: np.ndarray):
+        """``counts`` of symbols per context."""
+        whole = counts.sum(axis=0) + 1.0
+        chance = (counts + SMOOTH * whole / whole.sum()) / (counts.sum(axis=1, keepdims=True) + SMOOTH)
+        self.logs = np.log(chance)
+
+    @staticmethod
+    def symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts and symbols of all words, their ends included, and the place where each word begins."""
+        words = words.cast(pa.string())
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+        starts = offsets[:-1] - offsets[0] + np.arange(len(words))
+        symbols = np.full(len(data) + len(words), SYMBOLS - 1, np.int64)
+        ends = np.append(starts[1:], len(symbols)) - 1
+        inside = np.ones(len(symbols), bool)
+        inside[ends] = False
+        symbols[inside] = data
+        one = np.concatenate([[0], symbols[:-1] + 1])
+        two = np.concatenate([[0, 0], symbols[:-2] + 1])[: len(symbols)]
+        one[starts] = 0  # before a word stands nothing
+        two[starts] = 0
+        second = starts + 1
+        two[second[second < len(symbols)]] = 0
+        return (two * 263 + one * 31) % CONTEXTS, symbols, starts
+
+    def log_chances(self, words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.empty(0)
+        contexts, symbols, starts = self.symbols(words)
+        return np.add.reduceat(self.logs[contexts, symbols], starts)
+
+    @staticmethod
+    def counted(words: DataFrame) -> Spelling:
+        """From ``words(word, n)``; summed per task, then by Spark: at most ``CONTEXTS * SYMBOLS`` rows reach the driver."""
+        schema = pa.schema([("place", pa.int32()), ("n", pa.float64())])
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(CONTEXTS * SYMBOLS)
+            for batch in batches:
+                if batch.num_rows:
+                    contexts, symbols, starts = Spelling.symbols(batch.column(0))
+                    n = np.repeat(batch.column(1).to_numpy(), np.diff(np.append(starts, len(symbols))))
+                    table += np.bincount(contexts * SYMBOLS + symbols, weights=n, minlength=len(table))
+            some = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(table[some])], schema=schema)
+
+        rows = words.select("word", "n").mapInArrow(run, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(CONTEXTS * SYMBOLS)
+        counts[rows["place"].to_numpy()] = rows["n"].to_numpy()
+        return Spelling(counts.reshape(CONTEXTS, SYMBOLS))
+
+
 @dataclass
 class PseudoLm:
     shape: Shape
     words: list[str]
     flat: np.ndarray
+    spelling: Spelling
 
 
 def _averaged(parts: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -213,79 +280,106 @@ def _averaged(parts: DataFrame) -> tuple[np.ndarray, float] | None:
     return mean(rows)[::-1] if rows else None
 
 
+def examples(
+    docs: DataFrame, words: list[str], parts: int, id_column: str, text: str, side: int, rounds: int, masked: float
+) -> DataFrame:
+    """``(round, part, place, around, target)``: masked positions of every document, as arrays of ids in bytes.
+
+    Each round masks a share ``masked`` of the positions, no position twice, by draws that depend on the id and text alone.
+    Stretches of ``MASKED_TOGETHER`` words are dealt to parts by hash, so a part is bounded and the same however the table is cut.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    fields = [("round", pa.int32()), ("part", pa.int64()), ("place", pa.int64()), ("around", pa.binary()), ("target", pa.binary())]
+    schema = pa.schema(fields)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(sent.value, pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some, columns = batch.slice(start, 256), [[] for _ in fields]
+                for seed, ids in zip(some.column(0).to_pylist(), encoded(some.column(1), vocabulary)):
+                    for stretch in range(0, len(ids), MASKED_TOGETHER):
+                        place = int(np.int64((seed + stretch * 0x9E3779B1) % (1 << 63)))
+                        rng = np.random.default_rng(place)
+                        draw = rng.random(min(MASKED_TOGETHER, len(ids) - stretch))
+                        part = int(rng.integers(parts))
+                        for k in range(rounds):
+                            at = stretch + np.flatnonzero((draw >= k * masked) & (draw < (k + 1) * masked))
+                            if len(at):
+                                row = (k, part, place, neighbours(ids, at, side).tobytes(), ids[at].tobytes())
+                                for column, value in zip(columns, row):
+                                    column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, (_, f) in zip(columns, fields)], schema=schema)
+
+    body = F.col(text).cast("string")
+    seed = F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.substring(body, 1, 64))
+    return docs.select(F.pmod(seed, F.lit((1 << 62) - 1)), body).mapInArrow(
+        run, "round int, part long, place long, around binary, target binary"
+    )
+
+
 def fit(
     docs: DataFrame,
     id_column: str = "doc_id",
     text: str = "text",
-    shape: Shape = Shape(),
+    shape: Shape | None = None,
     rounds: int = 2,
     masked: float = 0.06,
     batch: int = 4_096,
     rate: float = 0.02,
 ) -> PseudoLm:
-    """Vocabulary and network of a corpus.
+    """Vocabulary, spelling and network of a corpus.
 
-    The ``shape.size - 2`` most frequent words of all documents get ids in the order of their counts.  In each round every part
-    of the table trains from the common weights, on a random share ``masked`` of the positions of each of its documents, and the
-    parts' weights are averaged by their numbers of positions; so all documents take part at every size.
+    The ``shape.size - 2`` most frequent words of all documents get ids in the order of their counts; unless a shape is given, the
+    vocabulary grows with the corpus.  In each round every part of the positions trains from the common weights, and the parts'
+    weights are averaged by their numbers of positions; so all documents take part at every size, and the result does not depend on how
+    the table is partitioned.  ``rounds * masked`` of all positions are trained on, each once.
     """
     counts = store(word_counts(docs, text))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(shape.size - 2).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
+    shape = shape or Shape.for_corpus(total)
+    top = counts.orderBy(F.col("n").desc(), "word").limit(shape.size - 2).collect()
     words = [r.word for r in top]
     seen = np.zeros(shape.size)
     seen[2 : len(top) + 2] = [r.n for r in top]
     seen[UNKNOWN] = total - seen.sum()
+    rest = counts
+    if top:
+        last = top[-1]
+        rest = counts.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > last.word)))
+    spelling = Spelling.counted(rest)
     flat = WindowNet.fresh(shape, seen).flat
-    spark = docs.sparkSession
-    chosen = docs.select(F.coalesce(F.xxhash64(id_column), F.lit(0)), F.col(text).cast("string"))
+    parts = max(1, ceil(total * masked / POSITIONS))
+    held = store(examples(docs, words, parts, id_column, text, shape.side, rounds, masked))
     schema = pa.schema([("part", pa.int64()), ("weight", pa.float64()), ("model", pa.binary())])
-    for k in range(rounds):
-        sent = spark.sparkContext.broadcast((words, flat))
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            vocabulary, start = pa.array(sent.value[0], pa.string()), sent.value[1]
-            net = WindowNet(shape, start.copy())
-            adam, done, held, waiting = Adam(net.flat, rate / (k + 1)), 0, [], 0
-
-            def learn() -> None:
-                nonlocal held, waiting, done
-                around, words = (np.concatenate(x) for x in zip(*held))
-                order = np.random.default_rng(done).permutation(len(words))
-                for at in range(0, len(order), batch):
-                    pick = order[at : at + batch]
-                    adam.step(net.gradient(around[pick], words[pick])[1])
-                done, held, waiting = done + len(words), [], 0
-
-            for rows in batches:
-                for start in range(0, rows.num_rows, 256):
-                    some = rows.slice(start, 256)
-                    for seed, text_ids in zip(some.column(0).to_pylist(), encoded(some.column(1), vocabulary)):
-                        rng = np.random.default_rng([seed % (1 << 63), k])
-                        at = np.flatnonzero(rng.random(len(text_ids)) < masked)
-                        held.append((neighbours(text_ids, at, shape.side), text_ids[at]))
-                        waiting += len(at)
-                        if waiting >= 16 * batch:
-                            learn()
-            if waiting:
-                learn()
-            if done:
-                part = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_pydict(
-                    {"part": [part], "weight": [float(done)], "model": [net.flat.tobytes()]}, schema=schema
-                )
 
-        found = _averaged(chosen.mapInArrow(run, "part long, weight double, model binary"))
+    def learner(sent, k: int):
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("place", "ascending"), ("target", "ascending"), ("around", "ascending")])
+            read = lambda name: np.frombuffer(b"".join(group[name].to_pylist()), np.int32)
+            target, around = read("target"), read("around").reshape(-1, 2 * shape.side)
+            net = WindowNet(shape, sent.value.copy())
+            adam, order = Adam(net.flat, rate / (k + 1)), np.random.default_rng(k).permutation(len(target))
+            for at in range(0, len(order), batch):
+                pick = order[at : at + batch]
+                adam.step(net.gradient(around[pick], target[pick])[1])
+            columns = {"part": [group["part"][0].as_py()], "weight": [float(len(target))], "model": [net.flat.tobytes()]}
+            return pa.Table.from_pydict(columns, schema=schema)
+
+        return run
+
+    for k in range(rounds):
+        learn = learner(docs.sparkSession.sparkContext.broadcast(flat), k)
+        mine = held.where(F.col("round") == k).drop("round")
+        found = _averaged(mine.groupBy("part").applyInArrow(learn, "part long, weight double, model binary"))
         flat = found[0] if found else flat
-    return PseudoLm(shape, words, flat)
+    return PseudoLm(shape, words, flat, spelling)
 
 
 def score(docs: DataFrame, model: PseudoLm, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_tokens, n_unknown, log_likelihood, mean_log_likelihood)`` per row, over all words of its text.
 
-    Null texts and texts without words have no tokens, a sum of 0 and a null mean.  Repeated rows come out repeatedly.
+    ``n_unknown`` of the words are outside the vocabulary; their spelling is part of the sum.  Null texts and texts without words have no tokens, a sum of 0 and a null mean.  Repeated rows come out repeatedly.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())]
@@ -316,9 +410,15 @@ def score(docs: DataFrame, model: PseudoLm, id_column: str = "doc_id", text: str
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = encoded(part.column(1), vocabulary)
-                sums = scored(rows)
-                sizes = [len(r) for r in rows]
+                words, sizes = split_words(part.column(1))
+                found = pc.index_in(words, vocabulary).fill_null(UNKNOWN - 2).to_numpy().astype(np.int32) + 2
+                rows = np.split(found, np.cumsum(sizes)[:-1])
+                strange = np.flatnonzero(found == UNKNOWN)
+                coded = words.take(pa.array(strange)).dictionary_encode()
+                spelt = sent.value.spelling.log_chances(coded.dictionary)[coded.indices.to_numpy()]
+                owner = np.repeat(np.arange(len(sizes)), sizes)[strange]
+                sums = scored(rows) + np.bincount(owner, weights=spelt, minlength=len(rows))
+                sizes = sizes.tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
