@@ -23,7 +23,7 @@ from tillwise.llm.frames import store
 #: Ids of words outside the vocabulary and of places before and after a text.
 UNKNOWN, OUTSIDE = 0, 1
 #: Words scored at once; models averaged in one task; training positions of a part, and words of a text that are masked together.
-SCORED, AVERAGED, POSITIONS, MASKED_TOGETHER = 8_192, 16, 400_000, 65_536
+SCORED, AVERAGED, POSITIONS, MASKED_TOGETHER = 16_384, 16, 400_000, 65_536
 #: Contexts of the spelling model, its symbols (bytes and the end of a word), and how many counts the bytes' own frequency stands for.
 CONTEXTS, SYMBOLS, SMOOTH = 1_024, 257, 2.0
 
