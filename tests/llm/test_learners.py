@@ -105,6 +105,41 @@ def test_quality_query(spark, data):
     assert sum(r.keep == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_fit_is_co_training_of_the_parts(spark, data, monkeypatch):
+    """With all other documents as one part of the pool the model is that of plain co-training; parts change little."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("doc_id % 2 = 0 or lang <> 'en'")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    marks = {r.doc_id: r.quality for r in labels.where("doc_id % 3 > 0").collect()}
+    label = np.array([marks.get(r.doc_id, -1) for r in rows])
+    content = np.stack([cotrain.content_view(r.text) for r in rows])
+    metadata = np.stack([cotrain.metadata_view(r.source, r.lang) for r in rows])
+    want = cotrain.co_train(content, metadata, label, rounds=2)
+    got = cotrain.fit(docs.repartition(5), labels.where("doc_id % 3 > 0"), pool_share=1.0, rounds=2)
+    assert (label < 0).sum() > 20
+    for a, b in ((want.content, got.content), (want.metadata, got.metadata)):
+        assert np.allclose(a.weights, b.weights, atol=1e-6) and a.slope == pytest.approx(b.slope)
+    assert want.threshold == pytest.approx(got.threshold)
+    monkeypatch.setattr(cotrain, "PART_ROWS", 10)
+    several = cotrain.fit(docs, labels.where("doc_id % 3 > 0"), pool_share=1.0, rounds=2)
+    near = np.abs(several.score(content, metadata)[2] - want.score(content, metadata)[2])
+    assert np.median(near) < 0.05
+
+
+def test_rows_that_learn_calibrate_and_decide_are_apart():
+    rows = cotrain.Labelled((np.zeros((23, 1)),) * 2, np.arange(23) % 2)
+    sets = [set(rows.rows(p).tolist()) for p in (0, 1, 2)]
+    assert set.union(*sets) == set(range(23)) and sum(map(len, sets)) == 23 and len(sets[0]) > 12
+
+
+def test_content_view_counts_whole_texts():
+    once, long = cotrain.content_view("good words of a text"), cotrain.content_view("good words of a text " * 30_000)
+    bags = cotrain.WORDS + cotrain.PAIRS + cotrain.SHAPES
+    assert np.abs(once[:bags] - long[:bags]).max() < 0.5 and once[: cotrain.WORDS].sum() == pytest.approx(long[: cotrain.WORDS].sum())
+    assert not np.allclose(cotrain.content_view("junk ||| junk"), once)
+    assert cotrain.content_view(None).shape == cotrain.content_view("").shape == once.shape
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame(
         [(0, 1, 0), (0, 0, 0), (1, 1, 0), (None, 1, 0), (5, None, 0), (7, 0, 1)], "doc_id long, quality int, toxic int"
@@ -112,7 +147,7 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert cotrain.fit(odd, labels) is None
     got = cotrain.score(odd, None).collect()
     assert len(got) == odd.count() and all(r.keep and r.score == 0.5 for r in got)
-    views = [(cotrain.content_view(r.text), cotrain.metadata_view(r.source, r.lang, r.n_chars)) for r in odd.collect()]
+    views = [(cotrain.content_view(r.text), cotrain.metadata_view(r.source, r.lang)) for r in odd.collect()]
     label = np.array([0, 1, 0, 1, 0, 1, 1, 1, 0, 1, 0, 1])
     model = cotrain.co_train(*(np.stack(v) for v in zip(*views)), label)
     assert cotrain.score(odd, model).count() == odd.count()
