@@ -35,7 +35,7 @@ def _shape(word: str) -> str:
 class Bags:
     """Buckets of words and shapes, kept per process, as most words come again."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 50_000):
         self.most, self.known = most, {}
 
     def of(self, word: str) -> tuple[int, int]:
