@@ -100,6 +100,18 @@ def same(got, want):
         assert [s for _, s in found] == pytest.approx([s for _, s in want[q]], abs=2e-9)
 
 
+def shard_of(batch):
+    row = {
+        f.name: batch.column(c)[0].values if f.name == "terms" else batch.column(c)[0].values.to_numpy()
+        for c, f in enumerate(wand.INDEX)
+    }
+    return wand.Shard(row, float(row["lengths"].mean())), row
+
+
+def made_shard(texts):
+    return shard_of(wand.build_shard(np.arange(len(texts)), pa.array(texts)))
+
+
 def test_search_query_against_brute_force(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     same(QUERIES["op4_exact_top_k"](spark, data).collect(), plain_search(docs, [i for i, _ in docs if i % 20 == 0], 10))
@@ -112,29 +124,60 @@ def test_search_over_many_shards_and_query_blocks(spark, data, monkeypatch):
     same(wand.search(frame, F.col("id") % 20 == 0, k=3).collect(), plain_search(docs, [i for i, _ in docs if i % 20 == 0], 3))
 
 
-def test_pruning_changes_nothing():
+@pytest.mark.parametrize("block, stride", [(1, 1), (8, 2), (16, 4), (64, 32)])
+def test_walk_in_document_order_is_exact(monkeypatch, block, stride):
+    monkeypatch.setattr(wand, "BLOCK", block)
+    monkeypatch.setattr(wand, "STRIDE", stride)
     rng = np.random.default_rng(5)
     texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.4, 30) if x < 500) for _ in range(900)] + ["t1 t2 t3"] * 40
-    batch = wand.build_shard(np.arange(len(texts)), pa.array(texts))
-    row = {
-        f.name: batch.column(c)[0].values if f.name == "terms" else batch.column(c)[0].values.to_numpy()
-        for c, f in enumerate(wand.INDEX)
-    }
-    shard = wand.Shard(row, float(row["lengths"].mean()))
+    shard, row = made_shard(texts)
     dense = np.zeros((len(row["starts"]) - 1, len(texts)))
     for t in range(len(dense)):
         span = slice(row["starts"][t], row["starts"][t + 1])
         dense[t, row["docs"][span]] = shard.scores[span]
-    for _ in range(60):
+    for turn in range(60):
         terms = rng.choice(len(dense), rng.integers(1, 12), replace=False)
         weights = rng.uniform(0.1, 3, len(terms))
         (sums,) = shard.dense_sums([(terms, weights)])
-        scores, ids = shard.best(terms, weights, sums, 10, 0.0, -1)
+        skip = int(row["doc_ids"][turn]) if turn % 2 else -1
         plain = (weights @ dense[terms]).round(9)
-        want = sorted((-s, i) for s, i in zip(plain, row["doc_ids"].tolist()) if s > 0)[:10]
-        got = sorted(zip((-scores).tolist(), ids.tolist()))[:10]
-        assert [i for _, i in got] == [i for _, i in want]
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-9)
+        want = sorted((-s, i) for s, i in zip(plain, row["doc_ids"].tolist()) if s > 0 and i != skip)[:10]
+        floors = [0.0, -want[-1][0] - wand.SLACK] if len(want) == 10 else [0.0]
+        for floor in floors:
+            scores, ids = shard.best(terms, weights, sums, 10, floor, skip)
+            got = sorted(zip((-scores).tolist(), ids.tolist()))[:10]
+            assert [i for _, i in got] == [i for _, i in want]
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-9)
+
+
+def test_blocks_below_the_floor_are_not_read(monkeypatch):
+    monkeypatch.setattr(wand, "BLOCK", 8)
+    monkeypatch.setattr(wand, "STRIDE", 4)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 400, 20)) for _ in range(2000)]
+    texts[3::200] = ["w1 w2 w3 w4"] * 10
+    shard, row = made_shard(texts)
+    vocabulary = row["terms"].to_pylist()
+    terms = np.array([vocabulary.index(w) for w in ("w1", "w2", "w3", "w4")])
+    (sums,) = shard.dense_sums([(terms, np.ones(4))])
+    _, ids = shard.best(terms, np.ones(4), sums, 10, 0.0, -1)
+    assert sorted(ids.tolist()) == list(range(3, 2000, 200))
+    asked = int((row["starts"][terms + 1] - row["starts"][terms]).sum())
+    with_zero_floor = shard.postings_read
+    assert 0 < with_zero_floor < asked
+    floor = 0.5 * float(shard.scores.max())
+    shard.best(terms, np.ones(4), sums, 10, 4 * floor, -1)
+    assert shard.postings_read - with_zero_floor <= with_zero_floor
+
+
+def test_repeated_rows_of_the_query_do_not_raise_the_floor():
+    texts = ["a b c"] * 5 + ["a x y z"] * 3 + ["q r"] * 4
+    batch = wand.build_shard(np.array([7] * 5 + [1, 2, 3] + [4, 5, 6, 8]), pa.array(texts))
+    shard, row = shard_of(batch)
+    terms = np.array([row["terms"].to_pylist().index("a")])
+    (sums,) = shard.dense_sums([(terms, np.ones(1))])
+    _, ids = shard.best(terms, np.ones(1), sums, 3, 0.0, 7)
+    assert sorted(ids.tolist()) == [1, 2, 3]
 
 
 def test_odd_rows(odd, none):
