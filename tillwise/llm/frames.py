@@ -70,7 +70,7 @@ def per_batch(function, schema: pa.Schema, rows: int = 2_000):
     return run
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rounds: int | None = None) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``: the smallest node that can be reached.
 
     Alternates two rewirings until nothing changes: every node sends its larger neighbours to its smallest
@@ -78,6 +78,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregation that combines before its shuffle and a join that adaptive execution can split at a hot node;
     rounds grow with the logarithm of the longest path.  Each round is stored in the checkpoint folder.
 
+    After ``rounds``, if given, what was found is returned: nodes of one root are then connected for certain, but connected
+    nodes may still have several roots.
+
     Null nodes take no part.  Loops (a = b) make a component of their own if nothing else reaches the node.
     """
     pairs = edges.where("a is not null and b is not null").select(
@@ -85,13 +88,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     loops = pairs.where("a = b").select("a").distinct()
     current, before = settle(pairs.where("a <> b").distinct()), None
-    for _ in range(max_rounds):
-        state = current.select(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
+    for _ in range(max_rounds if rounds is None else rounds):
+        if rounds is None:
+            state = current.select(
+                F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+            ).first()
+            if state == before or state[0] == 0:
+                break
+            before = state
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
@@ -107,7 +111,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         current = settle(small)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if rounds is None:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root"))
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("root"))
