@@ -15,6 +15,9 @@ from tillwise.llm.frames import read, ship
 from tillwise.llm.queries import vocabulary
 from tillwise.session import store
 
+#: Parts whose ids a worker keeps: fewer than the operator's, as the workers serve the other stages as well.
+KEPT = 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers do not reject."""
@@ -30,7 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id.
+
+    SimHash finds the first links, a join of shingle sets those that it misses.
+    """
     ship(spark)
     return setjoin.drop_near_duplicates(docs)
 
@@ -44,7 +50,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def piece_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digest and that of the decoded text."""
     ship(spark)
-    made = pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"), with_ids=True)
+    made = pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"), with_ids=True, kept=KEPT)
     return made.withColumnRenamed("id", "doc_id")
 
 

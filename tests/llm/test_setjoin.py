@@ -53,6 +53,27 @@ def test_near_dedup_stage_takes_jaccard_of_08(spark, data):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()} == set(want.values())
 
 
+def test_simhash_gives_links_of_the_near_dedup_stage(spark, data, monkeypatch):
+    """The links that SimHash finds are verified, several near copies come from it alone, and the stage uses them."""
+    rng, texts = random.Random(11), {}
+    for base in range(8):
+        words = [f"b{base}w{k}" for k in range(1_500)]
+        for k in range(4):
+            texts[10 * base + k] = " ".join(words[: 1_500 - k] + [f"n{rng.random()}"] * k)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found, own = [], setjoin.by_simhash
+
+    def seen(*given):
+        found.append(own(*given))
+        return found[-1]
+
+    monkeypatch.setattr(setjoin, "by_simhash", seen)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()} == {10 * base for base in range(8)}
+    near = {(setjoin.set_key(setjoin.shingle_set(texts[k])), setjoin.set_key(setjoin.shingle_set(texts[j]))) for k in texts for j in texts if k // 10 == j // 10}
+    links = {(r.a, r.b) for r in found[0].collect()}
+    assert len(links) >= 12 and links <= near
+
+
 def test_order_of_common_shingles_changes_no_result(spark, monkeypatch):
     texts = edited(random.Random(9))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -27,7 +27,7 @@ KEPT, LONGEST = 350_000, 64
 class PieceCoder:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         import sentencepiece
 
         self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,7 +49,7 @@ class PieceCoder:
             self.cut = re.compile(f"{MARK}+[^{MARK}{some}]*|[^{MARK}{some}]+" + (f"|[{some}]" if lone else ""))
         self.lone = lone[:1]
         self.lead = len(library.encode(self.lone)) - 1 if lone else 0
-        self.memo = Memo(KEPT)
+        self.memo = Memo(kept)
 
     def merged(self, part: str) -> tuple[int, ...]:
         """Ids of one part, by the agenda; characters without a piece become their bytes, or the unknown id."""
@@ -102,25 +102,26 @@ class PieceCoder:
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> PieceCoder:
-    """One per worker process and model file."""
-    return PieceCoder(path)
+def coder(path: str, kept: int = KEPT) -> PieceCoder:
+    """One per worker process, model file and number of parts that it keeps."""
+    return PieceCoder(path, kept)
 
 
 def encode_decode(
-    docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text", with_ids: bool = False
+    docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text", with_ids: bool = False, kept: int = KEPT
 ) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256, decoded_same)`` per row, and ``ids`` if wanted.
 
     No begin or end ids, no sampling.  Null and empty texts have no ids and decode to the empty string.  A lone surrogate
-    is replaced as UTF-8 cannot hold it.  Repeated rows come out repeatedly; an empty table gives no rows.
+    is replaced as UTF-8 cannot hold it.  Repeated rows come out repeatedly; an empty table gives no rows.  A worker keeps the ids
+    of twice ``kept`` parts, also after its task.
     """
     fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string())]
     fields += [("decoded_sha256", pa.string()), ("decoded_same", pa.bool_())]
     fields += [("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def run(keys: list, texts: list) -> list:
-        own, rows = coder(model), []
+        own, rows = coder(model, kept), []
         for start in range(0, len(texts), 64):
             some = texts[start : start + 64]
             found = own.encode(some)

@@ -1,6 +1,7 @@
-"""Near copies by exact Jaccard similarity of word-shingle sets, found by prefix filtering.
+"""Near copies by exact Jaccard similarity of word-shingle sets, found by SimHash and completed by prefix filtering.
 
-If two sets share ``percent`` of their union or more, each shares at least that part of its own shingles with the other.
+Sets whose SimHashes differ in few bits are met by ``simhash.near_pairs`` and verified on the whole sets.  What SimHash cannot
+promise to meet, prefix filtering finds: if two sets share ``percent`` of their union or more, each shares at least that part of its own shingles with the other.
 So under any one order of all shingles, the first ``n - ceil(n * percent / 100) + 1`` of a set of n meet those of
 every near copy: no near copy is missed, and what meets is verified on the whole sets.  The order puts common
 shingles last, so that few sets meet by chance.
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.frames import connected_components, per_batch, store
-from tillwise.llm.simhash import component_of_links, drop_all_but_first
+from tillwise.llm.frames import connected_components, per_batch, settle, store
+from tillwise.llm.simhash import component_of_links, drop_all_but_first, majority, near_pairs
 
 #: Common shingles that are put last; shingles counted at once.  Both set the work, neither the result.
 COMMON, COUNTED = 50_000, 1_000_000
@@ -126,16 +127,20 @@ def parity(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(id, fp, size, bits, wide)`` for every row of ``docs(id, text)``; ``wide`` is null for smaller sets."""
-    fields = [("id", pa.int64()), ("fp", pa.int64()), ("size", pa.int32())]
+    """``(id, fp, sim, size, bits, wide)`` for every row of ``docs(id, text)``: key, SimHash, size and parity sketches of its set.
+
+    ``wide`` is null for smaller sets.
+    """
+    fields = [("id", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("size", pa.int32())]
     schema = pa.schema([*fields, ("bits", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
 
     def marks(ids: list, texts: list) -> tuple:
         sets = [shingle_set(text, shingle) for text in texts]
         wide = [parity(x, WIDE) if len(x) > LARGE else None for x in sets]
-        return ids, [set_key(x) for x in sets], [len(x) for x in sets], [parity(x) for x in sets], wide
+        keys, sims = [set_key(x) for x in sets], [majority(x) for x in sets]
+        return ids, keys, sims, [len(x) for x in sets], [parity(x) for x in sets], wide
 
-    types = "id long, fp long, size int, bits array<long>, wide array<long>"
+    types = "id long, fp long, sim long, size int, bits array<long>, wide array<long>"
     return docs.mapInArrow(per_batch(marks, schema, 500), types)
 
 
@@ -209,18 +214,46 @@ def _few_bits_apart(a: str, b: str, size: Column, percent: int) -> Column:
     return apart * (100 + percent) <= (100 - percent) * size
 
 
-def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle: int = 5, turns: int = 3) -> DataFrame:
+def by_simhash(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """``(a, b)``: keys of near sets that SimHash brings together, verified on the whole sets; at most two links a key.
+
+    Every set is verified against the least of those that share its fingerprint, and the least set of a fingerprint against that
+    of the least fingerprint it is linked to.  ``sketches`` are those of ``_marked``, each key once.
+    """
+    leads = settle(sketches.groupBy("sim").agg(F.min("fp").alias("lead")))
+    same = sketches.select("fp", "sim").join(leads, "sim").where("fp <> lead").select("fp", "lead")
+    linked = near_pairs(leads.select(F.col("sim").alias("fp")), radius).groupBy("b").agg(F.min("a").alias("a"))
+    above, below = (leads.select(F.col("sim").alias(c), F.col("lead").alias(name)) for c, name in (("b", "fp"), ("a", "lead")))
+    met = same.unionByName(linked.join(above, "b").join(below, "a").select("fp", "lead"))
+    met = met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
+    return store(_verified(met, sketches, texts, percent, shingle))
+
+
+def _unlike(listed: DataFrame, links: DataFrame) -> DataFrame:
+    """``listed(token, fp, size)`` with the root of each set under ``links``, for tokens whose sets have several roots.
+
+    Roots are those that one rewiring finds.
+    """
+    roots = store(connected_components(links, rounds=1).withColumnRenamed("node", "fp"))
+    rooted = listed.join(roots, "fp", "left").select("token", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = store(rooted)
+    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return store(rooted.join(several.select("token"), "token"))
+
+
+def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle: int = 5, turns: int = 2) -> DataFrame:
     """``(a, b)``: links between keys of near sets of ``texts(text)``; their components are those of all near pairs.
 
-    In each turn every first shingle has one centre among the sets that share it, another one each turn, and the sets in
-    other components than its own are verified against it; these components are those that one rewiring finds.  What is left
-    then is verified pair by pair, but only pairs of unlike components whose sketches allow it.  So a large group of near copies is not expanded into its pairs, and
-    no shingle's sets meet in one task.  ``sketches(fp, size, bits, wide)`` are those of ``_marked``, each key once.
+    SimHash gives the first links.  In each turn that follows every first shingle has one centre among the sets that share it, another
+    one each turn, and the sets in other components than its own are verified against it.  What is left then is verified
+    pair by pair, but only pairs of unlike components whose sketches allow it.  So a large group of near copies is not
+    expanded into its pairs, and no shingle's sets meet in one task.  ``sketches(fp, sim, size, bits, wide)`` are those of
+    ``_marked``, each key once.
     """
+    links = by_simhash(texts, sketches, percent, shingle)
     every = store(_prefixes(texts, percent, shingle).distinct())
     several = every.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("token")
-    open_ = store(every.join(several, "token").withColumn("root", F.col("fp")))
-    links = None
+    open_ = _unlike(every.join(several, "token"), links)
     for turn in range(turns):
         first = F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("draw"), "fp", "root"))
         centers = open_.groupBy("token").agg(first.alias("center")).select("token", "center.fp", "center.root")
@@ -228,13 +261,8 @@ def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle:
         stars = open_.join(other, "token").where("root <> its_root").select(
             F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b")
         )
-        new = store(_verified(stars.distinct(), sketches, texts, percent, shingle))
-        links = new if links is None else links.unionByName(new)
-        roots = store(connected_components(links, rounds=1).withColumnRenamed("node", "fp"))
-        rooted = open_.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rooted = store(rooted.select("token", "fp", "size", "root"))
-        unlike = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        open_ = store(rooted.join(unlike.select("token"), "token"))
+        links = links.unionByName(store(_verified(stars.distinct(), sketches, texts, percent, shingle)))
+        open_ = _unlike(open_.drop("root"), links)
     seen = store(open_.join(sketches.select("fp", "bits"), "fp"))
     l, r = (seen.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "root", "bits")]) for side in "lr")
     size = F.col("size_l") + F.col("size_r")
@@ -256,7 +284,7 @@ def near_duplicate_components(
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     marked = store(_marked(docs, shingle))
-    kept = [F.first(c).alias(c) for c in ("size", "bits", "wide")]
+    kept = [F.first(c).alias(c) for c in ("sim", "size", "bits", "wide")]
     sketches = store(marked.groupBy("fp").agg(*kept))
     links = near_sets(docs.select("text"), sketches, percent, shingle)
     return component_of_links(marked.select("id", "fp"), links)

@@ -52,6 +52,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * sums > count).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of 64-bit shingle hashes: the bits that are set in over half of them; zero for none."""
+    sums = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        sums += bit_matrix(hashes[at : at + CHUNK]).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * sums > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` for every row of ``docs``; see ``fingerprint`` for null and short texts."""
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
