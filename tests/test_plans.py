@@ -66,6 +66,30 @@ def test_additive_reports_scan_the_cube(spark, data):
         assert "lineitem.parquet" not in plan(QUERIES[name](spark, data)), name
 
 
+def test_a_cube_holds_the_dimensions_of_its_report(spark, data):
+    """Few cells a report, of the tables that hold its columns; a cube with more columns serves reports on fewer."""
+    space = Workspace(spark, data)
+    assert set(space.cells("order_status").columns) == {"order_status", "size", "cancelled"}
+    assert space.cells("order_status").count() <= 5 and space.cells("city", "order_status", "payment_amount").count() <= 5 * 26
+    shop = space.cells("category", "price", "review_score", "order_date", "discount_pct")
+    assert not {"city", "device", "gender", "age_group", "order_status"} & set(shop.columns)
+    assert space.cells("category", "price") is shop and "cube" not in space.__dict__
+    assert set(space.cube.columns) > set(shop.columns) and space.cells("category", "price") is space.cube
+
+
+def test_customer_texts_are_joined_after_the_lines_are_shuffled(spark, data):
+    """The join on orders comes last, so its result needs no shuffle that carries city, device and the like on every line."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(load_facts(spark, data, ["category", "city", "device", "order_date", "cogs"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in text.splitlines() if "SortMergeJoin" in line]
+    first = next(line for line in joins if "LeftOuter" in line)
+    keys = [line for line in text.splitlines() if line.startswith("Left keys")]
+    assert first and "part_key" in keys[0] and "order_key" in keys[-1]
+
+
 def test_reports_on_customers_join_only_what_holds_their_columns(spark, data):
     assert reads(QUERIES["r02_extent"](spark, data)) == {"l_orderkey", "o_orderkey", "o_orderdate"}
     assert not any(c.startswith(("p_", "n_")) for c in reads(QUERIES["r41_top_customers"](spark, data)))

@@ -61,18 +61,19 @@ def load_facts(
 ) -> DataFrame:
     """Order lines with economics and customer attributes; all fact columns unless some are named.
 
-    ``lines`` and ``orders`` are rows of the line and order tables to take in their place.
+    ``lines`` and ``orders`` are rows of the line and order tables to take in their place.  Orders are joined last: the
+    texts of a customer are then on no line that is still to be shuffled.
     """
     wanted = list(dict.fromkeys(columns or [*SEQUENCE, *FACT_TYPES]))
     facts = _lines(table(spark, directory, "lineitem") if lines is None else lines)
-    if _HEADER & set(wanted):
-        headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER], orders)
-        facts = facts.join(headers, "order_key", "left")
     if _PART & set(wanted):
         parts = table(spark, directory, "part").select(
             F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category")
         )
         facts = facts.join(parts, "part_key", "left")
+    if _HEADER & set(wanted):
+        headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER], orders)
+        facts = facts.join(headers, "order_key", "left")
     if _ECONOMICS & set(wanted):
         rates = {
             "cost_rate": F.lit(DELIVERY_COST_RATE),
