@@ -271,3 +271,33 @@ def test_digits_that_would_be_cut_are_an_error(spark):
     for wrong in (0.071, float("nan"), 1e300):
         with pytest.raises(Exception, match="not a whole number"):
             whole(wrong)
+
+
+def test_rfm_from_order_sums_as_from_facts(spark):
+    """Summed up by order first: the same customers, with repeated line numbers, nulls and cancelled lines."""
+    day = datetime(2024, 1, 1, 12)
+    texts = {c: (f"city{c}", f"gender{c}", f"age{c}", f"device{c}") for c in (1, 2, 3)}
+    rows = [
+        # order, line, part, customer, date, status, paid, rating
+        (10, 1, 7, 1, day, None, 100, 4), (10, 1, 9, 1, day, "shipped", 50, None), (10, 2, 8, 1, day, "cancelled", 70, 1),
+        (11, None, 5, 1, day.replace(day=4), "shipped", None, 2), (11, None, None, 1, day.replace(day=4), "shipped", 10, 2),
+        (12, 3, -6, 2, day.replace(day=2), "shipped", 333, 5), (12, 3, -8, 2, day.replace(day=2), "shipped", 1, 5),
+        (13, 1, 2**63 - 1, 2, None, "shipped", 5, 3), (14, 1, 4, 3, day.replace(day=9), "cancelled", 5, 3),
+        (None, 1, 4, None, None, None, 5, 3), (15, 2, None, 1, day.replace(day=3), "cancelled", 5, 3),
+    ]
+    named = [
+        (o, n, p, 0, 1, c, t, s, x, y, None if p is None else f"part{p}", *(texts[c] if c else [None] * 4)) for o, n, p, c, t, s, x, y in rows
+    ]
+    facts = spark.createDataFrame(
+        named,
+        "order_key long, line_number int, part_key long, supplier_key long, price long, customer_id long, order_date timestamp_ntz, order_status string, "
+        "payment_amount long, review_score int, category string, city string, gender string, age_group string, device string",
+    )
+    want = rfm_plan.rfm_base(facts)
+    sums = rfm_plan.order_sums(facts.select(*rfm_plan.SUM_NEEDS))
+    attributes = facts.select("customer_id", "city", "gender", "age_group", "device").distinct()
+    got = rfm_plan.rfm_of_orders(sums, attributes, facts.select("part_key", "category").distinct())
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.customer_id: r.last_category for r in got.collect()} == {1: "part5", 2: f"part{2**63 - 1}"}
+    text = sums._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort [" not in text

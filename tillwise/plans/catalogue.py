@@ -263,7 +263,7 @@ def _training_guard(rfm: DataFrame) -> DataFrame:
 
 
 def _rfm_base(spark: SparkSession, directory: str) -> DataFrame:
-    return rfm_plan.rfm_output(rfm_plan.rfm_base(workspace(spark, directory).facts(*rfm_plan.NEEDS)))
+    return rfm_plan.rfm_output(workspace(spark, directory).rfm)
 
 
 def _rfm_scores(spark: SparkSession, directory: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +12,7 @@ from tillwise.functions.scalars import percent_text
 from tillwise.models.churn import CHURN_DAYS, FEATURES, HIGH, HOLDOUT, RISK_LEVELS, at_risk, held_out, score_churn
 from tillwise.operators.distributions import histogram
 from tillwise.operators.evaluation import confusion, ranking_quality, score_counts
-from tillwise.operators.predicates import is_cancelled
 from tillwise.operators.summaries import band_counts, summarise
-from tillwise.plans.rfm import rfm_base
-from tillwise.session import store
 
 
 def churn_scores(scored: DataFrame) -> DataFrame:
@@ -87,18 +86,19 @@ def high_risk_list(scored: DataFrame) -> DataFrame:
     )
 
 
-def with_later_label(facts: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
+def with_later_label(orders: DataFrame, rated: Callable[[DataFrame], DataFrame], days: int = CHURN_DAYS) -> DataFrame:
     """Customers as they stood ``days`` before the newest order, with ``label``: 1.0 if they have not ordered since.
 
-    Features come from orders up to then only, so unlike a threshold on recency the label is not among them.
+    Features come from orders up to then only, so unlike a threshold on recency the label is not among them.  ``orders`` are stored
+    ``order_sums``, and ``rated`` makes customers of some of them.
     """
-    newest = store(facts.agg(F.max("order_date").alias("newest"))).first().newest
+    newest = orders.agg(F.max("order_date").alias("newest")).first().newest
     if newest is None:
-        return rfm_base(facts).withColumn("label", F.lit(None).cast("double"))
+        return rated(orders).withColumn("label", F.lit(None).cast("double"))
     cut = F.lit(newest) - F.expr(f"INTERVAL {days} DAYS")
-    came = facts.where(~is_cancelled() & (F.col("order_date") > cut)).select("customer_id").distinct()
+    came = orders.where((F.col("kept") > 0) & (F.col("order_date") > cut)).select("customer_id").distinct()
     came = came.withColumn("_came", F.lit(True))
-    before = rfm_base(facts.where(F.col("order_date") <= cut))
+    before = rated(orders.where(F.col("order_date") <= cut))
     return before.join(came, "customer_id", "left").withColumn("label", F.col("_came").isNull().cast("double")).drop("_came")
 
 

@@ -67,10 +67,7 @@ def load_facts(
     wanted = list(dict.fromkeys(columns or [*SEQUENCE, *FACT_TYPES]))
     facts = _lines(table(spark, directory, "lineitem") if lines is None else lines)
     if _PART & set(wanted):
-        parts = table(spark, directory, "part").select(
-            F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category")
-        )
-        facts = facts.join(parts, "part_key", "left")
+        facts = facts.join(part_categories(spark, directory), "part_key", "left")
     if _HEADER & set(wanted):
         headers = order_headers(spark, directory, [c for c in wanted if c in _CUSTOMER], orders)
         facts = facts.join(headers, "order_key", "left")
@@ -108,6 +105,11 @@ def order_headers(
     return orders.join(customer_attributes(spark, directory, attributes), "customer_id", "left")
 
 
+def part_categories(spark: SparkSession, directory: str) -> DataFrame:
+    """Category of every product."""
+    return table(spark, directory, "part").select(F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category"))
+
+
 def customer_attributes(spark: SparkSession, directory: str, attributes: Iterable[str]) -> DataFrame:
     """Customer dimension: the wanted ones of gender, age group, device and city, fixed per customer."""
     wanted = set(attributes)
