@@ -130,3 +130,28 @@ def test_a_part_that_was_not_finished_counts_once(spark, shop, tmp_path):
     space.stored.derive = own
     space.refresh()
     same_as_rebuilt(spark, space, folder)
+
+
+def test_facts_are_written_once_and_cubes_hold_what_is_asked_for(spark, shop, tmp_path, monkeypatch):
+    """No copy of the facts beside the stored ones; a cube has its report's dimensions, and old parts of it are not made again."""
+    from tillwise.plans import workspace
+
+    copies, made, own = [], [], workspace.roll_up
+    monkeypatch.setattr(workspace, "store", lambda df: copies.append(df) or df)
+    monkeypatch.setattr(workspace, "roll_up", lambda cells: made.append(cells) or own(cells))
+    folder, deliver = shop
+    deliver("a")
+    space = GrowingWorkspace(spark, folder, str(tmp_path / "stored"))
+    space.refresh()
+    assert not copies and not made
+    cells = space.cells(*PNL)
+    assert not {"city", "device", "gender", "age_group", "rating"} & set(cells.columns) and len(made) == 1
+    deliver("b")
+    space.refresh()
+    space.cells(*PNL)
+    later = GrowingWorkspace(spark, folder, str(tmp_path / "stored"))
+    later.refresh()
+    later.cells(*reversed(PNL))
+    assert len(made) == 2 and not copies
+    same_as_rebuilt(spark, space, folder)
+    assert rows(pnl_by_category(space.cube)) == rows(pnl_by_category(space.cells(*PNL)))

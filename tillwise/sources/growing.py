@@ -82,3 +82,16 @@ class GrowingTable:
         if not parts:
             raise ValueError("nothing is stored yet: call refresh()")
         return self.spark.read.parquet(*[f"{self.folder}/generation={generation}/{name}/part={n}" for n in sorted(parts)])
+
+    def derived(self, name: str, source: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A table made of ``source`` by ``make``, which must be additive: part by part, each on first use, of all parts in the manifest."""
+        generation = self._generation()
+        base = f"{self.folder}/generation={generation}"
+        parts = sorted(r.part for r in self.manifest(generation).select("part").distinct().collect())
+        if not parts:
+            raise ValueError("nothing is stored yet: call refresh()")
+        for n in parts:
+            if not self._exists(f"{base}/{name}/part={n}/_SUCCESS"):
+                made = make(self.spark.read.parquet(f"{base}/{source}/part={n}"))
+                made.write.mode("overwrite").parquet(f"{base}/{name}/part={n}")
+        return self.spark.read.parquet(*[f"{base}/{name}/part={n}" for n in parts])
