@@ -219,3 +219,14 @@ def test_churn_model_is_saved(space, tmp_path):
 def test_missing_rating_scores_as_zero(space):
     blank = space.rfm.limit(3).withColumn("avg_rating", F.lit(None).cast("double"))
     assert [r.avg_rating for r in churn.score_churn(space.churn_model, blank).collect()] == [None] * 3
+
+
+def test_kept_node_ids_change_no_tree(space, monkeypatch):
+    """Rows stay at their node from level to level, and the forest is that of rows sent through the trees anew."""
+    own = churn.RandomForestClassifier
+    kept = churn.train_churn(space.rfm, trees=5).stages[-1]
+    monkeypatch.setattr(churn, "RandomForestClassifier", lambda **given: own(**{**given, "cacheNodeIds": False}))
+    anew = churn.train_churn(space.rfm, trees=5).stages[-1]
+    assert kept.getCacheNodeIds() and not anew.getCacheNodeIds()
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in forest.trees] for forest in (kept, anew)]
+    assert trees[0] == trees[1] and len(trees[0]) == 5

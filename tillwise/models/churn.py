@@ -65,7 +65,8 @@ def train_churn(
 
     ``holdout`` keeps that share of the customers (by hash of their id) out of training.  A column ``label`` (1.0 for
     customers who left) is used where ``rfm`` has one, else a threshold on recency.  Partitions follow from the number
-    of rows unless they are given.
+    of rows unless they are given.  The node that a row has come to in each tree is kept from level to level, so no level
+    sends the rows through the trees from their roots; the forest is the same.
     """
     known = F.col("label").cast("double") if "label" in rfm.columns else at_risk(days=days)
     table = _features(rfm, known.alias("label"))
@@ -79,7 +80,7 @@ def train_churn(
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         forest = RandomForestClassifier(
             numTrees=trees, seed=seed, maxDepth=max_depth, maxBins=max_bins, probabilityCol="probability",
-            maxMemoryInMB=1024,
+            maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=-1,
         )
         return Pipeline(stages=[assembler, forest]).fit(table)
     finally:
