@@ -17,17 +17,25 @@ from tillwise.session import store
 
 #: Parts whose ids a worker keeps: fewer than the operator's, as the workers serve the other stages as well.
 KEPT = 100_000
+#: Rows of an Arrow batch of whole texts, which a worker and its executor hold beside each other.
+ROWS = "1024"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Python files for the executors, and smaller batches than Spark's 10,000 rows; no result depends on them."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers do not reject."""
-    ship(spark)
+    prepare(spark)
     return cotrain.keep_good(docs, cotrain.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that their source repeats on over 2 % of its different documents; see ``linededup``."""
-    ship(spark)
+    prepare(spark)
     kept = linededup.drop_boilerplate(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -37,19 +45,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     SimHash finds the first links, a join of shingle sets those that it misses.
     """
-    ship(spark)
+    prepare(spark)
     return setjoin.drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their source's share of the token budget."""
-    ship(spark)
+    prepare(spark)
     return mixing.mix_documents(docs, mixing.PIPELINE)
 
 
 def piece_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digest and that of the decoded text."""
-    ship(spark)
+    prepare(spark)
     made = pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"), with_ids=True, kept=KEPT)
     return made.withColumnRenamed("id", "doc_id")
 

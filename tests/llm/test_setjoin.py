@@ -74,6 +74,30 @@ def test_simhash_gives_links_of_the_near_dedup_stage(spark, data, monkeypatch):
     assert len(links) >= 12 and links <= near
 
 
+def test_verification_cuts_only_wanted_texts_into_shingles(spark, monkeypatch):
+    """A text that no pair asks for would raise; a wanted one comes out once, however often it is held."""
+    texts = [f"text {k} of a few words more than five" for k in range(300)]
+    rows = [(k, t) for k, t in enumerate([*texts, *texts[:40], None])]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    marked = {r.id: r for r in setjoin._marked(docs, 80, 5).collect()}
+    for k, text in rows:
+        hashes = setjoin.shingle_set(text)
+        assert marked[k].fp == setjoin.set_key(hashes) and marked[k].size == len(hashes)
+        assert set(marked[k].tokens) <= set(hashes.tolist())
+        assert len(set(marked[k].tokens)) == len(marked[k].tokens) == (len(hashes) - -(-4 * len(hashes) // 5) + 1 if text else 0)
+    asked, own = {texts[k] for k in (0, 7, 299)}, setjoin.shingle_set
+
+    def only(text, shingle):
+        if text not in asked:
+            raise ValueError(text)
+        return own(text, shingle)
+
+    monkeypatch.setattr(setjoin, "shingle_set", only)
+    wanted = spark.createDataFrame([(marked[k].fp, marked[k].code) for k in (0, 7, 299)], "fp long, code long")
+    got = [(r.fp, sorted(r.hashes)) for r in setjoin._sets(docs.select("text"), wanted, 5).collect()]
+    assert sorted(got) == sorted((marked[k].fp, own(texts[k], 5).tolist()) for k in (0, 7, 299))
+
+
 def test_order_of_common_shingles_changes_no_result(spark, monkeypatch):
     texts = edited(random.Random(9))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -90,33 +90,6 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.stack([values[order], (len(top) - 1 - np.arange(len(top)))[order]])
 
 
-def _prefixes(texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """``(token, fp, size)``: the first shingles of every set."""
-    sent = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
-    schema = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("size", pa.int32())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                made = {}
-                for text in batch.column(0).slice(start, 500):
-                    hashes = shingle_set(text.as_py(), shingle)
-                    if (key := set_key(hashes)) not in made:
-                        made[key] = (len(hashes), prefix(hashes, percent, sent.value))
-                tokens = [tokens for _, tokens in made.values()]
-                lengths = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(tokens)),
-                        pa.array(np.repeat(np.array(list(made), np.int64), lengths)),
-                        pa.array(np.repeat([size for size, _ in made.values()], lengths), pa.int32()),
-                    ],
-                    schema=schema,
-                )
-
-    return texts.mapInArrow(run, "token long, fp long, size int")
-
-
 def parity(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
     """For each of ``64 * longs`` slots whether an odd number of hashes falls into it.
 
@@ -126,30 +99,32 @@ def parity(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(id, fp, sim, size, bits, wide)`` for every row of ``docs(id, text)``: key, SimHash, size and parity sketches of its set.
+def _marked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """``(id, fp, code, sim, size, bits, wide, tokens)`` for every row of ``docs(id, text)``.
 
-    ``wide`` is null for smaller sets.
+    Key, SimHash, size, parity sketches and first shingles of its set; ``code`` is a hash of the text itself.  ``wide`` is null for
+    smaller sets.
     """
-    fields = [("id", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("size", pa.int32())]
-    schema = pa.schema([*fields, ("bits", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs.select("text"), shingle))
+    fields = [("id", pa.int64()), ("fp", pa.int64()), ("code", pa.int64()), ("sim", pa.int64()), ("size", pa.int32())]
+    schema = pa.schema([*fields, *((n, pa.list_(pa.int64())) for n in ("bits", "wide", "tokens"))])
 
-    def marks(ids: list, texts: list) -> tuple:
+    def marks(ids: list, codes: list, texts: list) -> tuple:
         sets = [shingle_set(text, shingle) for text in texts]
         wide = [parity(x, WIDE) if len(x) > LARGE else None for x in sets]
-        keys, sims = [set_key(x) for x in sets], [majority(x) for x in sets]
-        return ids, keys, sims, [len(x) for x in sets], [parity(x) for x in sets], wide
+        keys, sims, sizes = [set_key(x) for x in sets], [majority(x) for x in sets], [len(x) for x in sets]
+        return ids, keys, codes, sims, sizes, [parity(x) for x in sets], wide, [prefix(x, percent, sent.value) for x in sets]
 
-    types = "id long, fp long, sim long, size int, bits array<long>, wide array<long>"
-    return docs.mapInArrow(per_batch(marks, schema, 500), types)
+    types = "id long, fp long, code long, sim long, size int, bits array<long>, wide array<long>, tokens array<long>"
+    return docs.select("id", F.xxhash64("text").alias("code"), "text").mapInArrow(per_batch(marks, schema, 500), types)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(fp, hashes)`` of the sets whose key is in ``wanted(fp)``, each once.
+    """``(fp, hashes)`` of the sets whose key is in ``wanted(fp, code)``, each once; ``code`` is that of a text of the set.
 
-    Of ``wanted`` every executor gets a map of ``WANTED`` bits, so few other sets are shuffled.
+    Of the codes every executor gets a map of ``WANTED`` bits, so few other texts are cut into shingles.
     """
-    slot = F.col("fp").bitwiseAND(F.lit(WANTED - 1))
+    slot = F.col("code").bitwiseAND(F.lit(WANTED - 1))
     one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     rows = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("k")).agg(F.bit_or(one).alias("v"))
     found, bits = rows.toArrow(), np.zeros(WANTED // 64, np.int64)
@@ -159,20 +134,17 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                made = {}
-                for text in batch.column(0).slice(start, 500):
-                    hashes = shingle_set(text.as_py(), shingle)
-                    key = set_key(hashes)
-                    if int(sent.value[(key & (WANTED - 1)) // 64]) >> (key & 63) & 1:
-                        made[key] = hashes
-                if made:
-                    yield pa.RecordBatch.from_pydict(
-                        {"fp": list(made), "hashes": list(made.values())}, schema=schema
-                    )
-
-    every = texts.mapInArrow(run, "fp long, hashes array<long>").repartition("fp")
-    return every.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
+            codes = batch.column(0).to_numpy()
+            asked = sent.value[(codes & (WANTED - 1)) // 64] >> (codes & 63) & 1
+            held = batch.column(1).filter(pa.array(asked == 1))
+            for start in range(0, len(held), 500):
+                made = [shingle_set(text, shingle) for text in set(held.slice(start, 500).to_pylist())]
+                made = {set_key(hashes): hashes for hashes in made}
+                yield pa.RecordBatch.from_pydict({"fp": list(made), "hashes": list(made.values())}, schema=schema)
+
+    coded = texts.select(F.xxhash64("text").alias("code"), "text")
+    every = coded.mapInArrow(run, "fp long, hashes array<long>").repartition("fp")
+    return every.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -184,12 +156,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
     size = F.col("size_a") + F.col("size_b")
     near_size = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
     possible = near_size & _few_bits_apart("bits_a", "bits_b", size, percent)
-    narrow, wide = sketches.select("fp", "size", "bits"), sketches.where("wide is not null").select("fp", "wide")
+    narrow, wide = sketches.select("fp", "code", "size", "bits"), sketches.where("wide is not null").select("fp", "wide")
     pairs = store(
         pairs.join(sided(narrow, "a", "_a"), "a")
         .join(sided(narrow, "b", "_b"), "b")
         .where(possible)
-        .select("a", "b", size.alias("both"))
+        .select("a", "b", "code_a", "code_b", size.alias("both"))
     )
     apart = F.aggregate(
         F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
@@ -199,13 +171,14 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
         pairs.join(sided(wide, "a", "_a"), "a", "left")
         .join(sided(wide, "b", "_b"), "b", "left")
         .where(possible)
-        .select("a", "b")
+        .select("a", "b", "code_a", "code_b")
     )
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ends = [F.struct(F.col(end).alias("fp"), F.col(f"code_{end}").alias("code")) for end in "ab"]
+    wanted = pairs.select(F.explode(F.array(*ends)).alias("end")).select("end.*").distinct()
     sets = store(_sets(texts, wanted, shingle))
     both = F.size(F.array_intersect("hashes_a", "hashes_b"))
     near = both * (100 + percent) >= percent * (F.size("hashes_a") + F.size("hashes_b"))
-    return pairs.join(sided(sets, "a", "_a"), "a").join(sided(sets, "b", "_b"), "b").where(near).select("a", "b")
+    return pairs.select("a", "b").join(sided(sets, "a", "_a"), "a").join(sided(sets, "b", "_b"), "b").where(near).select("a", "b")
 
 
 def _few_bits_apart(a: str, b: str, size: Column, percent: int) -> Column:
@@ -247,11 +220,11 @@ def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle:
     SimHash gives the first links.  In each turn that follows every first shingle has one centre among the sets that share it, another
     one each turn, and the sets in other components than its own are verified against it.  What is left then is verified
     pair by pair, but only pairs of unlike components whose sketches allow it.  So a large group of near copies is not
-    expanded into its pairs, and no shingle's sets meet in one task.  ``sketches(fp, sim, size, bits, wide)`` are those of
-    ``_marked``, each key once.
+    expanded into its pairs, and no shingle's sets meet in one task.  ``sketches(fp, code, sim, size, bits, wide, tokens)`` are
+    those of ``_marked``, each key once.
     """
     links = by_simhash(texts, sketches, percent, shingle)
-    every = store(_prefixes(texts, percent, shingle).distinct())
+    every = sketches.select(F.explode("tokens").alias("token"), "fp", "size")
     several = every.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("token")
     open_ = _unlike(every.join(several, "token"), links)
     for turn in range(turns):
@@ -283,9 +256,9 @@ def near_duplicate_components(
     are treated as in ``simhash.near_duplicate_components``.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    marked = store(_marked(docs, shingle))
-    kept = [F.first(c).alias(c) for c in ("sim", "size", "bits", "wide")]
-    sketches = store(marked.groupBy("fp").agg(*kept))
+    marked = store(_marked(docs, percent, shingle))
+    kept = [F.first(c).alias(c) for c in ("sim", "size", "bits", "wide", "tokens")]
+    sketches = store(marked.groupBy("fp").agg(F.min("code").alias("code"), *kept))
     links = near_sets(docs.select("text"), sketches, percent, shingle)
     return component_of_links(marked.select("id", "fp"), links)
 
