@@ -98,6 +98,18 @@ def test_verification_cuts_only_wanted_texts_into_shingles(spark, monkeypatch):
     assert sorted(got) == sorted((marked[k].fp, own(texts[k], 5).tolist()) for k in (0, 7, 299))
 
 
+def test_last_pairs_are_of_components_that_all_rewirings_leave_unlike(spark, monkeypatch):
+    listed = spark.range(60).selectExpr("id % 2 as token", "id as fp", "9 as size")
+    path = spark.range(59).selectExpr("id as a", "id + 1 as b")
+    assert setjoin._unlike(listed, path, rounds=None).count() == 0
+    assert setjoin._unlike(listed, path.where("a <> 30"), rounds=None).count() == 60
+    asked, own = [], setjoin._unlike
+    monkeypatch.setattr(setjoin, "_unlike", lambda *given, rounds=1: asked.append(rounds) or own(*given, rounds=rounds))
+    docs = spark.createDataFrame([(k, f"a b c d e f g h {k}") for k in range(4)], "doc_id long, text string")
+    setjoin.near_duplicate_components(docs)
+    assert asked[-1] is None and set(asked[:-1]) == {1}
+
+
 def test_order_of_common_shingles_changes_no_result(spark, monkeypatch):
     texts = edited(random.Random(9))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

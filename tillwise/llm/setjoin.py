@@ -202,24 +202,24 @@ def by_simhash(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle
     return store(_verified(met, sketches, texts, percent, shingle))
 
 
-def _unlike(listed: DataFrame, links: DataFrame) -> DataFrame:
+def _unlike(listed: DataFrame, links: DataFrame, rounds: int | None = 1) -> DataFrame:
     """``listed(token, fp, size)`` with the root of each set under ``links``, for tokens whose sets have several roots.
 
-    Roots are those that one rewiring finds.
+    Roots are those that ``rounds`` of rewiring find; None: all.
     """
-    roots = store(connected_components(links, rounds=1).withColumnRenamed("node", "fp"))
+    roots = store(connected_components(links, rounds=rounds).withColumnRenamed("node", "fp"))
     rooted = listed.join(roots, "fp", "left").select("token", "fp", "size", F.coalesce("root", "fp").alias("root"))
     rooted = store(rooted)
     several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     return store(rooted.join(several.select("token"), "token"))
 
 
-def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle: int = 5, turns: int = 2) -> DataFrame:
+def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle: int = 5, turns: int = 3) -> DataFrame:
     """``(a, b)``: links between keys of near sets of ``texts(text)``; their components are those of all near pairs.
 
     SimHash gives the first links.  In each turn that follows every first shingle has one centre among the sets that share it, another
     one each turn, and the sets in other components than its own are verified against it.  What is left then is verified
-    pair by pair, but only pairs of unlike components whose sketches allow it.  So a large group of near copies is not
+    pair by pair, but only pairs of components that all links so far leave unlike, and whose sketches allow it.  So a large group of near copies is not
     expanded into its pairs, and no shingle's sets meet in one task.  ``sketches(fp, code, sim, size, bits, wide, tokens)`` are
     those of ``_marked``, each key once.
     """
@@ -235,7 +235,7 @@ def near_sets(texts: DataFrame, sketches: DataFrame, percent: int = 80, shingle:
             F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b")
         )
         links = links.unionByName(store(_verified(stars.distinct(), sketches, texts, percent, shingle)))
-        open_ = _unlike(open_.drop("root"), links)
+        open_ = _unlike(open_.drop("root"), links, rounds=None if turn == turns - 1 else 1)
     seen = store(open_.join(sketches.select("fp", "bits"), "fp"))
     l, r = (seen.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "root", "bits")]) for side in "lr")
     size = F.col("size_l") + F.col("size_r")
