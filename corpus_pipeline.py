@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillwise.llm import cotrain, linededup, mixing, pieces, setjoin
 from tillwise.llm.frames import read, ship
 from tillwise.llm.queries import vocabulary
-from tillwise.session import store
+from tillwise.session import short_shuffles, store
 
 #: Parts whose ids a worker keeps: fewer than the operator's, as the workers serve the other stages as well.
 KEPT = 100_000
@@ -46,7 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     SimHash finds the first links, a join of shingle sets those that it misses.
     """
     prepare(spark)
-    return setjoin.drop_near_duplicates(docs)
+    with short_shuffles(spark):
+        kept = setjoin.drop_near_duplicates(docs)
+    return kept.select("*")  # planned after the setting, so it may be computed again
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from time import sleep
 
 import corpus_pipeline
 
@@ -118,6 +119,23 @@ def test_order_of_common_shingles_changes_no_result(spark, monkeypatch):
     assert got == plain_components(texts)
 
 
+def test_near_dedup_stage_leaves_no_shuffle_files(spark, data):
+    """Files of the stage's queries go when these end; what it returns can be computed more than once."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: str(disk.getAllFiles().mkString(" ")).count("shuffle_")
+    name, texts = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", edited(random.Random(12))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    before, was = shuffled(), spark.conf.get(name)
+    kept = corpus_pipeline.near_dedup(spark, docs, data)
+    for _ in range(40):
+        if shuffled() <= before + 10:
+            break
+        sleep(0.25)
+    assert shuffled() <= before + 10 and spark.conf.get(name) == was
+    first = {r.doc_id for r in kept.collect()}
+    assert first == {r.doc_id for r in kept.collect()} == set(plain_components(texts).values())
+
+
 def test_odd_rows(odd, none):
     kept = setjoin.drop_near_duplicates(odd)
     assert kept.columns == odd.columns

@@ -120,6 +120,28 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_round_of_components_takes_few_tasks(spark):
+    """Tasks of the first two rounds on 20 shuffle partitions, none coalesced: five stages of a round at most have 20."""
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, context = {k: spark.conf.get(k) for k in settings}, spark.sparkContext
+    edges = spark.range(0, 4_000, 1, 4).selectExpr("id as a", "id + 1 as b")
+    tasks = []
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for rounds in (0, 2):
+            context.setJobGroup(f"components {rounds}", "")
+            connected_components(edges, rounds=rounds)
+            jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(f"components {rounds}")]
+            stages = [context.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+            tasks.append(sum(s.numCompletedTasks for s in stages if s))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks[1] - tasks[0] <= 2 * 6 * 20
+
+
 def test_odd_rows(odd, none):
     got = simhash.near_duplicate_components(odd).collect()
     assert len(got) == odd.count()
