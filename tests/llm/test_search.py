@@ -150,6 +150,34 @@ def test_walk_in_document_order_is_exact(monkeypatch, block, stride):
             assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-9)
 
 
+def test_queries_that_walk_together_find_what_each_finds(monkeypatch):
+    """Dense rows in single floats only choose documents: scores are those of doubles, for copies as well, whoever walks along."""
+    monkeypatch.setattr(wand, "BLOCK", 16)
+    monkeypatch.setattr(wand, "STRIDE", 4)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, 60) if x < 900) for _ in range(700)]
+    shard, row = made_shard(texts + texts[:80])
+    n = len(row["doc_ids"])
+    plain = np.zeros((len(row["starts"]) - 1, n))
+    for t in range(len(plain)):
+        span = slice(row["starts"][t], row["starts"][t + 1])
+        plain[t, row["docs"][span]] = shard.scores[span]
+    queries = [(np.sort(rng.choice(len(plain), 40, replace=False)), rng.uniform(0.1, 7, 40)) for _ in range(21)]
+    queries.append((np.empty(0, np.int64), np.empty(0)))
+    skips, floors = [int(x) for x in row["doc_ids"][: len(queries)]], [0.0] * len(queries)
+    assert shard.dense.dtype == np.float32 and len(shard.dense) > 10
+    for some in (range(len(queries)), range(3, 5)):
+        asked = [queries[q] for q in some]
+        made = shard.best_of_many(asked, shard.dense_sums(asked), 10, [floors[q] for q in some], [skips[q] for q in some])
+        for q, (scores, ids) in zip(some, made):
+            terms, weights = queries[q]
+            want = sorted((-s, i) for s, i in zip((weights @ plain[terms]).round(9), row["doc_ids"].tolist()) if s > 0 and i != skips[q])[:10]
+            got = sorted(zip((-scores).tolist(), ids.tolist()))[:10]
+            assert [i for _, i in got] == [i for _, i in want]
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-9)
+            floors[q] = max(0.0, -want[-1][0] - wand.SLACK) if len(want) == 10 else 0.0
+
+
 def test_blocks_below_the_floor_are_not_read(monkeypatch):
     monkeypatch.setattr(wand, "BLOCK", 8)
     monkeypatch.setattr(wand, "STRIDE", 4)
