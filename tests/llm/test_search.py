@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import Counter
 from math import log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +209,33 @@ def test_repeated_rows_of_the_query_do_not_raise_the_floor():
     assert sorted(ids.tolist()) == [1, 2, 3]
 
 
+def test_a_shard_is_counted_from_few_texts_at_once(monkeypatch):
+    monkeypatch.setattr(wand, "SLICE", 3_000)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 90)) if x < 900) for _ in range(1500)]
+    texts[7:9] = [None, "t1 " * 5_000]
+    ids = rng.permutation(1500)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])
+    at_once, split = [], wand.split_terms
+    monkeypatch.setattr(wand, "split_terms", lambda t: (at_once.append((len(t), t.nbytes)), split(t))[1])
+    (got,) = wand.shard_rows(iter([batch.slice(0, 900), batch.slice(900)]))
+    assert len(at_once) > 20 and max(n for n, _ in at_once) <= 256 and sum(n for n, _ in at_once) == 1500
+    assert sorted(b for _, b in at_once)[-2] < 10_000  # all but the long one
+    assert got.equals(wand.build_shard(ids, pa.array(texts)))
+
+
+def test_query_terms_go_when_their_block_is_done(spark, data, monkeypatch):
+    monkeypatch.setattr(wand, "TERMS", 300)
+    sent, rows = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kind = type(spark.sparkContext)
+    send = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    frame = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60 and n_chars < 3000")
+    wand.search(frame, F.col("id") % 20 == 0, k=3).collect()
+    assert len(sent) > 1 and not any(Path(b._path).exists() for b in sent)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+
+
 def test_odd_rows(odd, none):
     got = wand.search(odd, F.col("id") % 2 == 0).collect()
     assert {r.query_id for r in got} <= {0, 6, 8} and (0, 1, 1) in {(r.query_id, r["rank"], r.doc_id) for r in got}
