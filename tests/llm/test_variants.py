@@ -86,6 +86,57 @@ def test_long_words_and_repeats(spark):
     assert got == {long: 2, long[:-1]: 1, f"x{long}": 1, "a" * 9: 1, "a" * 10: 1}
 
 
+def test_words_of_a_length_that_no_error_leads_on_from(spark):
+    alone = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"
+    query, found = variants.search([alone, "abcdefgh"], [alone], True)
+    assert len(query) == len(found) == 0
+    rows = [(1, f"{alone} {alone} different different differend differend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(variants.spelling_variants(docs)) == plain_variants(rows)
+
+
+def test_wide_intervals_are_left_by_letters(monkeypatch):
+    """The same pairs, and no rank of a half's many words is looked at for each of them."""
+    rng = random.Random(9)
+    words = sorted({"con" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 5))) for _ in range(3_000)} | {"con", "co", "conn"})
+    want = sorted((q, v) for q, a in enumerate(words) if q % 40 == 0 for v, b in enumerate(words) if a[: len(a) // 2] == b[: len(a) // 2] and one_edit(a, b))
+    widest, by_rank = [], variants.Index._branches
+
+    def looked_at(self, queries, sizes, asking, low, high, t):
+        widest.extend((high[asking] - low[asking]).tolist())
+        return by_rank(self, queries, sizes, asking, low, high, t)
+
+    monkeypatch.setattr(variants.Index, "_branches", looked_at)
+    for wide, few in ((variants.WIDE, variants.FEW), (0, 0), (0, 3), (10**9, 1)):
+        monkeypatch.setattr(variants, "WIDE", wide)
+        monkeypatch.setattr(variants, "FEW", few)
+        widest.clear()
+        query, found = variants.search(words, words, True)
+        assert sorted((q, v) for q, v in zip(query.tolist(), found.tolist()) if q % 40 == 0) == want and len(want) > 50
+        assert max(widest, default=0) <= wide * 12
+    assert max(widest) > 1_000
+
+
+def test_indexes_are_bounded_in_letters(spark):
+    rng = random.Random(3)
+    long = ["".join(rng.choice("acgt") for _ in range(2_000)) for _ in range(40)]
+    rows = [(w, 2) for w in [*long, *(w[:-1] for w in long), *("short" + w[:5] for w in long)]]
+    words = spark.createDataFrame(rows, "word string, n long")
+    letters = variants.filed(words, 400).where("held").selectExpr("*", "length(word) AS size").groupBy("head", "bucket", "hot", "slice").sum("size")
+    assert max(r[-1] for r in letters.collect()) <= 4 * 400 * variants.LETTERS
+    got = {r.word: (r.n_near, r.best) for r in variants.near_words(words, 400).collect()}
+    assert len(got) == 120 and all(got[w] == (1, w[:-1]) and got[w[:-1]] == (1, w) for w in long)
+
+
+def test_hot_halves_of_one_word_count_a_near_word_once(spark):
+    rng = random.Random(4)
+    words = sorted({"abc" + rng.choice("dd" + "efgh") + "".join(rng.choice("xyz") for _ in range(rng.choice((3, 4)))) for _ in range(600)})
+    frame = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
+    want = {w: sum(one_edit(w, v) for v in words) for w in words}
+    for entries in (30, 100, 4_000):
+        assert {r.word: r.n_near for r in variants.near_words(frame, entries).collect()} == want
+
+
 def test_odd_rows(odd, none):
     for every in (0, 31):
         assert rows_of(variants.spelling_variants(odd, every=every)) == plain_variants([(r.doc_id, r.text) for r in odd.collect()], every=every)

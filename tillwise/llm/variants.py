@@ -3,7 +3,8 @@
 Of two words one edit apart, one half of either is whole in the other.  So every word is filed under its first and its last
 half, and asks where its own halves are filed.  What is filed together is indexed as one delimited text in two FM indexes,
 for reading onward and for reading backward.  A search narrows an interval of suffix ranks over one half exactly, and across
-the other half leaves the interval at every rank in it with one error, after which the rest must match again.
+the other half leaves the interval with one error, at every rank of a narrow one and by every letter of a wide one, after which
+the rest must match again.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from tillwise.llm.frames import store
 #: Letters of words: A-Z, a-z and U+00C0 to U+00FF.  Only A-Z are lower-cased.
 LETTER = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Entries of an index, and ranks or states looked at together.
-ENTRIES, TOGETHER = 20_000, 200_000
+#: Entries of an index, letters of one (a longer word counts as several), and ranks or states looked at together.
+ENTRIES, LETTERS, TOGETHER = 20_000, 32, 200_000
+#: An interval of more ranks than so many for each letter is left by letters, and its parts are narrowed until few ranks are left.
+WIDE, FEW = 8, 16
 END, DELIMITER = 0, 1  # symbols; letters follow
 
 
@@ -68,6 +71,7 @@ class Index:
         place = np.full(len(text), -1)
         place[at] = np.arange(len(sizes))
         self.sequence = place[order]  # which sequence follows the delimiter a suffix starts with
+        self.letters = np.unique(symbols)
 
     def narrowed(self, symbol: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """A bound of the interval after one more symbol."""
@@ -85,12 +89,15 @@ class Index:
         live, states, held, pairs = np.arange(count), [], 0, [np.empty(0, np.int64)]
         for t in range(int(sizes.max(initial=0)) + 1):
             live = live[(sizes[live] >= t) & (low[live] < high[live])]
-            for state in self._branches(queries, sizes, live[exact[live] <= t], low, high, t):
-                states.append(state)
-                held += len(state[0])
-                if held > TOGETHER:
-                    pairs.append(self._followed(queries, sizes, states))
-                    states, held = [], 0
+            asking = live[exact[live] <= t]
+            wide = high[asking] - low[asking] > WIDE * len(self.letters)
+            for leave, some in ((self._branches, asking[~wide]), (self._branches_by_letter, asking[wide])):
+                for state in leave(queries, sizes, some, low, high, t) if len(some) else ():
+                    states.append(state)
+                    held += len(state[0])
+                    if held > TOGETHER:
+                        pairs.append(self._followed(queries, sizes, states))
+                        states, held = [], 0
             live = live[sizes[live] > t]
             if not len(live):
                 break
@@ -104,7 +111,7 @@ class Index:
         if not states:
             return np.empty(0, np.int64)
         query, place, rank = (np.concatenate(x) for x in zip(*states))
-        pairs = []
+        pairs = [np.empty(0, np.int64)]  # none of the states may lead on
         while len(query):
             over = place > sizes[query]  # the delimiter was matched as well
             pairs.append(query[over] * len(self.before) + self.sequence[rank[over]])
@@ -134,6 +141,37 @@ class Index:
             yield query[added], np.full(added.sum(), t + 1), self.back[after[added]]
             yield query[lost], np.full(lost.sum(), t + 2), after[lost]
 
+    def _branches_by_letter(self, queries, sizes, asking, low, high, t):
+        """As ``_branches``, at a cost that does not grow with the intervals: letters narrow them, and so does what must match."""
+        for start in range(0, len(asking), max(1, TOGETHER // (4 * len(self.letters)))):
+            cut = asking[start : start + max(1, TOGETHER // (4 * len(self.letters)))]
+            inside = cut[sizes[cut] > t]
+            there = queries[inside, t + 1]
+            yield from self._few(queries, sizes, inside, t + 2, self.narrowed(there, low[inside]), self.narrowed(there, high[inside]))
+            query, letter = np.repeat(cut, len(self.letters)), np.tile(self.letters, len(cut))
+            begin, end = self.narrowed(letter, low[query]), self.narrowed(letter, high[query])
+            some = begin < end
+            query, letter, begin, end = query[some], letter[some], begin[some], end[some]
+            here = queries[query, t]
+            yield from self._few(queries, sizes, query, t + 1, self.narrowed(here, begin), self.narrowed(here, end))
+            some = (letter != here) & (sizes[query] > t)
+            query, begin, end = query[some], begin[some], end[some]
+            there = queries[query, t + 1]
+            yield from self._few(queries, sizes, query, t + 2, self.narrowed(there, begin), self.narrowed(there, end))
+
+    def _few(self, queries, sizes, query, place, begin, end):
+        """States ``(query, next place, rank)`` of intervals that are matched onward until few ranks are left of each."""
+        while len(query):
+            some = begin < end
+            query, begin, end = query[some], begin[some], end[some]
+            few = (end - begin <= FEW) | (place > sizes[query])
+            many = (end - begin)[few]
+            rank = np.arange(many.sum()) + np.repeat(begin[few] - (np.cumsum(many) - many), many)
+            yield np.repeat(query[few], many), np.full(len(rank), place), rank
+            query, begin, end = query[~few], begin[~few], end[~few]
+            symbol = queries[query, place] if len(query) else query
+            begin, end, place = self.narrowed(symbol, begin), self.narrowed(symbol, end), place + 1
+
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffix array of a text whose last symbol is its only smallest one, by doubling the length that is told apart."""
@@ -190,13 +228,15 @@ def search(held: list[str], queries: list[str], head: bool) -> tuple[np.ndarray,
 
 
 def filed(words: DataFrame, entries: int) -> DataFrame:
-    """``words(word, n)`` filed under their halves: ``(head, bucket, slice, word, n, asks, held)``.
+    """``words(word, n)`` filed under their halves: ``(head, bucket, hot, slice, word, n, asks, held)``.
 
     A near word may be one longer or shorter, so every word is filed under the halves a word of such a length would have,
     two on each side, and asks under its own.  Halves that more than ``entries`` words are filed under are cut into slices, so that
-    an index stays bounded; their words ask in each slice.
+    an index stays bounded; their words ask in each slice, and no other half is filed with them.  A word of over ``LETTERS`` letters
+    counts as several, so an index is bounded in letters as well.
     """
     size = F.length("word")
+    load = F.ceil(F.length("word") / LETTERS)
     half = lambda head, n: F.struct(
         F.lit(head).alias("head"),
         (F.substring("word", F.lit(1), n) if head else F.substring("word", size - n + 1, n)).alias("half"),
@@ -205,8 +245,8 @@ def filed(words: DataFrame, entries: int) -> DataFrame:
     lengths = [(True, F.floor((size - 1) / 2)), (True, F.floor((size + 1) / 2)), (False, F.floor(size / 2)), (False, F.floor(size / 2) + 1)]
     each = F.explode(F.array(*[half(head, n.cast("int")) for head, n in lengths])).alias("e")
     entry = words.select("word", "n", each).select("word", "n", "e.*")
-    hot = store(entry.groupBy("head", "half").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > entries))
-    total = words.count() * 4
+    hot = store(entry.groupBy("head", "half").agg(F.sum(load).alias("many")).where(F.col("many") > entries))
+    total = (words.agg(F.sum(load)).first()[0] or 0) * 4
     buckets = max(1, ceil(total / entries))
     slices = F.coalesce(F.ceil(F.col("many") / entries), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("word"), F.col("slices")).cast("int")
@@ -214,11 +254,12 @@ def filed(words: DataFrame, entries: int) -> DataFrame:
         entry.join(hot, ["head", "half"], "left")
         .withColumn("slices", slices)
         .withColumn("bucket", F.pmod(F.xxhash64("head", "half"), F.lit(buckets)).cast("int"))
+        .withColumn("hot", F.when(F.col("many").isNotNull(), F.col("half")))
         .withColumn("own", own)
     )
     every = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("own"))
     return placed.withColumn("slice", F.explode(every)).select(
-        "head", "bucket", "slice", "word", "n", "asks", (F.col("slice") == F.col("own")).alias("held")
+        "head", "bucket", "hot", "slice", "word", "n", "asks", (F.col("slice") == F.col("own")).alias("held")
     )
 
 
@@ -248,7 +289,7 @@ def near_words(words: DataFrame, entries: int = ENTRIES) -> DataFrame:
         columns = [queries, [counts[w] for w in queries], many, names, [None if b is None else counts[b] for b in names]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    parts = filed(words, entries).groupBy("head", "bucket", "slice").applyInArrow(run, NEAR)
+    parts = filed(words, entries).groupBy("head", "bucket", "hot", "slice").applyInArrow(run, NEAR)
     place = F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("order"), F.col("best").alias("best")))
     return (
         parts.groupBy("word")
